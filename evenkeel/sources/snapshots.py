@@ -1,0 +1,110 @@
+"""Tables as immutable Parquet snapshots, published together.
+
+Each commit is one small file that names, for every table, the folders its
+current rows are in. Readers see the tables of one commit, so several tables
+change at once or not at all. Rows are kept in hash buckets of the key: a change
+that touches few buckets rewrites only those.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenkeel.operators.conform import any_null
+
+BUCKET = "bucket__"
+KEYLESS = -1
+COMMIT = "version bigint, tables string"
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Where a table's rows are: ``parts`` maps a bucket to its folder."""
+
+    schema: str
+    key: list[str]
+    buckets: int
+    parts: dict[str, str]
+    sequences: dict[str, int] = field(default_factory=dict)
+
+
+class Conflict(RuntimeError):
+    """Something else was published since the tables were read."""
+
+
+class SnapshotStore:
+    """One writer at a time, any number of readers."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def current(self) -> tuple[int, dict[str, Stored]]:
+        try:
+            commits = self.spark.read.schema(COMMIT).json(f"{self.root}/commits")
+            last = commits.orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = []
+        if not last:
+            return 0, {}
+        return last[0].version, {t: Stored(**s) for t, s in json.loads(last[0].tables).items()}
+
+    def read(self, stored: Stored, buckets: list[int] | None = None) -> DataFrame:
+        wanted = stored.parts if buckets is None else {b: p for b, p in stored.parts.items() if int(b) in buckets}
+        if not wanted:
+            return self.spark.createDataFrame([], stored.schema)
+        return self.spark.read.schema(stored.schema).parquet(*wanted.values())
+
+    def table(self, name: str) -> DataFrame:
+        return self.read(self.current()[1][name])
+
+    def bucket_of(self, key: list[str], buckets: int) -> Column:
+        """The bucket of a row; rows without a key have one of their own."""
+        hashed = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(buckets))
+        return F.when(any_null(key), KEYLESS).otherwise(hashed).cast("int")
+
+    def write(self, name: str, rows: DataFrame, key: list[str], buckets: int = 1) -> Stored:
+        """Write rows to a new folder, unpublished. Rebalancing splits a large bucket into several files."""
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        placed = rows.withColumn(BUCKET, self.bucket_of(key, buckets))
+        placed.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(path)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return Stored(schema, list(key), buckets, {str(b): f"{path}/{BUCKET}={b}" for b in self._written(path)})
+
+    def _written(self, path: str) -> list[int]:
+        try:
+            found = self.spark.read.parquet(path)
+        except AnalysisException as e:  # nothing to write, so no file to take a schema from
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return []
+        if BUCKET not in found.columns:
+            return []
+        return [r[0] for r in found.select(BUCKET).distinct().collect()]
+
+    def rewrite(self, name: str, stored: Stored, rows: DataFrame, hit: list[int]) -> Stored:
+        """Write the new rows of the buckets that were hit; the others stay where they are."""
+        new = self.write(name, rows, stored.key, stored.buckets)
+        kept = {b: p for b, p in stored.parts.items() if int(b) not in hit}
+        return Stored(stored.schema, stored.key, stored.buckets, {**kept, **new.parts}, stored.sequences)
+
+    def publish(self, changes: dict[str, Stored], parent: int) -> int:
+        """Make new snapshots current, all in one commit, if ``parent`` still is the last one."""
+        version, tables = self.current()
+        if version != parent:
+            raise Conflict(f"tables were read at version {parent}, but version {version} is current")
+        state = json.dumps({t: asdict(s) for t, s in {**tables, **changes}.items()})
+        commit = self.spark.createDataFrame([(version + 1, state)], COMMIT)
+        commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        return version + 1
+
+    def create(self, name: str, rows: DataFrame, key: list[str], buckets: int = 1) -> int:
+        version, _ = self.current()
+        return self.publish({name: self.write(name, rows, key, buckets)}, version)

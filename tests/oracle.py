@@ -1,0 +1,45 @@
+"""Results of a registered query and of its SQL, in a form that can be compared."""
+
+from __future__ import annotations
+
+import datetime
+import decimal
+import math
+
+import duckdb
+
+from evenkeel.plans.base import TABLES
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else v
+    if isinstance(v, decimal.Decimal):
+        return str(v)
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None)
+    if isinstance(v, (list, tuple)):
+        return tuple(plain(x) for x in v)
+    return v
+
+
+def rows_of(columns: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+def spark_rows(df) -> list[tuple]:
+    return rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+
+def sql_rows(con, sql: str) -> tuple[list[str], list[tuple]]:
+    cursor = con.execute(sql)
+    columns = [c[0] for c in cursor.description]
+    return sorted(columns), rows_of(columns, cursor.fetchall())
