@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import BROADCAST_ROWS, fits
+from evenkeel.functions.skew import HOT_ROWS, hot_keys
 from evenkeel.operators.conform import any_null, key_counts
 from evenkeel.session import new_path
 
@@ -47,26 +48,41 @@ def _link(pairs: Pairs) -> Column:
     return reduce(and_, [F.col(f"`{child}`") == F.col(f"parent__{parent}") for child, parent in pairs])
 
 
-def with_match(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def with_match(
+    child: DataFrame,
+    parent: DataFrame,
+    pairs: Pairs,
+    broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Child rows with ``matched``: whether their (child, parent) columns meet a parent.
 
     Parents measured to be small are broadcast and the child stays where it
-    lies. Otherwise both are shuffled on the key: a parent key held by very many
-    children is split by adaptive execution, which can split the left side of a
-    left join, and children without a key go around the shuffle.
+    lies. Otherwise both are shuffled on the key, but for two kinds of children
+    that would pile up in one task: those without a key, which match nothing,
+    and those of a hot parent. There are few hot parents, so those are broadcast.
     """
     fk = [c for c, _ in pairs]
-    keys = (
-        parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
-        .dropna()
-        .distinct()
-        .withColumn("parent__hit", F.lit(True))
-    )
-    matched = F.col("parent__hit").isNotNull().alias("matched")
+    parent_key = [f"parent__{p}" for _, p in pairs]
+    keys = parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs]).dropna().distinct()
+    keys = keys.withColumn("parent__hit", F.lit(True))
+
+    def met(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(known, _link(pairs), "left").select(
+            *child.columns, F.col("parent__hit").isNotNull().alias("matched")
+        )
+
     if fits(keys, broadcast_rows):
-        return child.join(F.broadcast(keys), _link(pairs), "left").select(*child.columns, matched)
-    keyed = child.filter(~any_null(fk)).join(keys, _link(pairs), "left").select(*child.columns, matched)
-    return keyed.unionByName(child.filter(any_null(fk)).withColumn("matched", F.lit(False)))
+        return met(child, F.broadcast(keys))
+    keyless = child.filter(any_null(fk)).withColumn("matched", F.lit(False))
+    keyed = child.filter(~any_null(fk))
+    hot = hot_keys(keyed.select(*fk), fk, hot_rows)
+    if hot is None:
+        return met(keyed, keys).unionByName(keyless)
+    hot_parents = keys.join(F.broadcast(hot.toDF(*parent_key)), parent_key, "left_semi")
+    hot_children = keyed.join(F.broadcast(hot), fk, "left_semi")
+    others = keyed.join(F.broadcast(hot), fk, "left_anti")
+    return met(others, keys).unionByName(met(hot_children, F.broadcast(hot_parents))).unionByName(keyless)
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

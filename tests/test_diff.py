@@ -1,0 +1,197 @@
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from evenkeel.functions.compare import same
+from evenkeel.operators.converge import converge, next_key
+from evenkeel.operators.diff import change_feed, pending_gate, plan_lines, plan_summary, update_columns
+from evenkeel.operators.pair import missing_rows, unlisted_rows
+
+SMALL, LARGE = 100_000, 0  # broadcast limits that choose either shape
+NOW = datetime(2024, 5, 1, 10, 0)
+TABLE = "id int, region string, name string, n int, owner string, updated_at timestamp"
+
+
+def table(spark, rng, rows):
+    names, regions = [None, "a", "b", "O'Brien"], ["x", "y", None]
+    keys = rng.sample([(i, r) for i in range(rows) for r in regions], rows)
+    old = datetime(2020, 1, 1)
+    data = [(i, r, rng.choice(names), rng.choice([None, 1, 2]), "ops", old) for i, r in keys]
+    data += [(None, "x", "keyless", k, "ops", old) for k in range(3)]
+    return spark.createDataFrame(data, TABLE), data
+
+
+def declared(spark, rng, rows):
+    keys = rng.sample([(i, r) for i in range(rows) for r in ("x", "y")], rows)
+    data = [(i, r, rng.choice([None, "a", "b", "O'Brien"]), rng.choice([None, 1, 2])) for i, r in keys]
+    return spark.createDataFrame(data, "id int, region string, name string, n int"), data
+
+
+def brute_force(live, want, prune):
+    at = {(r[0], r[1]): r for r in live if None not in r[:2]}
+    listed = {(r[0], r[1]): r for r in want}
+    out = []
+    for k, r in listed.items():
+        if k not in at:
+            out.append(("insert", *k, (), None, None, r[2], r[3]))
+        elif at[k][2:4] != r[2:4]:
+            t = at[k]
+            changed = tuple(c for c, a, b in (("name", t[2], r[2]), ("n", t[3], r[3])) if a != b)
+            out.append(("update", *k, changed, t[2], t[3], r[2], r[3]))
+    if prune:
+        out += [("delete", r[0], r[1], (), None, None, None, None) for r in live if (r[0], r[1]) not in listed]
+    return sorted(out, key=repr)
+
+
+def as_tuples(feed):
+    cols = ["op", "id", "region", "changed", "old_name", "old_n", "new_name", "new_n"]
+    return sorted(
+        (tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in feed.select(*cols).collect()), key=repr
+    )
+
+
+@pytest.mark.parametrize("limit", [SMALL, LARGE])
+@pytest.mark.parametrize("prune", [False, True])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_feed_and_converge_against_brute_force(spark, seed, prune, limit):
+    rng = random.Random(seed)
+    live, live_rows = table(spark, rng, 40)
+    want, want_rows = declared(spark, rng, 30)
+    key = ["id", "region"]
+    expected = brute_force(live_rows, want_rows, prune)
+    feed = change_feed(live, want, key, prune=prune, broadcast_rows=limit)
+    assert as_tuples(feed) == expected
+
+    after = converge(
+        live,
+        want,
+        key,
+        prune=prune,
+        touch=["updated_at"],
+        now=NOW,
+        defaults={"owner": "'new'"},
+        broadcast_rows=limit,
+    )
+    assert after.schema.simpleString() == live.schema.simpleString()
+    rows = [tuple(r) for r in after.collect()]
+    written = {(e[1], e[2]): e for e in expected if e[0] != "delete"}
+    gone = {(e[1], e[2]) for e in expected if e[0] == "delete"}
+    should = [r for r in live_rows if (r[0], r[1]) not in written and (r[0], r[1]) not in gone]
+    for k, e in written.items():
+        should.append((*k, e[6], e[7], "new" if e[0] == "insert" else "ops", NOW))
+    assert sorted(rows, key=repr) == sorted(should, key=repr)
+
+    again = change_feed(after, want, key, prune=prune, broadcast_rows=limit)
+    assert again.isEmpty()
+    if prune:
+        assert after.count() == len(want_rows)
+
+
+@pytest.mark.parametrize("limit", [SMALL, LARGE])
+def test_missing_and_unlisted(spark, limit):
+    rng = random.Random(5)
+    live, live_rows = table(spark, rng, 40)
+    want, want_rows = declared(spark, rng, 30)
+    key = ["id", "region"]
+    missing = {(r.id, r.region) for r in missing_rows(live, want, key, limit).collect()}
+    assert missing == {r[:2] for r in want_rows} - {r[:2] for r in live_rows}
+    unlisted = sorted(((r.id, r.region) for r in unlisted_rows(live, want, key, limit).collect()), key=repr)
+    listed = {r[:2] for r in want_rows}
+    assert unlisted == sorted((r[:2] for r in live_rows if r[:2] not in listed), key=repr)
+
+
+def test_undeclared_not_null_column_stays(spark):
+    live = spark.sql("SELECT 1 AS id, 'a' AS name, 'ops' AS owner")
+    got = converge(live, spark.sql("SELECT 1 AS id, 'b' AS name"), ["id"]).first()
+    assert (got.name, got.owner) == ("b", "ops")
+
+
+def test_key_only_declaration(spark):
+    live = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b') AS t(id, name)")
+    want = spark.sql("SELECT * FROM VALUES (2), (3) AS t(id)")
+    for limit in (SMALL, LARGE):
+        feed = change_feed(live, want, ["id"], prune=True, broadcast_rows=limit)
+        assert sorted((r.op, r.id) for r in feed.collect()) == [("delete", 1), ("insert", 3)]
+
+
+def test_json_and_char_compare_by_content(spark):
+    live = spark.sql("SELECT 'a' AS code, '{\"x\": 1, \"y\": [1, 2]}' AS meta, 'US ' AS iso, '(1,2)' AS loc")
+    want = spark.sql("SELECT 'a' AS code, '{\"y\":[1,2],\"x\":1}' AS meta, 'US' AS iso, '(1,2)' AS loc")
+    types = {"meta": "json", "iso": "char(3)", "loc": "point"}
+    assert change_feed(live, want, ["code"], types=types).isEmpty()
+    # A row that changes otherwise takes the declared text.
+    moved = want.withColumn("loc", F.lit("(2,2)"))
+    [feed] = change_feed(live, moved, ["code"], types=types).collect()
+    assert feed.changed == ["loc"]
+    assert converge(live, moved, ["code"], types=types).first().meta == '{"y":[1,2],"x":1}'
+
+
+@pytest.mark.parametrize(
+    "a,b,equal",
+    [
+        ('{"a":1,"b":2}', '{ "b": 2, "a": 1 }', True),
+        ('{"a":2.0}', '{"a":2}', True),
+        ('{"a":[1,2]}', '{"a":[2,1]}', False),
+        ('{"a":"1"}', '{"a":1}', False),
+        ("null", "null", True),
+        ("null", None, False),
+        (None, None, True),
+        ("[]", "{}", False),
+        ("broken", "broken", True),
+        ("broken", "{}", False),
+    ],
+)
+def test_json_equality(spark, a, b, equal):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(same(F.col("a"), F.col("b"), "json").alias("e")).first().e is equal
+
+
+def test_floats_compare_by_value(spark):
+    df = spark.sql("SELECT double('NaN') AS a, double('NaN') AS b, -0.0D AS c, 0.0D AS d")
+    row = df.select(same(F.col("a"), F.col("b")).alias("nan"), same(F.col("c"), F.col("d")).alias("zero")).first()
+    assert row.nan and row.zero
+
+
+def test_plan_lines_are_capped_and_quoted(spark):
+    live = spark.sql("SELECT * FROM VALUES ('UPS', CAST(NULL AS STRING)), ('DHL', 'x') AS t(code, name)")
+    want = spark.sql("SELECT * FROM VALUES ('OB', 'O''Brien'), ('NN', NULL), ('UPS', 'UPS Inc') AS t(code, name)")
+    feed = change_feed(live, want, ["code"], prune=True)
+    lines = {(r.op, r.position): r.line for r in plan_lines(feed, ["code"], 1).collect()}
+    assert lines == {
+        ("insert", 1): "+ ('NN') name=NULL",
+        ("insert", 2): "  … and 1 more",
+        ("update", 1): "~ ('UPS') name: NULL → 'UPS Inc'",
+        ("delete", 1): "- ('DHL')",
+    }
+    assert "+ ('OB') name='O''Brien'" in {r.line for r in plan_lines(feed, ["code"]).collect()}
+    assert tuple(plan_summary(feed).first()) == (2, 1, 1)
+
+
+def test_update_columns_lists_only_what_changed(spark):
+    live = spark.sql("SELECT 'vm_2' AS id, 'HAND_EDIT' AS carrier, 9.00BD AS fee, 'k' AS keyword")
+    want = spark.sql("SELECT 'vm_2' AS id, 'DHL_ECOM' AS carrier, CAST(NULL AS DECIMAL(3,2)) AS fee, 'k' AS keyword")
+    got = {tuple(r) for r in update_columns(change_feed(live, want, ["id"]), ["id"]).collect()}
+    assert got == {("vm_2", "carrier", "HAND_EDIT", "DHL_ECOM"), ("vm_2", "fee", "9.00", None)}
+
+
+def test_pending_gate(spark):
+    live = spark.sql("SELECT 1 AS id, 'a' AS name")
+    same_rows, other = live, spark.sql("SELECT 1 AS id, 'b' AS name")
+    drift, none = spark.range(1), spark.range(0)
+
+    def state(want, shape=None):
+        return pending_gate(change_feed(live, want, ["id"]), "t", shape).first().state
+
+    assert state(same_rows) == "converged"
+    assert state(other) == "pending"
+    assert state(other, none) == "pending"
+    assert state(same_rows, drift) == "cannot diff yet"
+
+
+def test_next_key_never_moves_back(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1), (2), (5) AS t(id)")
+    assert next_key(rows, "id", 0).first()[0] == 6
+    assert next_key(rows, "id", 100).first()[0] == 101
+    assert next_key(rows.filter("false"), "id", 0).first()[0] == 1
