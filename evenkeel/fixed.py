@@ -46,8 +46,8 @@ REFUSALS = {
     "live_duplicates": "the key ({key}) is not unique in {table}: {keys}",
     "null_key": "a row declares a NULL key {key}",
     "duplicate_key": "key ({key}) is declared more than once: {keys}",
-    "reads_declared": "the query reads {source}, which {owner} declares",
-    "declared_twice": "{table} is already declared in {owner}",
+    "reads_declared": "the query reads {source}, which {other} declares",
+    "declared_twice": "{table} is already declared in {other}",
     "prune_reach": "prune would delete through foreign key {constraint} on {child} (ON DELETE {action})",
     "cycle": "reference tables reference each other in a cycle ({tables})",
     "too_long": "value too long for type {type}",

@@ -132,7 +132,9 @@ class Reconciler:
 
     def _plan(self, specs: list[TableSpec], changing: set[str], tables: dict[str, Stored]) -> list[TablePlan]:
         specs = [replace(s, owner=s.owner or s.table) for s in specs]
-        check_isolation([s for s in specs if s.table not in changing])
+        check_isolation(
+            [s for s in specs if s.table not in changing], {t: self.store.folder(t) for t in tables}
+        )
         for spec in specs:
             if spec.table not in changing:
                 known = self.contracts.get(spec.table) if spec.table in tables else None

@@ -148,28 +148,26 @@ def check_declaration(spec: TableSpec, contract: TableContract | None, contracts
             refuse("prune_reach", constraint=name, child=child, action=action)
 
 
-def check_isolation(specs: list[TableSpec], files: dict[str, set[str]] | None = None) -> None:
+def check_isolation(specs: list[TableSpec], folders: dict[str, str] | None = None) -> None:
     """Refuse two declarations of one table, and one that reads a declared table.
 
     All declarations are compared with the tables as they were before any of
     them is written, so such a read would see old rows. ``sources`` is what
-    counts; the files Spark reports for a declaration are a second line for
-    targets whose files are known.
+    counts; where the folders of the declared tables are known, the files Spark
+    says a declaration reads are a second line.
     """
     owner_of: dict[str, str] = {}
     for spec in specs:
         if spec.table in owner_of:
-            raise Refused("declared_twice", spec.owner, table=spec.table, owner=owner_of[spec.table])
+            raise Refused("declared_twice", spec.owner, table=spec.table, other=owner_of[spec.table])
         owner_of[spec.table] = spec.owner or spec.table
     for spec in specs:
-        for source in spec.sources:
-            if source in owner_of:
-                raise Refused("reads_declared", spec.owner, source=source, owner=owner_of[source])
-        if files:
-            read = set(spec.declared.inputFiles())
-            for table, owner in owner_of.items():
-                if read & files.get(table, set()):
-                    raise Refused("reads_declared", spec.owner, source=table, owner=owner)
+        read = [s for s in spec.sources if s in owner_of]
+        if folders and not read:
+            files = spec.declared.inputFiles()
+            read = [t for t in owner_of if t in folders and any(f"{folders[t]}/" in f for f in files)]
+        if read:
+            raise Refused("reads_declared", spec.owner, source=read[0], other=owner_of[read[0]])
 
 
 def order_by_foreign_keys(tables: list[str], contracts: dict[str, TableContract]) -> list[str]:

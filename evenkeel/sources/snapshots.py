@@ -65,6 +65,9 @@ class SnapshotStore:
     def table(self, name: str) -> DataFrame:
         return self.read(self.current()[1][name])
 
+    def folder(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def bucket_of(self, key: list[str], buckets: int) -> Column:
         """The bucket of a row; rows without a key have one of their own."""
         hashed = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(buckets))
@@ -72,7 +75,7 @@ class SnapshotStore:
 
     def write(self, name: str, rows: DataFrame, key: list[str], buckets: int = 1) -> Stored:
         """Write rows to a new folder, unpublished. Rebalancing splits a large bucket into several files."""
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        path = f"{self.folder(name)}/{uuid.uuid4().hex}"
         placed = rows.withColumn(BUCKET, self.bucket_of(key, buckets))
         placed.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(path)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
