@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.assign import storage_type
+from evenkeel.functions.bounded import broadcast_if_fits
 from evenkeel.operators import constraints
 from evenkeel.operators.conform import check_keys, check_live_key, conform, conform_rejects
 from evenkeel.operators.converge import conformed_defaults, converge
@@ -60,48 +61,33 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def table_violations(
-    table: str, contract: TableContract, rows: DataFrame, changed: DataFrame, key: Iterable[str]
-) -> list[DataFrame]:
-    """Counts of broken rules (table_name, rule, n), one frame per rule.
+def _counted(table: str, rule: str, broken: DataFrame) -> DataFrame:
+    return broken.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "n"
+    )
 
-    ``changed`` holds the rows that were written: rules about single rows cannot
-    be broken by the others. The reconcile key is unique by construction.
-    """
 
-    def counted(rule: str, broken: DataFrame) -> DataFrame:
-        return broken.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "n")
+def table_violations(contract: TableContract, rows: DataFrame, touched: DataFrame, key: list[str]) -> list[DataFrame]:
+    """Counts of broken rules (table_name, rule, n), one frame per rule.
 
-    found = []
+    Only a row in ``touched``, the rows that were added or changed, can break
+    what held before: rules on single rows look at nothing else, and of a unique
+    rule only values a touched row holds are counted. The reconcile key is
+    unique by construction.
+    """
+    table, found = contract.name, []
     filled = [c.name for c in contract.columns if not c.nullable or c.name in contract.primary_key]
     if filled:
-        nulls = constraints.not_null_violations(changed, filled)
-        found.append(
-            nulls.select(
-                F.lit(table).alias("table_name"), F.concat(F.lit("not null "), "column_name").alias("rule"), "n"
-            )
-        )
+        nulls = constraints.not_null_violations(touched, filled)
+        rule = F.concat(F.lit("not null "), "column_name").alias("rule")
+        found.append(nulls.select(F.lit(table).alias("table_name"), rule, "n"))
     for unique in (contract.primary_key, *contract.uniques):
         if unique and set(unique) != set(key):
-            found.append(counted(f"unique ({', '.join(unique)})", constraints.unique_violations(rows, list(unique))))
+            values = broadcast_if_fits(touched.select(*unique).distinct())
+            held = rows.select(*unique).join(values, list(unique), "left_semi")
+            found.append(_counted(table, f"unique ({', '.join(unique)})", constraints.unique_violations(held, list(unique))))
     for name, predicate in contract.checks.items():
-        found.append(counted(f"check {name}", constraints.check_violations(changed, predicate)))
-    return found
-
-
-def fk_violations(contract: TableContract, tables: dict[str, DataFrame], changed: set[str]) -> list[DataFrame]:
-    found = []
-    for fk in contract.foreign_keys:
-        if fk.parent not in tables or not changed & {contract.name, fk.parent}:
-            continue
-        orphans = constraints.fk_orphans(
-            tables[contract.name].select(*fk.columns), tables[fk.parent], list(zip(fk.columns, fk.parent_columns))
-        )
-        found.append(
-            orphans.agg(F.count(F.lit(1)).alias("n")).select(
-                F.lit(contract.name).alias("table_name"), F.lit(f"foreign key {fk.name}").alias("rule"), "n"
-            )
-        )
+        found.append(_counted(table, f"check {name}", constraints.check_violations(touched, predicate)))
     return found
 
 
@@ -146,10 +132,10 @@ class Reconciler:
             if table in changing:
                 plans.append(TablePlan(spec, [], pending=f"the shape of {table} changes in this release"))
             else:
-                plans.append(self._plan_table(spec, self.contracts[table], self.store.read(tables[table])))
+                plans.append(self._plan_table(spec, self.contracts[table], tables[table]))
         return plans
 
-    def _plan_table(self, spec: TableSpec, contract: TableContract, live: DataFrame) -> TablePlan:
+    def _plan_table(self, spec: TableSpec, contract: TableContract, stored: Stored) -> TablePlan:
         key = list(spec.resolved_key(contract))
         try:
             declared = written(conform(spec.declared, contract), "declared")
@@ -159,13 +145,24 @@ class Reconciler:
                 raise Refused("query_failed", spec.owner, error=str(e).splitlines()[0]) from e
             raise ValueError(f"{spec.owner}: {rejected[0].reason}: {rejected[0].value}") from e
         check_keys(declared, spec, contract)
-        check_live_key(live, spec, contract)
+        if sorted(key) not in stored.unique:
+            check_live_key(self.store.read(stored), spec, contract)
         if spec.prune and not spec.allow_empty and declared.isEmpty():
             raise ValueError(f"{spec.owner}: prune with no declared rows deletes every row; set allow_empty to do so")
-        feed = written(change_feed(live, declared, key, prune=spec.prune, types=contract.types), "feed")
+        # Without prune only the buckets of declared keys can hold a change.
+        wanted = None if spec.prune else self._buckets(stored, declared, key)
+        feed = change_feed(self.store.read(stored, wanted), declared, key, prune=spec.prune, types=contract.types)
+        feed = written(feed, "feed")
         counts = plan_summary(feed).first()
         return TablePlan(spec, key, declared, feed, **counts.asDict())
 
+    def _buckets(self, stored: Stored, rows: DataFrame, key: list[str]) -> list[int] | None:
+        """The buckets of the rows, None for all: if they are kept by another key, any may be meant."""
+        if set(stored.key) != set(key):
+            return None
+        # One row per bucket: the number of buckets at most.
+        return [r[0] for r in rows.select(self.store.bucket_of(stored.key, stored.buckets)).distinct().collect()]
+
     def apply(self, specs: list[TableSpec], now: datetime) -> list[TablePlan]:
         """Write and check every table's next snapshot, then publish all of them at once.
 
@@ -173,38 +170,65 @@ class Reconciler:
         buckets that hold changed keys.
         """
         version, tables = self.store.current()
-        plans = self._plan(specs, set(), tables)
+        plans = {p.spec.table: p for p in self._plan(specs, set(), tables)}
         changes: dict[str, Stored] = {}
+        touched: dict[str, DataFrame] = {}
         found: list[DataFrame] = []
-        for plan in plans:
+        for table, plan in plans.items():
             if plan.empty:
                 continue
-            table, contract = plan.spec.table, self.contracts[plan.spec.table]
-            stored = tables[table]
-            bucket = self.store.bucket_of(stored.key, stored.buckets)
-            if set(stored.key) == set(plan.key):
-                # One row per bucket: the number of buckets at most.
-                hit = [r[0] for r in plan.feed.select(bucket).distinct().collect()]
-            else:
-                hit = list(range(-1, stored.buckets))
-                bucket = None
-            rows = self._next(plan, contract, stored, bucket, hit, now)
-            new = self.store.rewrite(table, stored, rows, hit)
+            contract, stored = self.contracts[table], tables[table]
+            hit = self._buckets(stored, plan.feed, plan.key)
+            rows = self._next(plan, contract, stored, hit, now)
+            every = [int(b) for b in stored.parts]
+            new = self.store.rewrite(table, stored, rows, every if hit is None else hit)
+            known = [*stored.unique, sorted(plan.key)]
+            new = replace(new, unique=[list(k) for k in dict.fromkeys(map(tuple, known))])
             changes[table] = replace(new, sequences=self._sequences(contract, stored, new, plan))
-            changed_rows = self.store.read(changes[table], hit)
-            found += table_violations(table, contract, self.store.read(changes[table]), changed_rows, plan.key)
+            upserted = plan.feed.filter("op <> 'delete'").select(*plan.key)
+            touched[table] = self.store.read(new, hit).join(broadcast_if_fits(upserted), plan.key, "left_semi")
+            found += table_violations(contract, self.store.read(new), touched[table], plan.key)
         after = {t: self.store.read(s) for t, s in {**tables, **changes}.items()}
-        for table, contract in self.contracts.items():
-            if table in after:
-                found += fk_violations(contract, after, set(changes))
+        for contract in self.contracts.values():
+            if contract.name in after:
+                found += self._fk_violations(contract, after, touched, plans)
         refuse_violations(found)
         if changes:
             self.store.publish(changes, version)
-        return plans
-
-    def _next(self, plan: TablePlan, contract: TableContract, stored: Stored, bucket, hit: list[int], now) -> DataFrame:
-        live = self.store.read(stored, hit)
-        declared = plan.declared if bucket is None else plan.declared.filter(bucket.isin(hit))
+        return list(plans.values())
+
+    def _fk_violations(
+        self,
+        contract: TableContract,
+        after: dict[str, DataFrame],
+        touched: dict[str, DataFrame],
+        plans: dict[str, TablePlan],
+    ) -> list[DataFrame]:
+        """Foreign keys a touched child or a parent that is gone can break."""
+        found, child = [], contract.name
+        for fk in contract.foreign_keys:
+            if fk.parent not in after:
+                continue
+            pairs = list(zip(fk.columns, fk.parent_columns))
+            suspects = [touched[child].select(*fk.columns)] if child in touched else []
+            parent_plan = plans.get(fk.parent)
+            if parent_plan and (parent_plan.deletes or parent_plan.updates):
+                children = after[child].select(*fk.columns)
+                if set(parent_plan.key) == set(fk.parent_columns):
+                    gone = parent_plan.feed.filter("op = 'delete'")
+                    children = constraints.fk_action(children, gone, pairs, "RESTRICT")
+                suspects.append(children)
+            for rows in suspects:
+                orphans = constraints.fk_orphans(rows, after[fk.parent], pairs)
+                found.append(_counted(child, f"foreign key {fk.name}", orphans))
+        return found
+
+    def _next(
+        self, plan: TablePlan, contract: TableContract, stored: Stored, hit: list[int] | None, now: datetime
+    ) -> DataFrame:
+        live, declared = self.store.read(stored, hit), plan.declared
+        if hit is not None:
+            declared = declared.filter(self.store.bucket_of(stored.key, stored.buckets).isin(hit))
         rows = converge(
             live,
             declared,

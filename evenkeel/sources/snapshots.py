@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +25,17 @@ COMMIT = "version bigint, tables string"
 
 @dataclass(frozen=True)
 class Stored:
-    """Where a table's rows are: ``parts`` maps a bucket to its folder."""
+    """Where a table's rows are: ``parts`` maps a bucket to its folder.
+
+    ``unique`` remembers keys that were found unique; reconciling by a key keeps it so.
+    """
 
     schema: str
     key: list[str]
     buckets: int
     parts: dict[str, str]
     sequences: dict[str, int] = field(default_factory=dict)
+    unique: list[list[str]] = field(default_factory=list)
 
 
 class Conflict(RuntimeError):
@@ -96,7 +100,7 @@ class SnapshotStore:
         """Write the new rows of the buckets that were hit; the others stay where they are."""
         new = self.write(name, rows, stored.key, stored.buckets)
         kept = {b: p for b, p in stored.parts.items() if int(b) not in hit}
-        return Stored(stored.schema, stored.key, stored.buckets, {**kept, **new.parts}, stored.sequences)
+        return replace(stored, parts={**kept, **new.parts})
 
     def publish(self, changes: dict[str, Stored], parent: int) -> int:
         """Make new snapshots current, all in one commit, if ``parent`` still is the last one."""
