@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS_SETTING = "spark.evenkeel.broadcastRows"
 
 
 def row_bytes(schema: T.StructType) -> Column:
@@ -24,19 +25,21 @@ def row_bytes(schema: T.StructType) -> Column:
     return sum(parts, F.lit(fixed)).cast("long")
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True if the whole frame is within both limits.
+def fits(df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the whole frame is within both limits; the first is a setting of the session.
 
     ``take`` reads a first partition and widens only while it has too few rows,
     so on a large frame this stops early; what reaches the driver is at most
     ``max_rows + 1`` numbers.
     """
+    if max_rows is None:
+        max_rows = int(df.sparkSession.conf.get(BROADCAST_ROWS_SETTING, str(BROADCAST_ROWS)))
     if max_rows <= 0:
         return False
     widths = df.select(row_bytes(df.schema).alias("b")).take(max_rows + 1)
     return len(widths) <= max_rows and sum(r.b for r in widths) <= max_bytes
 
 
-def broadcast_if_fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_fits(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """The frame with a broadcast hint if it was measured to fit, else as it is."""
     return F.broadcast(df) if fits(df, max_rows) else df

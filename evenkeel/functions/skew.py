@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
+HOT_ROWS_SETTING = "spark.evenkeel.hotRows"
 
 
-def hot_keys(rows: DataFrame, on: list[str], at_least: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(rows: DataFrame, on: list[str], at_least: int | None = None) -> DataFrame | None:
     """The most frequent keys with at least so many rows, None if there are none.
 
     At most ``HOT_KEYS`` of them: any key beyond those holds less than a
     thousandth of the rows, so it needs no care, and the frame returned is
     always small enough to broadcast. Rows are counted before they are shuffled.
     """
+    if at_least is None:
+        at_least = int(rows.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least)
     found = counts.orderBy(F.desc("n")).limit(HOT_KEYS).drop("n").collect()
     if not found:

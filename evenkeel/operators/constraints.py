@@ -8,8 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions.bounded import BROADCAST_ROWS, fits
-from evenkeel.functions.skew import HOT_ROWS, hot_keys
+from evenkeel.functions.bounded import fits
+from evenkeel.functions.skew import hot_keys
 from evenkeel.operators.conform import any_null, key_counts
 from evenkeel.session import new_path
 
@@ -52,8 +52,8 @@ def with_match(
     child: DataFrame,
     parent: DataFrame,
     pairs: Pairs,
-    broadcast_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    broadcast_rows: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Child rows with ``matched``: whether their (child, parent) columns meet a parent.
 
@@ -85,7 +85,7 @@ def with_match(
     return met(others, keys).unionByName(met(hot_children, F.broadcast(hot_parents))).unionByName(keyless)
 
 
-def fk_orphans(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def fk_orphans(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int | None = None) -> DataFrame:
     """Child rows whose parent does not exist; a NULL part passes."""
     keyed = child.dropna(subset=[c for c, _ in pairs])
     return with_match(keyed, parent, pairs, broadcast_rows).filter(~F.col("matched")).drop("matched")
@@ -97,7 +97,7 @@ def fk_action(
     pairs: Pairs,
     action: str,
     defaults: dict[str, str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """The child table after its parents in ``deleted`` are gone.
 
@@ -148,7 +148,7 @@ def identity_fill(
     order_by: list[str],
     start: int,
     *,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Number the rows ``start + 1, start + 2, ...`` in the order of a unique key.
 

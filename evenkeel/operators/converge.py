@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.assign import storage_type
-from evenkeel.functions.bounded import BROADCAST_ROWS
 from evenkeel.operators.diff import operation
 from evenkeel.operators.pair import DECLARED, LIVE, pair
 
@@ -23,7 +22,7 @@ def converge(
     now: datetime | None = None,
     defaults: dict[str, str] | None = None,
     types: dict[str, str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """The next state of ``live``: missing rows added, changed rows corrected.
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.fixed import PLAN_ROW_LIMIT
-from evenkeel.functions.bounded import BROADCAST_ROWS
 from evenkeel.functions.compare import all_same, same
 from evenkeel.functions.text import literal, row_text
 from evenkeel.operators.pair import DECLARED, IN_DECLARED, IN_LIVE, LIVE, pair
@@ -35,7 +34,7 @@ def change_feed(
     *,
     prune: bool = False,
     types: dict[str, str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """One row per change: op, key, ``changed`` column names, ``old_*`` and ``new_*`` values.
 

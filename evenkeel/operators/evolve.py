@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from evenkeel.fixed import DEFAULT_NAMESPACE
 from evenkeel.functions.assign import assignment, refusal, storage_type
-from evenkeel.functions.bounded import BROADCAST_ROWS
 from evenkeel.operators.constraints import with_match
 from evenkeel.operators.spec import Column, TableContract
 
@@ -31,7 +30,7 @@ def drift(
     *,
     strict: bool = False,
     namespaces: list[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """One row per difference: kind, the column, live_value, desired_value.
 

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.bounded import BROADCAST_ROWS, fits
+from evenkeel.functions.bounded import fits
 from evenkeel.operators.conform import any_null
 
 LIVE, DECLARED = "live__", "declared__"
@@ -16,7 +16,7 @@ IN_LIVE, IN_DECLARED = "in_live", "in_declared"
 
 
 def pair(
-    live: DataFrame, declared: DataFrame, key: list[str], *, keep_unlisted: bool, broadcast_rows: int = BROADCAST_ROWS
+    live: DataFrame, declared: DataFrame, key: list[str], *, keep_unlisted: bool, broadcast_rows: int | None = None
 ) -> DataFrame:
     """Match rows by key: ``live__*`` and ``declared__*`` columns and two presence flags.
 
@@ -57,7 +57,7 @@ def _missing_from_small(live_keys: DataFrame, small: DataFrame, match, small_key
 
 
 def missing_rows(
-    live: DataFrame, declared: DataFrame, key: list[str], broadcast_rows: int = BROADCAST_ROWS
+    live: DataFrame, declared: DataFrame, key: list[str], broadcast_rows: int | None = None
 ) -> DataFrame:
     """Declared rows without a live row."""
     live_keys = live.select(*[F.col(f"`{k}`").alias(LIVE + k) for k in key])
@@ -68,7 +68,7 @@ def missing_rows(
 
 
 def unlisted_rows(
-    live: DataFrame, declared: DataFrame, key: list[str], broadcast_rows: int = BROADCAST_ROWS
+    live: DataFrame, declared: DataFrame, key: list[str], broadcast_rows: int | None = None
 ) -> DataFrame:
     """Live rows without a declared row, those without a key among them."""
     listed = declared.select(*key)

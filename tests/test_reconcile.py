@@ -17,6 +17,8 @@ from evenkeel.operators.spec import (
 )
 from evenkeel.sources.snapshots import Conflict, SnapshotStore
 
+pytestmark = pytest.mark.usefixtures("without_codegen")
+
 OLD, NOW = datetime(2000, 1, 1), datetime(2024, 5, 1, 10, 0)
 
 
@@ -73,8 +75,7 @@ ROWS = """('vm_1', 'VENDOR_CONTAINS', 'landmark', 'LANDMARK', 1.234),
  ('vm_3', 'MERCHANT_EXACT', 'seko', 'SEKO_US', 2)"""
 
 
-@pytest.mark.parametrize("buckets", [1, 8])
-def test_converges_on_every_apply(spark, tmp_path, buckets):
+def test_converges_on_every_apply(spark, tmp_path, buckets=8):
     w = World(spark, tmp_path)
     w.contracts = {"vendor_mapping": MAPPING}
     key = ("match_type", "keyword")
