@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +66,10 @@ def any_null(cols: list[str]):
     return reduce(or_, [F.col(f"`{c}`").isNull() for c in cols])
 
 
+def none_null(cols: list[str]):
+    return reduce(and_, [F.col(f"`{c}`").isNotNull() for c in cols])
+
+
 def null_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key has a NULL part. NULL matches nothing, so such a row has no identity."""
     return rows.filter(any_null(key))
@@ -97,7 +101,7 @@ def check_live_key(live: DataFrame, spec: TableSpec, contract: TableContract) ->
     """Refuse a key that is not unique in the live table; rows without a key do not count."""
     key = list(spec.resolved_key(contract))
     text = row_text([F.col(f"`{k}`") for k in key]).alias("k")
-    repeated = duplicate_keys(live.dropna(subset=key), key).select(text).collect()
+    repeated = duplicate_keys(live.filter(none_null(key)), key).select(text).collect()
     if repeated:
         raise Refused(
             "live_duplicates", spec.owner, table=spec.table, key=", ".join(key), keys=", ".join(r.k for r in repeated)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import fits
 from evenkeel.functions.skew import hot_keys
-from evenkeel.operators.conform import any_null, key_counts
+from evenkeel.operators.conform import any_null, key_counts, none_null
 from evenkeel.session import new_path
 
 
@@ -25,7 +25,7 @@ def unique_violations(rows: DataFrame, columns: list[str], where: str | None = N
     """Values held more than once, with how often; NULL equals nothing. ``where`` makes the rule partial."""
     if where:
         rows = rows.filter(where)
-    return key_counts(rows.dropna(subset=columns), columns)
+    return key_counts(rows.filter(none_null(columns)), columns)
 
 
 def check_violations(rows: DataFrame, predicate: str) -> DataFrame:
@@ -64,8 +64,8 @@ def with_match(
     """
     fk = [c for c, _ in pairs]
     parent_key = [f"parent__{p}" for _, p in pairs]
-    keys = parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs]).dropna().distinct()
-    keys = keys.withColumn("parent__hit", F.lit(True))
+    keys = parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
+    keys = keys.filter(none_null(parent_key)).distinct().withColumn("parent__hit", F.lit(True))
 
     def met(rows: DataFrame, known: DataFrame) -> DataFrame:
         return rows.join(known, _link(pairs), "left").select(
@@ -75,7 +75,7 @@ def with_match(
     if fits(keys, broadcast_rows):
         return met(child, F.broadcast(keys))
     keyless = child.filter(any_null(fk)).withColumn("matched", F.lit(False))
-    keyed = child.filter(~any_null(fk))
+    keyed = child.filter(none_null(fk))
     hot = hot_keys(keyed.select(*fk), fk, hot_rows)
     if hot is None:
         return met(keyed, keys).unionByName(keyless)
@@ -87,7 +87,7 @@ def with_match(
 
 def fk_orphans(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int | None = None) -> DataFrame:
     """Child rows whose parent does not exist; a NULL part passes."""
-    keyed = child.dropna(subset=[c for c, _ in pairs])
+    keyed = child.filter(none_null([c for c, _ in pairs]))
     return with_match(keyed, parent, pairs, broadcast_rows).filter(~F.col("matched")).drop("matched")
 
 
@@ -132,7 +132,7 @@ def prune_reach(
     with very many children is one row by then.
     """
     fk = [c for c, _ in pairs]
-    per_parent = child.dropna(subset=fk).groupBy(*fk).agg(F.count(F.lit(1)).alias("rows_reached"))
+    per_parent = child.filter(none_null(fk)).groupBy(*fk).agg(F.count(F.lit(1)).alias("rows_reached"))
     gone = deleted.select(*by, *[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
     return (
         gone.join(per_parent, _link(pairs))

@@ -34,12 +34,14 @@ def drift(
 ) -> DataFrame:
     """One row per difference: kind, the column, live_value, desired_value.
 
-    Only namespaces the desired catalog speaks of are looked at (or those
-    given). Columns of tables nobody declared are reported in strict mode only.
+    Live columns are looked at only in tables the desired catalog declares, in
+    strict mode in all tables of its namespaces (or of those given).
     """
     if namespaces is not None:
         live = live.filter(F.col("namespace").isin(namespaces))
         desired = desired.filter(F.col("namespace").isin(namespaces))
+    scope = ["namespace"] if strict else ["namespace", "table_name"]
+    live = with_match(live, desired, [(c, c) for c in scope], broadcast_rows).filter("matched")
     left = live.select(*COLUMN_KEY, *[F.col(a).alias(f"live__{a}") for a in ATTRIBUTES], F.lit(True).alias("in_live"))
     right = desired.select(
         *COLUMN_KEY, *[F.col(a).alias(f"desired__{a}") for a in ATTRIBUTES], F.lit(True).alias("in_desired")
@@ -67,11 +69,7 @@ def drift(
             for a in ATTRIBUTES
         ],
     )
-    rows = both.select(*COLUMN_KEY, F.explode(F.array_compact(found)).alias("d")).select(*COLUMN_KEY, "d.*")
-    scope = ["namespace"] if strict else ["namespace", "table_name"]
-    dropped = rows.filter("kind = 'column_dropped'")
-    ours = with_match(dropped, desired, [(c, c) for c in scope], broadcast_rows).filter("matched").drop("matched")
-    return rows.filter("kind <> 'column_dropped'").unionByName(ours)
+    return both.select(*COLUMN_KEY, F.explode(F.array_compact(found)).alias("d")).select(*COLUMN_KEY, "d.*")
 
 
 def evolve(rows: DataFrame, desired: list[Column], *, strict: bool = False) -> DataFrame:

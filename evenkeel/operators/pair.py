@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import fits
-from evenkeel.operators.conform import any_null
+from evenkeel.operators.conform import any_null, none_null
 
 LIVE, DECLARED = "live__", "declared__"
 IN_LIVE, IN_DECLARED = "in_live", "in_declared"
@@ -46,7 +46,7 @@ def pair(
     if not keep_unlisted:
         return right.join(left, match, "left")
     keyless = left.filter(any_null(live_key))
-    met = left.filter(~any_null(live_key)).join(right, match, "full")
+    met = left.filter(none_null(live_key)).join(right, match, "full")
     return met.unionByName(keyless, allowMissingColumns=True)
 
 
@@ -74,5 +74,5 @@ def unlisted_rows(
     listed = declared.select(*key)
     if fits(listed, broadcast_rows):
         return live.join(F.broadcast(listed), key, "left_anti")
-    keyed = live.filter(~any_null(key)).join(listed, key, "left_anti")
+    keyed = live.filter(none_null(key)).join(listed, key, "left_anti")
     return keyed.unionByName(live.filter(any_null(key)))

@@ -54,6 +54,11 @@ class TablePlan:
         return [r.line for r in sorted(rows, key=lambda r: (kinds[r.op], r.position))]
 
 
+def has_pending(plans: list[TablePlan]) -> bool:
+    """Whether applying the plans would do anything."""
+    return not all(p.empty for p in plans)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, read with pruning, safe from lost executors."""
     path = new_path(rows.sparkSession, name)

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.fixed import LEDGER_TYPES
 from evenkeel.operators import ledger as ops
 
 
@@ -56,6 +57,8 @@ class LedgerStore:
         ops.recorded(outcomes, last, at, by or getpass.getuser()).write.mode("append").parquet(self.path)
 
     def _record(self, item: Item, ms: int, success: bool) -> None:
+        if item.type not in LEDGER_TYPES:
+            return
         row = [(item.version, item.name, item.type, item.namespace, item.checksum, ms, success)]
         schema = (
             "version string, name string, type string, namespace string, checksum string, "
@@ -63,21 +66,15 @@ class LedgerStore:
         )
         self.append(self.spark.createDataFrame(row, schema))
 
-    def run(self, items: list[Item]) -> RunReport:
-        """Run what is pending or changed, in work order; stop at the first failure.
-
-        Success and failure are both recorded. A failure does not count as done,
-        so the next run tries it again.
-        """
-        report = RunReport()
+    def _manifest(self, items: list[Item]) -> DataFrame:
         rows = [(i.type, i.version, i.name, i.namespace, i.checksum, n) for n, i in enumerate(items)]
-        manifest = self.spark.createDataFrame(
+        return self.spark.createDataFrame(
             rows, "type string, version string, name string, namespace string, checksum string, n int"
         )
-        state = ops.status(manifest, self.read())
-        for row in ops.work_list(state).collect():
-            item = items[row.n]
-            if row.status not in ("pending", "changed"):
+
+    def _work(self, todo: list[tuple[Item, bool]], report: RunReport) -> RunReport:
+        for item, due in todo:
+            if not due:
                 report.skipped.append(item)
                 continue
             started = time.monotonic()
@@ -90,3 +87,19 @@ class LedgerStore:
             self._record(item, int((time.monotonic() - started) * 1000), True)
             report.applied.append(item)
         return report
+
+    def run(self, items: list[Item]) -> RunReport:
+        """Run what is pending or changed, in work order; stop at the first failure.
+
+        Declared rows have no ledger: they are compared on every run. Success and failure are both recorded. A failure does not count as done,
+        so the next run tries it again. The items are jobs, a handful of them.
+        """
+        state = ops.work_list(ops.status(self._manifest(items), self.read())).collect()
+        return self._work([(items[r.n], r.status not in ("applied", "drift")) for r in state], RunReport())
+
+    def adopt(self, items: list[Item]) -> RunReport:
+        """Take over a system that is as it is: run-once items count as done, the others run whatever their checksum."""
+        manifest = self._manifest(items)
+        self.append(ops.baseline(manifest.filter(ops.is_run_once())))
+        order = ops.work_list(ops.adopt_actions(manifest)).collect()
+        return self._work([(items[r.n], r.action != "baseline") for r in order], RunReport())

@@ -18,11 +18,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-@pytest.fixture(scope="module")
-def without_codegen(spark):
-    """For many jobs over a few rows, where compiling takes longer than running."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    yield
-    spark.conf.unset("spark.sql.codegen.wholeStage")

@@ -179,6 +179,22 @@ def test_run_stops_at_failure_and_tries_again(spark, store):
     assert lg.integrity(store.read()).isEmpty()
 
 
+def test_adopt_baselines_run_once_items_and_runs_the_others(spark, store):
+    log = []
+    work = [
+        Item("ops", "first", "c1", lambda: log.append("ops"), version="1"),
+        Item("data", "fill", "c2", lambda: log.append("data"), version="1"),
+        Item("logic", "view", "c3", lambda: log.append("logic")),
+        Item("permissions", "roles", "c4", lambda: log.append("permissions")),
+        Item("reference", "rows", "c5", lambda: log.append("rows")),
+    ]
+    report = store.adopt(work)
+    assert log == ["logic", "permissions", "rows"]
+    assert sorted(i.name for i in report.skipped) == ["fill", "first"]
+    assert [i.name for i in store.run(work).applied] == ["rows"]
+    assert store.read().filter("type = 'reference'").isEmpty() and lg.integrity(store.read()).isEmpty()
+
+
 def test_backfill_once(spark, store):
     rows = spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS STRING)), (2, 'CA') AS t(id, country)")
     filled = lg.backfill_once(rows, {"country": "'US'"}, store.read(), "1")

@@ -17,8 +17,6 @@ from evenkeel.operators.spec import (
 )
 from evenkeel.sources.snapshots import Conflict, SnapshotStore
 
-pytestmark = pytest.mark.usefixtures("without_codegen")
-
 OLD, NOW = datetime(2000, 1, 1), datetime(2024, 5, 1, 10, 0)
 
 
@@ -56,6 +54,7 @@ class World:
         return self.store.current()[0]
 
 
+# The rows and refusals of FIXTURES.md (A1, A2), whose outcomes have to match.
 MAPPING = TableContract(
     "vendor_mapping",
     (
@@ -247,6 +246,7 @@ def test_undeclared_not_null(spark, tmp_path):
         w.apply(w.spec("owned", "(2, 'c')", "id, name"))
 
 
+# Refused declarations and what the refusal says (FIXTURES.md, A2).
 WITNESS = text_table("witness", "code", "name")
 OK = text_table("ok", "code", "name")
 REFUSED = {
