@@ -12,15 +12,26 @@ from evenkeel.fixed import JSON_TYPE
 from evenkeel.functions.assign import split_type
 
 
+# Numbers that Spark reads from JSON as doubles, so that different ones can come out the same.
+_INEXACT_NUMBER = r"[0-9][eE][+-]?[0-9]|[0-9.]{39,}"
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def _canonical_json(c: Column) -> Column:
+    inexact = c.rlike(_INEXACT_NUMBER) & F.regexp_replace(c, _JSON_STRING, "").rlike(_INEXACT_NUMBER)
+    return F.when(inexact, c).otherwise(F.coalesce(F.to_json(F.try_parse_json(c)), c))
+
+
 def comparable(c: Column, declared: str) -> Column:
     """The form of a value in which equal means the same.
 
-    JSON text compares by content: key order, blanks and the writing of whole
-    numbers do not count. Text that is not JSON compares as it stands.
+    JSON text compares by content: key order, blanks and zeros after the point
+    do not count. Text that is not JSON compares as it stands, and so does JSON
+    with numbers Spark cannot hold exactly, so that no change is missed.
     """
     base, _, _, is_array = split_type(declared)
     if base == JSON_TYPE:
-        canonical = lambda x: F.coalesce(F.to_json(F.try_parse_json(x)), x)
+        canonical = _canonical_json
     elif base == "char":
         canonical = F.rtrim
     else:

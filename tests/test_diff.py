@@ -141,6 +141,13 @@ def test_json_and_char_compare_by_content(spark):
         ("[]", "{}", False),
         ("broken", "broken", True),
         ("broken", "{}", False),
+        ('{"a":1,"a":2}', '{"a":2}', True),
+        ('{"a":1.50}', '{"a":1.5}', True),
+        ('{"a":"\\u0041"}', '{"a":"A"}', True),
+        ('{"a":"3e5", "b":1}', '{"b":1,"a":"3e5"}', True),
+        ('{"a":1e2}', '{"a":1e2}', True),
+        ('{"a":1.00000000000000000001e0}', '{"a":1e0}', False),
+        ('{"a":%s0}' % ("1" * 49), '{"a":%s1}' % ("1" * 49), False),
     ],
 )
 def test_json_equality(spark, a, b, equal):
