@@ -12,14 +12,13 @@ from evenkeel.fixed import JSON_TYPE
 from evenkeel.functions.assign import split_type
 
 
-# Numbers that Spark reads from JSON as doubles, so that different ones can come out the same.
-_INEXACT_NUMBER = r"[0-9][eE][+-]?[0-9]|[0-9.]{39,}"
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+# A number Spark reads from JSON as a double, so that different ones can come out
+# the same. Text that merely looks like one is taken for one, which is safe.
+_INEXACT_NUMBER = r"(^|[:,\[])\s*-?([0-9.]+[eE]|[0-9.]{39})"
 
 
 def _canonical_json(c: Column) -> Column:
-    inexact = c.rlike(_INEXACT_NUMBER) & F.regexp_replace(c, _JSON_STRING, "").rlike(_INEXACT_NUMBER)
-    return F.when(inexact, c).otherwise(F.coalesce(F.to_json(F.try_parse_json(c)), c))
+    return F.when(c.rlike(_INEXACT_NUMBER), c).otherwise(F.coalesce(F.to_json(F.try_parse_json(c)), c))
 
 
 def comparable(c: Column, declared: str) -> Column:

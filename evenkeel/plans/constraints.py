@@ -99,7 +99,10 @@ AND NOT EXISTS (SELECT 1 FROM p WHERE c_custkey = o_custkey)""",
         _action("CASCADE"),
         with_inputs("SELECT * FROM orders WHERE NOT EXISTS (SELECT 1 FROM g WHERE c_custkey = o_custkey)", g=DEBTORS),
     ),
-    "c_fk_action_set_null": Query(_action("SET NULL"), _freed_sql("NULL")),
+    "c_fk_action_set_null": Query(
+        lambda s, d: _action("SET NULL")(s, d).withColumn("o_custkey", F.col("o_custkey").cast("string")),
+        f"SELECT * REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey) FROM ({_freed_sql('NULL')})",
+    ),
     "c_fk_action_set_default": Query(_action("SET DEFAULT", defaults={"o_custkey": "0"}), _freed_sql("0")),
     "c_fk_action_restrict": Query(
         _action("RESTRICT"),

@@ -59,7 +59,9 @@ def _feed(spark, d, prune=True):
 
 
 def _flat(feed: DataFrame) -> DataFrame:
-    return feed.withColumn("changed", F.concat_ws(",", "changed"))
+    """The feed without lists, and with whole numbers that may be NULL as text."""
+    numbers = {c: F.col(c).cast("string") for c in ("old_c_nationkey", "new_c_nationkey")}
+    return feed.withColumns({"changed": F.concat_ws(",", "changed"), **numbers})
 
 
 BOTH = {"l": LIVE_ROWS, "r": DECLARED_ROWS}
@@ -88,6 +90,9 @@ FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE l.c_custkey = r.c_custkey)
 """
 FEED = f"{UPDATES} UNION ALL {INSERTS} UNION ALL {DELETES}"
 
+FLAT = """SELECT * REPLACE (CAST(old_c_nationkey AS VARCHAR) AS old_c_nationkey,
+                  CAST(new_c_nationkey AS VARCHAR) AS new_c_nationkey) FROM {}"""
+
 # --- conform -----------------------------------------------------------------
 
 PART_TEXT = """
@@ -372,12 +377,12 @@ def _sql(body: str, **inputs: str) -> str:
 
 
 QUERIES = {
-    "r_change_feed": Query(lambda s, d: _flat(_feed(s, d)), _sql(FEED)),
+    "r_change_feed": Query(lambda s, d: _flat(_feed(s, d)), _sql(FLAT.format("f"), **BOTH, f=FEED)),
     "r_inserts": Query(
         lambda s, d: missing_rows(_live(s, d), _declared(s, d), KEY),
         _sql("SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.c_custkey = r.c_custkey)"),
     ),
-    "r_updates": Query(lambda s, d: _flat(diff.updates(_feed(s, d, prune=False))), _sql(UPDATES)),
+    "r_updates": Query(lambda s, d: _flat(diff.updates(_feed(s, d, prune=False))), _sql(FLAT.format("u"), **BOTH, u=UPDATES)),
     "r_update_columns": Query(
         lambda s, d: diff.update_columns(_feed(s, d, prune=False), KEY),
         _sql(
@@ -423,8 +428,14 @@ FROM p WHERE length(rtrim(p_name)) <= 9 AND try_cast(p_price AS DECIMAL(8,1)) IS
     ),
     "r_conform_rejects": Query(conform_rejects, _sql(REJECTED, p=PART_TEXT)),
     "r_null_keys": Query(
-        lambda s, d: cf.null_keys(in_spark(s, d, LINES), LINE_KEY),
-        _sql("SELECT * FROM k WHERE l_orderkey IS NULL OR l_linenumber IS NULL", k=LINES),
+        lambda s, d: cf.null_keys(in_spark(s, d, LINES), LINE_KEY).select(
+            "l_orderkey", F.col("l_linenumber").cast("string").alias("l_linenumber"), "l_partkey", "l_suppkey"
+        ),
+        _sql(
+            """SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_partkey, l_suppkey FROM k
+WHERE l_orderkey IS NULL OR l_linenumber IS NULL""",
+            k=LINES,
+        ),
     ),
     "r_duplicate_keys": Query(
         lambda s, d: cf.duplicate_keys(table(s, d, "lineitem"), LINE_KEY),

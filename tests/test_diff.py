@@ -155,6 +155,13 @@ def test_json_equality(spark, a, b, equal):
     assert df.select(same(F.col("a"), F.col("b"), "json").alias("e")).first().e is equal
 
 
+def test_long_json_compares_whole(spark):
+    text = '{"b": "%s", "a": %s}'
+    rows = [(text % ('x\\n"'.replace('"', '\\"') * 200_000, n), text % ('x\\n"'.replace('"', '\\"') * 200_000, 1)) for n in (1, 2)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r.e for r in df.select(same(F.col("a"), F.col("b"), "json").alias("e")).collect()] == [True, False]
+
+
 def test_floats_compare_by_value(spark):
     df = spark.sql("SELECT double('NaN') AS a, double('NaN') AS b, -0.0D AS c, 0.0D AS d")
     row = df.select(same(F.col("a"), F.col("b")).alias("nan"), same(F.col("c"), F.col("d")).alias("zero")).first()
