@@ -48,14 +48,18 @@ def _link(pairs: Pairs) -> Column:
     return reduce(and_, [F.col(f"`{child}`") == F.col(f"parent__{parent}") for child, parent in pairs])
 
 
-def with_match(
+def matching(
     child: DataFrame,
     parent: DataFrame,
     pairs: Pairs,
+    how: str,
     broadcast_rows: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Child rows with ``matched``: whether their (child, parent) columns meet a parent.
+    """Child rows by whether their (child, parent) columns meet a parent.
+
+    ``left_semi`` gives those that do, ``left_anti`` those that do not,
+    ``left`` all of them with a column ``matched``.
 
     Parents measured to be small are broadcast and the child stays where it
     lies. Otherwise both are shuffled on the key, but for two kinds of children
@@ -64,31 +68,37 @@ def with_match(
     """
     fk = [c for c, _ in pairs]
     parent_key = [f"parent__{p}" for _, p in pairs]
-    keys = parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
-    keys = keys.filter(none_null(parent_key)).distinct().withColumn("parent__hit", F.lit(True))
+    keys = parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs]).filter(none_null(parent_key))
+    keyless = child.filter(any_null(fk))
+    if how == "left":
+        # A parent listed twice must not double its children.
+        keys = keys.distinct().withColumn("parent__hit", F.lit(True))
+        keyless = keyless.withColumn("matched", F.lit(False))
 
     def met(rows: DataFrame, known: DataFrame) -> DataFrame:
-        return rows.join(known, _link(pairs), "left").select(
-            *child.columns, F.col("parent__hit").isNotNull().alias("matched")
-        )
+        joined = rows.join(known, _link(pairs), how)
+        if how == "left":
+            return joined.select(*child.columns, F.col("parent__hit").isNotNull().alias("matched"))
+        return joined
 
     if fits(keys, broadcast_rows):
         return met(child, F.broadcast(keys))
-    keyless = child.filter(any_null(fk)).withColumn("matched", F.lit(False))
     keyed = child.filter(none_null(fk))
     hot = hot_keys(keyed.select(*fk), fk, hot_rows)
     if hot is None:
-        return met(keyed, keys).unionByName(keyless)
-    hot_parents = keys.join(F.broadcast(hot.toDF(*parent_key)), parent_key, "left_semi")
-    hot_children = keyed.join(F.broadcast(hot), fk, "left_semi")
-    others = keyed.join(F.broadcast(hot), fk, "left_anti")
-    return met(others, keys).unionByName(met(hot_children, F.broadcast(hot_parents))).unionByName(keyless)
+        result = met(keyed, keys)
+    else:
+        hot_parents = keys.join(F.broadcast(hot.toDF(*parent_key)), parent_key, "left_semi").distinct()
+        hot_children = keyed.join(F.broadcast(hot), fk, "left_semi")
+        others = keyed.join(F.broadcast(hot), fk, "left_anti")
+        result = met(others, keys).unionByName(met(hot_children, F.broadcast(hot_parents)))
+    return result if how == "left_semi" else result.unionByName(keyless)
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int | None = None) -> DataFrame:
     """Child rows whose parent does not exist; a NULL part passes."""
     keyed = child.filter(none_null([c for c, _ in pairs]))
-    return with_match(keyed, parent, pairs, broadcast_rows).filter(~F.col("matched")).drop("matched")
+    return matching(keyed, parent, pairs, "left_anti", broadcast_rows)
 
 
 def fk_action(
@@ -104,13 +114,13 @@ def fk_action(
     CASCADE drops the children, SET NULL and SET DEFAULT let go of the parent.
     RESTRICT and NO ACTION allow no such delete: they return the children in its way.
     """
-    met = with_match(child, deleted, pairs, broadcast_rows)
     if action == "CASCADE":
-        return met.filter(~F.col("matched")).drop("matched")
+        return matching(child, deleted, pairs, "left_anti", broadcast_rows)
     if action in ("RESTRICT", "NO ACTION"):
-        return met.filter("matched").drop("matched")
+        return matching(child, deleted, pairs, "left_semi", broadcast_rows)
     if action not in ("SET NULL", "SET DEFAULT"):
         raise ValueError(f"unknown referential action {action}")
+    met = matching(child, deleted, pairs, "left", broadcast_rows)
     fk = [c for c, _ in pairs]
     freed = {c: F.expr((defaults or {})[c]) if action == "SET DEFAULT" else F.lit(None) for c in fk}
     return met.select(

@@ -6,13 +6,16 @@ nullable, default_expr.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.fixed import DEFAULT_NAMESPACE
 from evenkeel.functions.assign import assignment, refusal, storage_type
-from evenkeel.operators.constraints import with_match
+from evenkeel.operators.constraints import matching
 from evenkeel.operators.spec import Column, TableContract
+from evenkeel.sources.snapshots import SnapshotStore
 
 CATALOG = "namespace string, table_name string, column_name string, type string, nullable boolean, default_expr string"
 COLUMN_KEY = ["namespace", "table_name", "column_name"]
@@ -41,7 +44,8 @@ def drift(
         live = live.filter(F.col("namespace").isin(namespaces))
         desired = desired.filter(F.col("namespace").isin(namespaces))
     scope = ["namespace"] if strict else ["namespace", "table_name"]
-    live = with_match(live, desired, [(c, c) for c in scope], broadcast_rows).filter("matched")
+    declared = desired.select(*scope).distinct()
+    live = matching(live, declared, [(c, c) for c in scope], "left_semi", broadcast_rows)
     left = live.select(*COLUMN_KEY, *[F.col(a).alias(f"live__{a}") for a in ATTRIBUTES], F.lit(True).alias("in_live"))
     right = desired.select(
         *COLUMN_KEY, *[F.col(a).alias(f"desired__{a}") for a in ATTRIBUTES], F.lit(True).alias("in_desired")
@@ -72,6 +76,12 @@ def drift(
     return both.select(*COLUMN_KEY, F.explode(F.array_compact(found)).alias("d")).select(*COLUMN_KEY, "d.*")
 
 
+def drifting_tables(differences: DataFrame, tables: list[str]) -> set[str]:
+    """Which of these tables have a shape difference."""
+    found = differences.filter(F.col("table_name").isin(tables)).select("table_name").distinct()
+    return {r.table_name for r in found.collect()}
+
+
 def evolve(rows: DataFrame, desired: list[Column], *, strict: bool = False) -> DataFrame:
     """The rows in the desired shape: one projection.
 
@@ -103,3 +113,16 @@ def missing_namespaces(declared: DataFrame, existing: DataFrame) -> DataFrame:
         F.col("namespace").isNotNull() & ~F.col("namespace").isin("", DEFAULT_NAMESPACE)
     )
     return wanted.distinct().join(existing.select("namespace").distinct(), "namespace", "left_anti")
+
+
+def evolve_stored(store: SnapshotStore, name: str, desired: list[Column], *, strict: bool = False) -> bool:
+    """Bring a stored table to the desired shape; False if it has that shape, and then nothing is written."""
+    version, tables = store.current()
+    stored = tables[name]
+    rows = store.read(stored)
+    shaped = evolve(rows, desired, strict=strict)
+    if shaped.schema.simpleString() == rows.schema.simpleString():
+        return False
+    new = store.write(name, shaped, stored.key, stored.buckets)
+    store.publish({name: replace(new, sequences=stored.sequences)}, version)
+    return True

@@ -15,6 +15,7 @@ from evenkeel.operators import constraints
 from evenkeel.operators.conform import check_keys, check_live_key, conform, conform_rejects
 from evenkeel.operators.converge import conformed_defaults, converge
 from evenkeel.operators.diff import change_feed, plan_lines, plan_summary
+from evenkeel.operators.evolve import drifting_tables
 from evenkeel.operators.spec import (
     Refused,
     TableContract,
@@ -116,10 +117,18 @@ class Reconciler:
         self.store, self.spark = store, store.spark
         self.contracts = {c.name: c for c in contracts}
 
-    def plan(self, specs: list[TableSpec], changing: Iterable[str] = ()) -> list[TablePlan]:
-        """What would be done, parents first. Tables in ``changing`` are about to
-        get another shape and are reported as not to be diffed yet."""
-        return self._plan(specs, set(changing), self.store.current()[1])
+    def plan(
+        self, specs: list[TableSpec], changing: Iterable[str] = (), shape_drift: DataFrame | None = None
+    ) -> list[TablePlan]:
+        """What would be done, parents first.
+
+        Tables that are about to get another shape, named in ``changing`` or
+        found in ``shape_drift``, are reported as not to be diffed yet.
+        """
+        reshaped = set(changing)
+        if shape_drift is not None:
+            reshaped |= drifting_tables(shape_drift, [s.table for s in specs])
+        return self._plan(specs, reshaped, self.store.current()[1])
 
     def _plan(self, specs: list[TableSpec], changing: set[str], tables: dict[str, Stored]) -> list[TablePlan]:
         specs = [replace(s, owner=s.owner or s.table) for s in specs]

@@ -75,7 +75,11 @@ def test_prune_reach(spark, family):
 
 def test_hot_parents_go_around_the_shuffle(spark, family):
     child, parent, children, parents = family
-    met = cs.with_match(child, parent, PAIRS, LARGE, hot_rows=50)
+    for how in ("left_semi", "left_anti"):
+        ids = sorted(r.id for r in cs.matching(child, parent, PAIRS, how, LARGE, hot_rows=50).collect())
+        hit = {i for i, p, s in children if p is not None and (p, s) in parents}
+        assert ids == [r[0] for r in children if (r[0] in hit) == (how == "left_semi")]
+    met = cs.matching(child, parent, PAIRS, "left", LARGE, hot_rows=50)
     got = {r.id: r.matched for r in met.collect()}
     assert got == {i: p is not None and (p, s) in parents for i, p, s in children}
     assert [tuple(r) for r in hot_keys(child.dropna(), ["parent", "side"], 50).collect()] in (

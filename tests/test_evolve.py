@@ -1,7 +1,8 @@
 import pytest
 
-from evenkeel.operators.evolve import CATALOG, catalog_of, drift, evolve, missing_namespaces
+from evenkeel.operators.evolve import CATALOG, catalog_of, drift, drifting_tables, evolve, evolve_stored, missing_namespaces
 from evenkeel.operators.spec import Column, TableContract
+from evenkeel.sources.snapshots import SnapshotStore
 
 LIVE = [
     ("declared", "t", "id", "bigint", False, None),
@@ -52,6 +53,21 @@ def test_evolve_adds_casts_orders_and_is_idempotent(spark):
     assert evolve(rows, shape, strict=True).columns == ["n", "id", "name"]
 
 
+def test_evolve_stored_writes_once(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.create("items", spark.range(5).selectExpr("CAST(id AS INT) AS id"), ["id"], 4)
+    shape = [Column("id", "bigint"), Column("name", "text", False, "''")]
+    assert evolve_stored(store, "items", shape)
+    version = store.current()[0]
+    assert sorted(tuple(r) for r in store.table("items").collect()) == [(i, "") for i in range(5)]
+    assert not evolve_stored(store, "items", shape) and store.current()[0] == version
+
+
+def test_drifting_tables(spark):
+    live, desired = spark.createDataFrame(LIVE, CATALOG), spark.createDataFrame(DESIRED, CATALOG)
+    assert drifting_tables(drift(live, desired), ["t", "side"]) == {"t"}
+
+
 def test_evolve_refuses_what_does_not_fit(spark):
     rows = spark.sql("SELECT 1 AS id, 'abcd' AS name")
     with pytest.raises(Exception, match="value too long for type character varying"):
