@@ -39,7 +39,10 @@ def comparable(c: Column, declared: str) -> Column:
 
 
 def same(a: Column, b: Column, declared: str = "string") -> Column:
-    return comparable(a, declared).eqNullSafe(comparable(b, declared))
+    """Whether two values mean the same; equal text, the usual case, is not looked into."""
+    as_written = a.eqNullSafe(b)
+    left, right = comparable(a, declared), comparable(b, declared)
+    return as_written if left is a else as_written | left.eqNullSafe(right)
 
 
 def all_same(pairs: list[tuple[Column, Column, str]]) -> Column:
