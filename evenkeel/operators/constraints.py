@@ -148,7 +148,9 @@ def prune_reach(
         gone.join(per_parent, _link(pairs))
         .groupBy(*by)
         .agg(F.sum("rows_reached").cast("long").alias("rows_reached"), F.count(F.lit(1)).alias("parents"))
-        .select(F.lit(constraint).alias("constraint_name"), F.lit(action).alias("action"), *by, "rows_reached", "parents")
+        .select(
+            F.lit(constraint).alias("constraint_name"), F.lit(action).alias("action"), *by, "rows_reached", "parents"
+        )
     )
 
 

@@ -91,7 +91,8 @@ def table_violations(contract: TableContract, rows: DataFrame, touched: DataFram
         if unique and set(unique) != set(key):
             values = broadcast_if_fits(touched.select(*unique).distinct())
             held = rows.select(*unique).join(values, list(unique), "left_semi")
-            found.append(_counted(table, f"unique ({', '.join(unique)})", constraints.unique_violations(held, list(unique))))
+            broken = constraints.unique_violations(held, list(unique))
+            found.append(_counted(table, f"unique ({', '.join(unique)})", broken))
     for name, predicate in contract.checks.items():
         found.append(_counted(table, f"check {name}", constraints.check_violations(touched, predicate)))
     return found

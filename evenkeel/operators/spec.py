@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.fixed import REACHING_ACTIONS, REFUSALS
@@ -196,7 +195,3 @@ def declared_rows(spark, query: str, owner: str = "") -> DataFrame:
         return spark.sql(query)
     except Exception as e:
         raise Refused("query_failed", owner, error=str(e).splitlines()[0]) from e
-
-
-def default_value(column: Column):
-    return F.expr(column.default) if column.default is not None else F.lit(None)

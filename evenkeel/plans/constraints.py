@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.operators import constraints as cs
+from evenkeel.operators.pair import missing_rows
 from evenkeel.operators.rejects import reject_summary
 from evenkeel.plans.base import Query, in_spark, table, with_inputs
 from evenkeel.plans.reconcile import (
@@ -16,7 +17,6 @@ from evenkeel.plans.reconcile import (
     PART_TEXT,
     REJECTED,
     conform_rejects,
-    missing_rows,
 )
 
 DOCUMENTS_WITH_NULLS = """

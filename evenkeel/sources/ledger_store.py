@@ -98,7 +98,10 @@ class LedgerStore:
         return self._work([(items[r.n], r.status not in ("applied", "drift")) for r in state], RunReport())
 
     def adopt(self, items: list[Item]) -> RunReport:
-        """Take over a system that is as it is: run-once items count as done, the others run whatever their checksum."""
+        """Take over a system that is as it is.
+
+        Run-once items count as done, the others run whatever their checksum.
+        """
         manifest = self._manifest(items)
         self.append(ops.baseline(manifest.filter(ops.is_run_once())))
         order = ops.work_list(ops.adopt_actions(manifest)).collect()

@@ -70,9 +70,8 @@ def parse_manifest(files: DataFrame, layout: str = "folder") -> DataFrame:
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """All ``.sql`` files below a folder: path below it, content as bytes."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").load(root)
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = files.option("pathGlobFilter", "*.sql").load(root)
     # The scan reports full paths with a scheme; the root is given without one or with it.
     below = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
     return found.select(F.substring_index(F.col("path"), below, -1).alias("path"), "content")
