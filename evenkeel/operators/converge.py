@@ -36,7 +36,7 @@ def converge(
         raise ValueError("touch columns need the time to set")
     types, defaults = types or {}, defaults or {}
     values = [c for c in declared.columns if c not in key]
-    paired = pair(live, declared, key, keep_unlisted=not prune, broadcast_rows=broadcast_rows)
+    paired = pair(live, declared, key, keep_unlisted=not prune, types=types, broadcast_rows=broadcast_rows)
     # With prune the pairs hold declared rows only, so there is nothing left to delete.
     paired = paired.withColumn("op", operation(values, types, prune=False))
     written = F.col("op").isNotNull()

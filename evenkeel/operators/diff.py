@@ -44,7 +44,7 @@ def change_feed(
     types = types or {}
     values = [c for c in declared.columns if c not in key]
     paired = pair(
-        live.select(*key, *values), declared, key, keep_unlisted=prune, broadcast_rows=broadcast_rows
+        live.select(*key, *values), declared, key, keep_unlisted=prune, types=types, broadcast_rows=broadcast_rows
     ).withColumn("op", operation(values, types, prune))
     update = F.col("op") == "update"
     changed = [
@@ -52,7 +52,7 @@ def change_feed(
     ]
     return paired.filter(F.col("op").isNotNull()).select(
         "op",
-        *[F.coalesce(DECLARED + k, LIVE + k).alias(k) for k in key],
+        *[F.coalesce(LIVE + k, DECLARED + k).alias(k) for k in key],
         (F.array_compact(F.array(*changed)) if changed else F.array().cast("array<string>")).alias("changed"),
         *[F.when(update, F.col(LIVE + c)).alias(f"old_{c}") for c in values],
         *[F.when(F.col("op") != "delete", F.col(DECLARED + c)).alias(f"new_{c}") for c in values],

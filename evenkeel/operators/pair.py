@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import fits
+from evenkeel.functions.compare import comparable
 from evenkeel.operators.conform import any_null, none_null
 
 LIVE, DECLARED = "live__", "declared__"
@@ -16,7 +17,13 @@ IN_LIVE, IN_DECLARED = "in_live", "in_declared"
 
 
 def pair(
-    live: DataFrame, declared: DataFrame, key: list[str], *, keep_unlisted: bool, broadcast_rows: int | None = None
+    live: DataFrame,
+    declared: DataFrame,
+    key: list[str],
+    *,
+    keep_unlisted: bool,
+    types: dict[str, str] | None = None,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Match rows by key: ``live__*`` and ``declared__*`` columns and two presence flags.
 
@@ -29,14 +36,22 @@ def pair(
 
     ``keep_unlisted`` says whether live rows nobody declared are wanted. Their
     NULL keys match nothing; in the shuffled shape they go around the join, as
-    otherwise all of them would meet in one task.
+    otherwise all of them would meet in one task. ``types`` lets fixed-length
+    text keys match whether or not they are padded.
     """
+    types = types or {}
     left = live.select(*[F.col(f"`{c}`").alias(LIVE + c) for c in live.columns], F.lit(True).alias(IN_LIVE))
     right = declared.select(
         *[F.col(f"`{c}`").alias(DECLARED + c) for c in declared.columns], F.lit(True).alias(IN_DECLARED)
     )
     live_key, declared_key = [LIVE + k for k in key], [DECLARED + k for k in key]
-    match = reduce(and_, [F.col(a) == F.col(b) for a, b in zip(live_key, declared_key)])
+    match = reduce(
+        and_,
+        [
+            comparable(F.col(LIVE + k), types.get(k, "string")) == comparable(F.col(DECLARED + k), types.get(k, "string"))
+            for k in key
+        ],
+    )
 
     if fits(declared, broadcast_rows):
         met = left.join(F.broadcast(right), match, "left" if keep_unlisted else "inner")

@@ -176,7 +176,8 @@ class Reconciler:
         if set(stored.key) != set(key):
             return None
         # One row per bucket: the number of buckets at most.
-        return [r[0] for r in rows.select(self.store.bucket_of(stored.key, stored.buckets)).distinct().collect()]
+        bucket = self.store.bucket_of(rows, stored.key, stored.buckets)
+        return [r[0] for r in rows.select(bucket).distinct().collect()]
 
     def apply(self, specs: list[TableSpec], now: datetime) -> list[TablePlan]:
         """Write and check every table's next snapshot, then publish all of them at once.
@@ -243,7 +244,7 @@ class Reconciler:
     ) -> DataFrame:
         live, declared = self.store.read(stored, hit), plan.declared
         if hit is not None:
-            declared = declared.filter(self.store.bucket_of(stored.key, stored.buckets).isin(hit))
+            declared = declared.filter(self.store.bucket_of(declared, stored.key, stored.buckets).isin(hit))
         rows = converge(
             live,
             declared,

@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.operators.conform import any_null
 
@@ -72,15 +73,20 @@ class SnapshotStore:
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def bucket_of(self, key: list[str], buckets: int) -> Column:
-        """The bucket of a row; rows without a key have one of their own."""
-        hashed = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(buckets))
+    def bucket_of(self, rows: DataFrame, key: list[str], buckets: int) -> Column:
+        """The bucket of a row; rows without a key have one of their own.
+
+        Blanks at the end do not count, so that padded text is found where it is not padded.
+        """
+        parts = [F.col(f"`{k}`") for k in key]
+        text = [isinstance(f.dataType, T.StringType) for f in rows.select(*parts).schema.fields]
+        hashed = F.pmod(F.xxhash64(*[F.rtrim(c) if t else c for c, t in zip(parts, text)]), F.lit(buckets))
         return F.when(any_null(key), KEYLESS).otherwise(hashed).cast("int")
 
     def write(self, name: str, rows: DataFrame, key: list[str], buckets: int = 1) -> Stored:
         """Write rows to a new folder, unpublished. Rebalancing splits a large bucket into several files."""
         path = f"{self.folder(name)}/{uuid.uuid4().hex}"
-        placed = rows.withColumn(BUCKET, self.bucket_of(key, buckets))
+        placed = rows.withColumn(BUCKET, self.bucket_of(rows, key, buckets))
         placed.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(path)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
         return Stored(schema, list(key), buckets, {str(b): f"{path}/{BUCKET}={b}" for b in self._written(path)})

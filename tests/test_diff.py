@@ -116,6 +116,17 @@ def test_key_only_declaration(spark):
         assert sorted((r.op, r.id) for r in feed.collect()) == [("delete", 1), ("insert", 3)]
 
 
+@pytest.mark.parametrize("limit", [SMALL, LARGE])
+def test_char_keys_match_padded_or_not(spark, limit):
+    live = spark.sql("SELECT * FROM VALUES ('US', 'a'), ('CA ', 'b'), ('UK ', 'c') AS t(code, name)")
+    want = spark.sql("SELECT * FROM VALUES ('US ', 'a'), ('CA ', 'x'), ('FR ', 'd') AS t(code, name)")
+    how = {"types": {"code": "char(3)"}, "prune": True, "broadcast_rows": limit}
+    feed = change_feed(live, want, ["code"], **how)
+    assert sorted((r.op, r.code) for r in feed.collect()) == [("delete", "UK "), ("insert", "FR "), ("update", "CA ")]
+    after = converge(live, want, ["code"], **how)
+    assert sorted(tuple(r) for r in after.collect()) == [("CA ", "x"), ("FR ", "d"), ("US", "a")]
+
+
 def test_json_and_char_compare_by_content(spark):
     live = spark.sql("SELECT 'a' AS code, '{\"x\": 1, \"y\": [1, 2]}' AS meta, 'US ' AS iso, '(1,2)' AS loc")
     want = spark.sql("SELECT 'a' AS code, '{\"y\":[1,2],\"x\":1}' AS meta, 'US' AS iso, '(1,2)' AS loc")
