@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +30,8 @@ NO_PAIR = np.iinfo(np.int32).max
 #: Words of more symbols merge by a heap; rounds times length would be quadratic.
 LONG_WORD = 2000
 #: Characters of text worked on at once, and words a worker remembers.
-SLICE_CHARS = 2_000_000
-MEMORY_WORDS = 300_000
+SLICE_CHARS = 500_000
+MEMORY_WORDS = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -242,11 +242,11 @@ class Encoder:
         return self.ids[_spread(self.at[k], lens)], counts
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """The texts in runs of about so many characters."""
+def slices(texts: Iterable, chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """The texts, strings or Arrow scalars, in runs of about so many characters."""
     run, size = [], 0
     for t in texts:
-        run.append(t or "")
+        run.append((t.as_py() if isinstance(t, pa.Scalar) else t) or "")
         size += len(run[-1])
         if size >= chars:
             yield run
@@ -275,7 +275,7 @@ def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
             ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for run in slices(batch.to_pylist()):
+            for run in slices(batch):
                 some, n = encoder.encode(run)
                 ids.append(some.astype(np.int32))
                 counts.append(n)
@@ -293,13 +293,16 @@ def bpe_decode(spark: SparkSession, ids: Column, path: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts = np.asarray(batch.value_lengths().fill_null(0)).astype(np.int64)
-            ids = np.asarray(batch.flatten().fill_null(-1)).astype(np.int64)
-            texts, first, row = [], 0, 0
+            ids = batch.flatten()
+            upto = np.cumsum(counts)
+            texts, row = [], 0
             while row < len(counts):
-                upto = max(row + 1, int(np.searchsorted(np.cumsum(counts[row:]), SLICE_CHARS // 4)) + row)
-                n = int(counts[row:upto].sum())
-                texts += decode_batch(ids[first : first + n], counts[row:upto], vocabulary.value)
-                row, first = upto, first + n
-            yield pa.array(texts, pa.string())
+                first = int(upto[row] - counts[row])
+                last = max(row + 1, int(np.searchsorted(upto, first + SLICE_CHARS // 4)))
+                some = ids.slice(first, int(upto[last - 1]) - first).fill_null(-1)
+                run = decode_batch(np.asarray(some).astype(np.int64), counts[row:last], vocabulary.value)
+                texts.append(pa.array(run, pa.string()))
+                row = last
+            yield pa.concat_arrays([pa.array([], pa.string()), *texts])
 
     return decode(ids)
