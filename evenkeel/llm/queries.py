@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm.bpe import bpe_decode, bpe_encode
+from evenkeel.llm.decontaminate import find_overlaps
+from evenkeel.llm.minhash import Rule, near_duplicates
+from evenkeel.llm.pii import BASE, personal_spans
 from evenkeel.llm.sharding import shard_by_bytes
 from evenkeel.plans.base import Query, table
 
@@ -32,6 +35,33 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Rule(words=2, percent=80))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that overlap."""
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", personal_spans(F.col("text")).alias("found"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def of_kind(kind):
+        return F.filter("found", lambda s: s.kind == kind)
+
+    base = F.filter("found", lambda s: s.kind.isin(*BASE))
+    return found.select(
+        "doc_id",
+        *(F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in BASE),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
+
+
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -47,5 +77,8 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": Query(bpe),
+    "op2_minhash": Query(minhash),
     "op3_sharding": Query(sharding),
+    "op4_decontamination": Query(decontamination),
+    "op6_pii": Query(pii),
 }
