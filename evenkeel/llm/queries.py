@@ -6,14 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.llm.ann import nearest
 from evenkeel.llm.bpe import bpe_decode, bpe_encode
 from evenkeel.llm.decontaminate import find_overlaps
+from evenkeel.llm.html_text import article_text
+from evenkeel.llm.licences import licence_scan
 from evenkeel.llm.minhash import Rule, near_duplicates
 from evenkeel.llm.pii import BASE, personal_spans
 from evenkeel.llm.sharding import shard_by_bytes
+from evenkeel.llm.toxicity import toxicity, toxicity_model
+from evenkeel.llm.warc import read_warc, write_warc
 from evenkeel.plans.base import Query, table
+from evenkeel.session import new_path
 
 SHARDS = 16
+TOXIC_FROM = 0.7
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -75,10 +82,66 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", article_text(F.col("html")).alias("text"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
+    write_warc(table(spark, sf_dir, "pages"), folder, at_least=0)
+    return read_warc(spark, folder).drop("payload")
+
+
+def remainder(id_col: str):
+    """crc32 of the id as text, modulo 3; rows of remainder 1 are held out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+def learnable(id_col: str):
+    return remainder(id_col) != 1
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs.filter(learnable("doc_id")), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity(docs, F.col("text"), model).alias("score"))
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id") == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
+def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", licence_scan(F.col("text")).alias("f"))
+    return found.select(
+        "doc_id",
+        "f.n_words",
+        "f.n_base",
+        "f.first_word",
+        "f.last_word",
+        F.array_join("f.base_labels", ",").alias("base_labels"),
+        F.array_join("f.labels", ",").alias("labels"),
+        F.when(F.col("f.n_words") > 0, F.col("f.covered") / F.col("f.n_words")).otherwise(0.0).alias("score"),
+    )
+
+
 QUERIES = {
     "op1_bpe": Query(bpe),
     "op2_minhash": Query(minhash),
     "op3_sharding": Query(sharding),
     "op4_decontamination": Query(decontamination),
+    "op5_html": Query(html),
     "op6_pii": Query(pii),
+    "op7_ann": Query(ann),
+    "op8_warc": Query(warc),
+    "op9_toxicity": Query(toxic),
+    "op10_licences": Query(licences),
 }

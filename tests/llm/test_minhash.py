@@ -1,0 +1,121 @@
+import random
+
+import numpy as np
+import pytest
+
+from evenkeel.llm import minhash, queries
+from evenkeel.llm.components import components
+from evenkeel.llm.minhash import Rule, near_duplicates
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingle_set(text, k):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute(docs, k, percent=80):
+    sets = {i: shingle_set(t, k) for i, t in docs}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                ra, rb = root(a), root(b)
+                up[max(ra, rb)] = min(ra, rb)
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def judged(df, rule):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, rule).collect()}
+
+
+def planted(seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    docs = []
+    for _ in range(12):
+        base = rng.choices(vocab, k=rng.randint(3, 120))
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 12))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            docs.append((len(docs), " ".join(copy)))
+    return docs
+
+
+@pytest.mark.parametrize("seed, words", [(1, 2), (2, 5), (3, 1)])
+def test_components_are_those_of_all_pairs(spark, frame, seed, words):
+    docs = planted(seed)
+    assert judged(frame(docs), Rule(words, 80)) == brute(docs, words)
+
+
+def test_blocks_of_one_key(spark, frame, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    docs = planted(5)
+    assert judged(frame(docs), Rule(2, 80)) == brute(docs, 2)
+
+
+def test_nulls_empties_ties_and_repeats(spark, frame):
+    docs = [(5, None), (6, ""), (7, " \t\n"), (4, "One"), (3, "one"), (2, "a b c d e f"), (9, "A B c d e f"), (None, "one")]
+    rows = near_duplicates(frame([*docs, (9, "A B c d e f")]), Rule(2, 80)).collect()
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in rows)
+    assert got == sorted(
+        [
+            ("5", 0, 5, True), ("6", 0, 6, True), ("7", 0, 7, True), ("3", 1, 3, True), ("4", 1, 3, False),
+            ("2", 5, 2, True), ("9", 5, 2, False), ("9", 5, 2, False), ("None", 1, None, True),
+        ]
+    )
+    assert near_duplicates(frame(docs).limit(0), Rule(2, 80)).collect() == []
+
+
+def test_a_hot_group_and_a_very_long_text(spark, frame):
+    long = " ".join(f"x{i}" for i in range(60_000))
+    docs = [(i, "the same words every time") for i in range(300)] + [(300, long), (301, long + " tail")]
+    got = judged(frame(docs), Rule(5, 80))
+    assert all(got[i][1] == 0 for i in range(300)) and got[301][1] == 300
+
+
+def test_estimate_corrects_for_chance():
+    rng = np.random.default_rng(1)
+    off = []
+    for _ in range(30):
+        x = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+        a, b = minhash.minima(x[:1000]), minhash.minima(x[200:1200])
+        different = minhash.differing(minhash.packed(a[None]), minhash.packed(b[None]))[0]
+        off.append(minhash.estimated(different) - 800 / 1200)
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
+
+
+def test_query_on_all_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.QUERIES["op2_minhash"].run(spark, SF).collect()}
+    assert got == brute(docs, 2)
+
+
+def test_components_of_chains_rings_and_stars(spark):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200 + i, 200 + (i * 7) % 31) for i in range(31)]
+    rng.shuffle(links)
+    links += [(5, 5), (1, 0)]
+    got = {r.u: r.v for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        ra, rb = root(a), root(b)
+        up[max(ra, rb)] = min(ra, rb)
+    nodes = {x for link in links for x in link}
+    assert got == {n: root(n) for n in nodes if root(n) != n}
