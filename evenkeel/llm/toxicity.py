@@ -3,10 +3,10 @@
 A word is the bag of its character n-grams (FEWEST to MOST characters, with marks at
 its ends) and itself, each hashed to one of BUCKETS vectors; its vector is their
 mean. A text is read in windows of WINDOW words, each the average of its words'
-vectors over WINDOW places, and a linear layer gives the window's evidence for
-each class. The text's evidence is the sum of what its windows have above nothing
-(softplus), so that a few words in a long text weigh as much as in a short one, and
-a softmax over the two classes makes it a score. Vectors and layers are trained
+vectors (times WINDOW, which the layer would learn otherwise), and a linear layer
+gives the window's evidence for each class, as far as there is any (softplus). The
+evidence of the windows adds up, and a softmax over the two classes makes it a
+score. Vectors and layers are trained
 together by Adam. A misspelling shares most n-grams with its word, so it scores
 like it without having been seen.
 
@@ -29,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEWEST, MOST = 3, 5
-BUCKETS = 1 << 17
+FEWEST, MOST = 3, 7
+BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 50
-TRAIN_ROWS = 4000
-TRAIN_BYTES = 48 << 20
-EPOCHS = 12
-BATCH = 250
-RATE = 0.05
-DECAY = 1e-4
+TRAIN_ROWS = 8000
+TRAIN_BYTES = 32 << 20
+EPOCHS = 5
+BATCH = 40
+RATE = 0.01
+DECAY = 0.01
+WINDOW_BIAS = -3.0
+LEAST_MET = 10
+LEAST_STEPS = 1000
 MEMORY_WORDS = 200_000
 
 _LETTERS = bytes(
@@ -76,7 +79,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gram, owner = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     gram = gram[order] * _ODD
-    return (gram >> np.uint64(40)).astype(np.int64) % BUCKETS, np.bincount(owner, minlength=len(marked))
+    return (gram >> np.uint64(40)).astype(np.int32) % BUCKETS, np.bincount(owner, minlength=len(marked))
 
 
 @dataclass
@@ -100,90 +103,101 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-@dataclass
-class Batch:
-    """Texts as their distinct words, the words' buckets, and where the words stand."""
-
-    buckets: np.ndarray
-    sizes: np.ndarray
-    word: np.ndarray
-    window: np.ndarray
-    text_of_window: np.ndarray
-    toxic: np.ndarray
-
-
-def batch_of(texts: list[str], toxic: list[int]) -> Batch:
-    ids: dict[bytes, int] = {}
-    word, window, owner, n_windows = [], [], [], 0
-    for t, text in enumerate(texts):
-        k = [ids.setdefault(w, len(ids)) for w in words_of(text)]
-        word.append(np.array(k, np.int32))
-        window.append(n_windows + np.arange(len(k), dtype=np.int32) // WINDOW)
-        count = max(1, -(-len(k) // WINDOW))
-        owner.append(np.full(count, t))
-        n_windows += count
-    buckets, sizes = subwords(list(ids))
-    none = np.zeros(0, np.int32)
-    return Batch(
-        buckets.astype(np.int32),
-        sizes,
-        np.concatenate([none, *word]),
-        np.concatenate([none, *window]),
-        np.concatenate([none, *owner]),
-        np.array(toxic),
-    )
-
-
-def _gathered(b: Batch, evidence: np.ndarray) -> np.ndarray:
-    """Each window's average over WINDOW places, for every class."""
-    starts = np.cumsum(b.sizes) - b.sizes
-    out = np.empty((len(b.text_of_window), evidence.shape[1]))
-    for c in range(evidence.shape[1]):
-        per_word = np.add.reduceat(evidence[b.buckets, c], starts) / b.sizes if len(starts) else np.zeros(0)
-        out[:, c] = np.bincount(b.window, per_word[b.word], len(b.text_of_window)) / WINDOW
-    return out
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The positions start .. start + len - 1 of every range, end to end."""
+    return np.arange(lens.sum()) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
+
+
+class Corpus:
+    """Training texts as numbers of words, and the trained buckets of every word."""
+
+    def __init__(self, texts: list[str]):
+        ids: dict[bytes, int] = {}
+        self.texts = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
+        words = list(ids)
+        del ids
+        # how often each bucket is met, a text counting once for each of its words
+        held_by = np.bincount(np.concatenate([np.zeros(0, np.int32), *map(np.unique, self.texts)]), minlength=len(words))
+        met = np.zeros(BUCKETS)
+        for at in range(0, len(words), 10_000):
+            buckets, sizes = subwords(words[at : at + 10_000])
+            met += np.bincount(buckets, np.repeat(held_by[at : at + 10_000], sizes), BUCKETS)
+        # only vectors met often enough are trained, the others stay zero
+        self.shared = np.flatnonzero(met >= LEAST_MET)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.shared] = np.arange(len(self.shared))
+        kept, lens, whole = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for at in range(0, len(words), 10_000):
+            buckets, sizes = subwords(words[at : at + 10_000])
+            buckets = place[buckets]
+            some = buckets >= 0
+            owner = np.repeat(np.arange(len(sizes)), sizes)[some]
+            kept.append(buckets[some])
+            lens.append(np.bincount(owner, minlength=len(sizes)))
+            whole.append(sizes)
+        self.buckets, self.sizes = np.concatenate(kept), np.concatenate(whole)
+        self.lens = np.concatenate(lens)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def batch(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Buckets and their words, words and their windows, windows and their texts; sizes of the words."""
+        word, window, text, n = [], [], [], 0
+        for t, i in enumerate(chosen):
+            k = self.texts[i]
+            word.append(k)
+            window.append(n + np.arange(len(k)) // WINDOW)
+            count = max(1, -(-len(k) // WINDOW))
+            text.append(np.full(count, t))
+            n += count
+        words, word = np.unique(np.concatenate(word), return_inverse=True)
+        owner = np.repeat(np.arange(len(words)), self.lens[words])
+        buckets = self.buckets[spread(self.starts[words], self.lens[words])]
+        return buckets, owner, word, np.concatenate(window), np.concatenate(text), self.sizes[words]
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
-    model = Model(
-        rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.full(2, -3.0), np.zeros(2)
-    )
-    order = rng.permutation(len(texts))
-    batches = [
-        batch_of([texts[i] for i in order[a : a + BATCH]], [toxic[i] for i in order[a : a + BATCH]])
-        for a in range(0, len(order), BATCH)
-    ]
-    params = [model.vectors, model.layer, model.window_bias, model.bias]
+    corpus, toxic = Corpus(texts), np.array(toxic)
+    shared = len(corpus.shared)
+    vectors, layer = rng.normal(0, 0.1, (shared, DIM)), rng.normal(0, 0.3, (DIM, 2))
+    params = [vectors, layer, np.full(2, WINDOW_BIAS), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(EPOCHS):
-        for k in rng.permutation(len(batches)):
-            b = batches[k]
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))
+    cuts = np.arange(BATCH, len(texts), BATCH)
+    step, steps = 0, epochs * (len(cuts) + 1)
+    for _ in range(epochs):
+        for chosen in np.split(rng.permutation(len(texts)), cuts):
             step += 1
-            raw = _gathered(b, model.bucket_evidence()) + model.window_bias
-            texts_in = len(b.toxic)
-            logits = np.stack([np.bincount(b.text_of_window, softplus(raw[:, c]), texts_in) for c in (0, 1)], axis=1)
-            p = softmax(logits + model.bias)
-            wrong = p.copy()
-            wrong[np.arange(texts_in), b.toxic] -= 1
-            wrong /= texts_in
-            d_raw = wrong[b.text_of_window] / (1 + np.exp(-raw))
-            per_bucket = np.empty((BUCKETS, 2))
+            buckets, owner, word, window, text, sizes = corpus.batch(chosen)
+            evidence = vectors @ layer
+            n_texts, n_windows, n_words = len(chosen), len(text), len(sizes)
+            raw = np.empty((n_windows, 2))
+            for c in (0, 1):
+                per_word = np.bincount(owner, evidence[buckets, c], n_words) / sizes
+                raw[:, c] = np.bincount(window, per_word[word], n_windows) + params[2][c]
+            logits = np.stack([np.bincount(text, softplus(raw[:, c]), n_texts) for c in (0, 1)], axis=1)
+            wrong = softmax(logits + params[3])
+            wrong[np.arange(n_texts), toxic[chosen]] -= 1
+            wrong /= n_texts
+            d_raw = wrong[text] / (1 + np.exp(-raw))
+            per_bucket = np.empty((shared, 2))
             for c in (0, 1):
-                per_word = np.bincount(b.word, d_raw[b.window, c] / WINDOW, len(b.sizes)) / b.sizes
-                per_bucket[:, c] = np.bincount(b.buckets, np.repeat(per_word, b.sizes), BUCKETS)
+                per_word = np.bincount(word, d_raw[window, c], n_words) / sizes
+                per_bucket[:, c] = np.bincount(buckets, per_word[owner], shared)
             grads = [
-                per_bucket @ model.layer.T + DECAY * model.vectors / len(batches),
-                model.vectors.T @ per_bucket,
+                per_bucket @ layer.T + DECAY * BATCH / len(texts) * vectors,
+                vectors.T @ per_bucket,
                 d_raw.sum(axis=0),
                 wrong.sum(axis=0),
             ]
+            rate = RATE * (1 - step / (steps + 1))
             for value, g, m, s in zip(params, grads, first, second):
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
-                value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return model
+                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    full = np.zeros((BUCKETS, DIM))
+    full[corpus.shared] = vectors
+    return Model(full, layer, params[2], params[3])
 
 
 class Scorer:
@@ -215,7 +229,7 @@ class Scorer:
         for t, ws in enumerate(words):
             seen = self.known[np.fromiter(map(get, ws), np.int64, len(ws))]
             cuts = np.arange(0, len(ws), WINDOW)
-            windows = np.add.reduceat(seen, cuts) / WINDOW if len(ws) else np.zeros((1, 2))
+            windows = np.add.reduceat(seen, cuts) if len(ws) else np.zeros((1, 2))
             logits[t] = softplus(windows + self.window_bias).sum(axis=0)
         return softmax(logits + self.bias)[:, 1]
 
