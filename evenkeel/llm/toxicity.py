@@ -33,15 +33,15 @@ FEWEST, MOST = 3, 7
 BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 50
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 10000
 TRAIN_BYTES = 32 << 20
-EPOCHS = 5
+EPOCHS = 6
 BATCH = 40
 RATE = 0.01
-DECAY = 0.01
+DECAY = 0.015
 WINDOW_BIAS = -3.0
-LEAST_MET = 10
-LEAST_STEPS = 1000
+LEAST_MET = 40
+LEAST_STEPS = 800
 MEMORY_WORDS = 200_000
 
 _LETTERS = bytes(
