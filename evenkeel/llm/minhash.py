@@ -11,8 +11,10 @@ their full sets.
 Texts of equal sets are one class from the start. A band key shared by many
 classes does not make pairs of all of them: each is first compared with the
 smallest one. What that links is one component, and only keys whose classes are
-still apart are looked at again, in blocks, for links between different
-components. Links decide components exactly; none within a component is needed.
+still apart are looked at again, in blocks: first each class with its likeliest
+partner in another component, and in the end all likely pairs of different
+components, inside the task that holds both. Links decide components exactly; none
+within a component is needed, and no task writes more pairs than it has rows.
 
 With 42 bands of 6 rows a pair at similarity 0.8 shares no band with probability
 (1 - 0.8^6)^42 < 3e-6, one at 0.85 with less than 1e-9.
@@ -43,7 +45,9 @@ BANDS, ROWS = 42, 6
 BITS = 2
 PLANE = HASHES // 64
 #: Classes of one band key compared at once in a task.
-BLOCK = 2048
+BLOCK = 1024
+#: Rounds of likeliest partners before all that are left are compared.
+ROUNDS = 3
 MEMORY_WORDS = 300_000
 
 _MULTIPLIERS = np.random.default_rng(20_260).integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -241,31 +245,99 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _across(rule: Rule):
-    """Pairs of different components in one block pair of a band key, if hopeful."""
+def _columns(run: pa.Table, names: str) -> list[np.ndarray]:
+    return [run[c].to_numpy() for c in names.split()]
+
+
+def _likely(a: int, b: np.ndarray, part, n, sig, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``b`` in another component than ``a`` that are worth comparing with it, and the estimates."""
+    b = b[part[b] != part[a]]
+    b = b[100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])]
+    estimate = estimated(differing(sig[a], sig[b]))
+    some = estimate >= rule.least_estimate
+    return b[some], estimate[some]
+
+
+def _sides(run: pa.Table, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a task, one and the same for a block with itself."""
+    i, j = run["i"][0].as_py(), run["j"][0].as_py()
+    left = np.flatnonzero(block == i)
+    return left, left if i == j else np.flatnonzero(block == j)
+
+
+def _nearest_apart(rule: Rule):
+    """For each row of two blocks of a key the likeliest partner in another component, if it has one."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, ["key", "i", "j"]):
-            node, part, block, n = (run[c].to_numpy() for c in ("node", "part", "block", "n_shingles"))
+            node, part, block, n = _columns(run, "node part block n_shingles")
             sig = np.stack(run["signature"].to_numpy())
-            i, j = run["i"][0].as_py(), run["j"][0].as_py()
-            left = np.flatnonzero(block == i)
-            right = left if i == j else np.flatnonzero(block == j)
-            out_u, out_v = [], []
+            left, right = _sides(run, block)
+            best, found = np.zeros(len(node)), np.full(len(node), -1)
             for a in left:
-                b = right[right > a] if i == j else right
-                b = b[part[b] != part[a]]
+                b, estimate = _likely(a, right[right > a] if left is right else right, part, n, sig, rule)
                 if len(b):
-                    b = b[100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])]
-                    b = b[estimated(differing(sig[a], sig[b])) >= rule.least_estimate]
-                    out_u.append(np.full(len(b), node[a]))
-                    out_v.append(node[b])
-            u, v = np.concatenate([[], *out_u]).astype(np.int64), np.concatenate([[], *out_v]).astype(np.int64)
-            yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                    top = np.argmax(estimate)
+                    if estimate[top] > best[a]:
+                        best[a], found[a] = estimate[top], b[top]
+                    better = estimate > best[b]
+                    best[b[better]], found[b[better]] = estimate[better], a
+            rows = np.flatnonzero(found >= 0)
+            some = run.take(pa.array(rows)).select(["key", "i", "j", "block", "node"]).combine_chunks()
+            yield from some.append_column("other", pa.array(node[found[rows]], pa.int64())).to_batches()
+
+    return find
+
+
+def _links_apart(rule: Rule):
+    """Confirmed links between components in two blocks of a key; none between what they already join."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["key", "i", "j"]):
+            node, part, block, n = _columns(run, "node part block n_shingles")
+            sig = np.stack(run["signature"].to_numpy())
+            sets = run["shingles"].to_numpy()
+            left, right = _sides(run, block)
+            part = part.copy()
+            links = []
+            for a in left:
+                b, estimate = _likely(a, right[right > a] if left is right else right, part, n, sig, rule)
+                for k in b[np.argsort(-estimate, kind="stable")]:
+                    if part[k] == part[a]:
+                        continue
+                    both = len(np.intersect1d(sets[a], sets[k], assume_unique=True))
+                    if 100 * both >= rule.percent * (len(sets[a]) + len(sets[k]) - both):
+                        links.append((max(node[a], node[k]), min(node[a], node[k])))
+                        part[part == part[k]] = part[a]
+            u, v = ([x[c] for x in links] for c in (0, 1))
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return find
 
 
+def _open_rows(members: DataFrame, facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys whose classes are in several components, for every pair of blocks they take part in."""
+    parted = _with_parts(members.select("key", "node"), labels)
+    keys = written(
+        parted.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+        .filter("n > 2 AND low <> high")
+        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        "open-keys",
+    )
+    rows = attach(parted, keys, "key").join(facts, "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "node", "part", "n_shingles", "signature",
+    )
+
+
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def _with_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
     names = labels.select(F.col("u").alias("node"), F.col("v").alias("__part"))
     return rows.join(names, "node", "left").withColumn("part", F.coalesce("__part", "node")).drop("__part")
@@ -312,27 +384,25 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     if rest.take(1):
         labels = components(confirmed(rest, texts, rule), labels)
 
-    # 3. Keys whose classes are still apart: links between the others, block by block.
-    parted = _with_parts(members.select("key", "node", "centre"), labels)
-    open_keys = written(
-        parted.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-        .filter("n > 2 AND low <> high")
-        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
-        "open-keys",
-    )
-    if open_keys.take(1):
-        rows = attach(parted.select("key", "node", "part"), open_keys, "key").join(facts, "node")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select(
-            "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            "block", "node", "part", "n_shingles", "signature",
-        )
-        found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = written(found.mapInArrow(_across(rule), "u long, v long").distinct(), "across")
-        if found.take(1):
-            labels = components(confirmed(found, texts, rule), labels)
+    # 3. Keys whose classes are still apart: each row with its likeliest partner elsewhere, as long as that
+    # links many, and then whatever is left, in tasks that hold the sets of two blocks.
+    near = "key long, i int, j int, block int, node long, other long"
+    for _ in range(ROUNDS):
+        rows = _open_rows(members, facts, labels)
+        apart = written(_by_blocks(rows).mapInArrow(_nearest_apart(rule), near), "apart")
+        pairs = apart.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        if not apart.take(1):
+            break
+        links = written(confirmed(pairs, texts, rule), "links")
+        if not links.take(1):
+            break
+        labels = components(links, labels)
+    if apart.take(1):
+        nodes = broadcast_if_fits(written(apart.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
+        sets = written(full_sets(texts.join(nodes, "doc_id", "left_semi"), rule.words), "sets")
+        rows = _with_parts(apart.drop("other"), labels).join(facts, "node").join(sets, "node")
+        links = written(_by_blocks(rows).mapInArrow(_links_apart(rule), "u long, v long").distinct(), "links")
+        labels = components(links, labels)
 
     named = _with_parts(classes.select("set_key", "n", "node"), labels)
     named = written(named.select("set_key", "n", F.col("part").alias("component_id")), "named")
