@@ -6,8 +6,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.assign import storage_type
 from evenkeel.functions.bounded import broadcast_if_fits
@@ -24,7 +26,7 @@ from evenkeel.operators.spec import (
     check_isolation,
     order_by_foreign_keys,
 )
-from evenkeel.session import new_path
+from evenkeel.session import forget, new_path
 from evenkeel.sources.snapshots import SnapshotStore, Stored
 
 
@@ -111,6 +113,39 @@ def refuse_violations(found: list[DataFrame]) -> None:
         raise Violated(f"{broken[0].table_name}: {broken[0].rule}: {broken[0].n} violation(s){rest}")
 
 
+def _of_the_query(e: PySparkException) -> bool:
+    """Whether the declared rows themselves failed, and not an executor or the storage: Spark names such errors."""
+    return bool(e.getSqlState()) or "USER_RAISED_EXCEPTION" in str(e)
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def shape_difference(contract: TableContract, stored: Stored) -> str:
+    """How the stored table differs from its contract, empty if rows can go from one to the other.
+
+    Whole numbers of another width are no difference: values that do not fit
+    fail when they are written. Columns only the stored table has stay as they are.
+    """
+    have = {f.name: f.dataType for f in T.DataType.fromDDL(stored.schema).fields}
+    for column in contract.columns:
+        kind = have.get(column.name)
+        if kind is None:
+            return f"it has no column {column.name}"
+        wanted = T.DataType.fromDDL(f"c {storage_type(column.type)}")[0].dataType
+        if kind != wanted and not (isinstance(kind, _WHOLE) and isinstance(wanted, _WHOLE)):
+            return f"column {column.name} is {kind.simpleString()}, not {wanted.simpleString()}"
+    return ""
+
+
+def discard(plans: Iterable[TablePlan]) -> None:
+    """Delete what plans have written to the shared folder; their frames cannot be read afterwards."""
+    for plan in plans:
+        for frame in (plan.declared, plan.feed):
+            if frame is not None:
+                forget(frame)
+
+
 class Reconciler:
     """Plans and applies declarations against the tables of a snapshot store."""
 
@@ -146,6 +181,8 @@ class Reconciler:
             spec = by_table[table]
             if table in changing:
                 plans.append(TablePlan(spec, [], pending=f"the shape of {table} changes in this release"))
+            elif table in tables and (other := shape_difference(self.contracts[table], tables[table])):
+                plans.append(TablePlan(spec, [], pending=f"the stored table {table} has another shape: {other}"))
             else:
                 plans.append(self._plan_table(spec, self.contracts[table], tables[table]))
         return plans
@@ -154,7 +191,9 @@ class Reconciler:
         key = list(spec.resolved_key(contract))
         try:
             declared = written(conform(spec.declared, contract), "declared")
-        except Exception as e:
+        except PySparkException as e:
+            if not _of_the_query(e):
+                raise
             rejected = conform_rejects(spec.declared, contract, key).take(1)
             if not rejected:
                 raise Refused("query_failed", spec.owner, error=str(e).splitlines()[0]) from e
@@ -176,17 +215,22 @@ class Reconciler:
         if set(stored.key) != set(key):
             return None
         # One row per bucket: the number of buckets at most.
-        bucket = self.store.bucket_of(rows, stored.key, stored.buckets)
+        bucket = self.store.bucket_of(rows, stored.key, stored.buckets, stored.schema)
         return [r[0] for r in rows.select(bucket).distinct().collect()]
 
     def apply(self, specs: list[TableSpec], now: datetime) -> list[TablePlan]:
         """Write and check every table's next snapshot, then publish all of them at once.
 
+        A table whose shape is not that of its contract is refused before anything is written.
+
         A table without changes is not written, and of the others only the
         buckets that hold changed keys.
         """
         version, tables = self.store.current()
         plans = {p.spec.table: p for p in self._plan(specs, set(), tables)}
+        for plan in plans.values():
+            if plan.pending:
+                raise Refused("cannot_diff", plan.spec.owner or plan.spec.table, reason=plan.pending)
         changes: dict[str, Stored] = {}
         touched: dict[str, DataFrame] = {}
         found: list[DataFrame] = []
@@ -244,7 +288,9 @@ class Reconciler:
     ) -> DataFrame:
         live, declared = self.store.read(stored, hit), plan.declared
         if hit is not None:
-            declared = declared.filter(self.store.bucket_of(declared, stored.key, stored.buckets).isin(hit))
+            declared = declared.filter(
+                self.store.bucket_of(declared, stored.key, stored.buckets, stored.schema).isin(hit)
+            )
         rows = converge(
             live,
             declared,

@@ -13,12 +13,18 @@ from evenkeel.fixed import REACHING_ACTIONS, REFUSALS
 from evenkeel.functions.assign import storage_type
 
 
+OWN_REFUSALS = {
+    "cannot_diff": "cannot be applied yet: {reason}",
+    "unknown_type": "column {column} has type {type}, which is not known",
+}
+
+
 class Refused(ValueError):
     """A declaration that cannot be carried out exactly as written."""
 
     def __init__(self, kind: str, owner: str = "", **parts: str):
         self.kind = kind
-        text = REFUSALS[kind].format(**parts)
+        text = {**REFUSALS, **OWN_REFUSALS}[kind].format(**parts)
         super().__init__(f"{owner}: {text}" if owner else text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Catalyst and AQE do the planning; these only make sure nothing is switched off.
 CONF = {
@@ -47,3 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder nothing has been written to."""
     return f"{shared_folder(spark).rstrip('/')}/evenkeel/{name}-{uuid.uuid4().hex}"
+
+
+def forget(frame: DataFrame) -> None:
+    """Delete the folders below the shared one that a written frame reads."""
+    spark = frame.sparkSession
+    inside = f"{shared_folder(spark).rstrip('/')}/evenkeel/".removeprefix("file://").removeprefix("file:")
+    folders = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+    for folder in folders:
+        if inside in folder.replace("file://", "").replace("file:", ""):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

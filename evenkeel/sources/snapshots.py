@@ -2,16 +2,20 @@
 
 Each commit is one small file that names, for every table, the folders its
 current rows are in. Readers see the tables of one commit, so several tables
-change at once or not at all. Rows are kept in hash buckets of the key: a change
-that touches few buckets rewrites only those.
+change at once or not at all. The version is the name of the file, and a file that
+exists is never replaced: of two writers that start from one version one fails.
+Rows are kept in hash buckets of the key, as the table stores it: a change that
+touches few buckets rewrites only those.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from evenkeel.operators.conform import any_null
 BUCKET = "bucket__"
 KEYLESS = -1
 COMMIT = "version bigint, tables string"
+_COMMIT_NAME = re.compile(r"v(\d+)\.json")
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,10 @@ class Stored:
     unique: list[list[str]] = field(default_factory=list)
 
 
+def _commit_name(version: int) -> str:
+    return f"v{version:020d}.json"
+
+
 class Conflict(RuntimeError):
     """Something else was published since the tables were read."""
 
@@ -49,17 +58,28 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        """A path of the store and its file system, as the driver's Hadoop client sees them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, name: str) -> list[str]:
+        path, fs = self._path(name)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def versions(self) -> list[int]:
+        """The versions whose commits are there, by their names alone."""
+        return sorted(int(m[1]) for m in map(_COMMIT_NAME.fullmatch, self._names("commits")) if m)
+
+    def at(self, version: int) -> dict[str, Stored]:
+        """The tables of one commit."""
+        row = self.spark.read.schema(COMMIT).json(f"{self.root}/commits/{_commit_name(version)}").first()
+        return {t: Stored(**s) for t, s in json.loads(row.tables).items()}
+
     def current(self) -> tuple[int, dict[str, Stored]]:
-        try:
-            commits = self.spark.read.schema(COMMIT).json(f"{self.root}/commits")
-            last = commits.orderBy(F.desc("version")).limit(1).collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            last = []
-        if not last:
-            return 0, {}
-        return last[0].version, {t: Stored(**s) for t, s in json.loads(last[0].tables).items()}
+        """The last version and its tables. One commit is read, however many there are."""
+        versions = self.versions()
+        return (versions[-1], self.at(versions[-1])) if versions else (0, {})
 
     def read(self, stored: Stored, buckets: list[int] | None = None) -> DataFrame:
         wanted = stored.parts if buckets is None else {b: p for b, p in stored.parts.items() if int(b) in buckets}
@@ -73,14 +93,21 @@ class SnapshotStore:
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def bucket_of(self, rows: DataFrame, key: list[str], buckets: int) -> Column:
+    def bucket_of(self, rows: DataFrame, key: list[str], buckets: int, schema: str | None = None) -> Column:
         """The bucket of a row; rows without a key have one of their own.
 
-        Blanks at the end do not count, so that padded text is found where it is not padded.
+        ``schema`` is that of the stored table: equal values of other types hash
+        differently, so keys are hashed in the types the table stores. Blanks at
+        the end do not count, so that padded text is found where it is not padded.
         """
-        parts = [F.col(f"`{k}`") for k in key]
-        text = [isinstance(f.dataType, T.StringType) for f in rows.select(*parts).schema.fields]
-        hashed = F.pmod(F.xxhash64(*[F.rtrim(c) if t else c for c, t in zip(parts, text)]), F.lit(buckets))
+        stored = T.DataType.fromDDL(schema) if schema else rows.schema
+        parts = []
+        for k in key:
+            kind = stored[k].dataType
+            c = F.col(f"`{k}`")
+            c = c if rows.schema[k].dataType == kind else c.try_cast(kind)
+            parts.append(F.rtrim(c) if isinstance(kind, T.StringType) else c)
+        hashed = F.pmod(F.xxhash64(*parts), F.lit(buckets))
         return F.when(any_null(key), KEYLESS).otherwise(hashed).cast("int")
 
     def write(self, name: str, rows: DataFrame, key: list[str], buckets: int = 1) -> Stored:
@@ -103,20 +130,72 @@ class SnapshotStore:
         return [r[0] for r in found.select(BUCKET).distinct().collect()]
 
     def rewrite(self, name: str, stored: Stored, rows: DataFrame, hit: list[int]) -> Stored:
-        """Write the new rows of the buckets that were hit; the others stay where they are."""
+        """Write the new rows of the buckets that were hit; the others stay where they are.
+
+        A new row in a bucket that was not read would replace rows nobody looked
+        at, so that is an error, and nothing of it is published.
+        """
         new = self.write(name, rows, stored.key, stored.buckets)
+        unread = sorted(int(b) for b in new.parts if int(b) not in hit)
+        if unread:
+            raise RuntimeError(f"{name}: rows were written to buckets {unread}, which were not read; nothing is published")
         kept = {b: p for b, p in stored.parts.items() if int(b) not in hit}
         return replace(stored, parts={**kept, **new.parts})
 
     def publish(self, changes: dict[str, Stored], parent: int) -> int:
         """Make new snapshots current, all in one commit, if ``parent`` still is the last one."""
         version, tables = self.current()
+        self._expect(version, parent)
+        self._commit(parent + 1, {**tables, **changes})
+        return parent + 1
+
+    def _expect(self, version: int, parent: int) -> None:
         if version != parent:
             raise Conflict(f"tables were read at version {parent}, but version {version} is current")
-        state = json.dumps({t: asdict(s) for t, s in {**tables, **changes}.items()})
-        commit = self.spark.createDataFrame([(version + 1, state)], COMMIT)
-        commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
-        return version + 1
+
+    def _commit(self, version: int, tables: dict[str, Stored]) -> None:
+        """Write the commit aside and give it its name, unless a commit has that name by now."""
+        state = json.dumps({t: asdict(s) for t, s in tables.items()})
+        aside, fs = self._path(f"commits/_{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps({"version": version, "tables": state}).encode()))
+        out.close()
+        final, _ = self._path(f"commits/{_commit_name(version)}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        context = hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        qualified = fs.makeQualified
+        try:
+            context.rename(qualified(aside), qualified(final), options)
+        except Py4JJavaError as e:
+            fs.delete(aside, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {version} has been published by another writer") from e
+            raise
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete commits but the last ``keep`` and every folder they do not name; what was deleted.
+
+        For a time without writers: a snapshot that is written but not yet
+        published belongs to no commit.
+        """
+        if keep < 1:
+            raise ValueError("the current commit has to be kept")
+        kept = self.versions()[-keep:]
+        named = {p.rsplit("/", 1)[0] for v in kept for s in self.at(v).values() for p in s.parts.values()}
+        gone = []
+        for name in self._names("commits"):
+            m = _COMMIT_NAME.fullmatch(name)
+            if not m or int(m[1]) not in kept:
+                gone.append(f"commits/{name}")
+        for table in self._names(""):
+            if table != "commits":
+                folders = [f"{table}/{f}" for f in self._names(table)]
+                gone += [f for f in folders if f"{self.root}/{f}" not in named]
+        for name in gone:
+            path, fs = self._path(name)
+            fs.delete(path, True)
+        return gone
 
     def create(self, name: str, rows: DataFrame, key: list[str], buckets: int = 1) -> int:
         version, _ = self.current()

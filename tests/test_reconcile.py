@@ -1,9 +1,10 @@
+import os
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 
-from evenkeel.operators.reconcile import Reconciler, Violated, has_pending
+from evenkeel.operators.reconcile import Reconciler, Violated, discard, has_pending
 from evenkeel.operators.spec import (
     Column,
     ForeignKey,
@@ -379,3 +380,88 @@ def test_stale_writers_are_refused(spark, tmp_path):
     with pytest.raises(Conflict):
         store.publish({"t": tables["t"]}, version)
     assert store.table("t").count() == 3 and store.table("u").count() == 2
+
+
+KEYED = (
+    ("int", "bigint", "CAST({n} AS INT)", "CAST({n} AS BIGINT)"),
+    ("bigint", "int", "CAST({n} AS BIGINT)", "CAST({n} AS INT)"),
+    ("decimal(12,2)", "decimal(12,2)", "CAST({n} AS DECIMAL(12,2))", "CAST({n} AS DECIMAL(6,1))"),
+    ("date", "date", "date_add(DATE '2020-01-01', {n})", "CAST(date_add(DATE '2020-01-01', {n}) AS STRING)"),
+    ("char(6)", "char(6)", "CAST({n} AS STRING)", "rpad(CAST({n} AS STRING), 6, ' ')"),
+    ("varchar(6)", "varchar(6)", "CAST({n} AS STRING)", "CAST({n} AS STRING)"),
+)
+
+
+@pytest.mark.parametrize("buckets", [1, 8])
+@pytest.mark.parametrize("stored, declared, live_key, declared_key", KEYED)
+def test_no_row_is_lost_whatever_types_keys_have(spark, tmp_path, stored, declared, live_key, declared_key, buckets):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    live = spark.sql(f"SELECT {live_key.format(n='CAST(id AS INT)')} AS id, 'old' AS name FROM range(200)")
+    store.create("t", live, ["id"], buckets)
+    contract = TableContract("t", (Column("id", declared), Column("name", "text")), ("id",))
+    rows = f"SELECT {declared_key.format(n='7')} AS id, 'new' AS name UNION ALL SELECT {declared_key.format(n='9')}, 'old'"
+    [plan] = Reconciler(store, [contract]).apply([TableSpec("t", spark.sql(rows))], NOW)
+    assert (plan.inserts, plan.updates, plan.deletes) == (0, 1, 0)
+    after = store.table("t").collect()
+    assert len(after) == 200 and len({str(r.id).strip() for r in after}) == 200
+    assert sum(r.name == "new" for r in after) == 1
+
+
+def test_a_table_of_another_shape_is_pending_and_refused(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.create("t", spark.sql("SELECT 1 AS id, 'a' AS name"), ["id"], 4)
+    declared = spark.sql("SELECT 1 AS id, 'b' AS name")
+    for columns in (
+        (Column("id", "int"), Column("name", "text"), Column("more", "text")),
+        (Column("id", "int"), Column("name", "date")),
+    ):
+        reconciler = Reconciler(store, [TableContract("t", columns, ("id",))])
+        [plan] = reconciler.plan([TableSpec("t", declared)])
+        assert plan.pending and not plan.empty
+        with pytest.raises(Refused, match="another shape"):
+            reconciler.apply([TableSpec("t", declared)], NOW)
+    assert store.current()[0] == 1
+
+
+def test_rows_in_a_bucket_that_was_not_read_are_an_error(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.create("t", spark.range(100).toDF("id"), ["id"], 8)
+    stored = store.current()[1]["t"]
+    with pytest.raises(RuntimeError, match="not read"):
+        store.rewrite("t", stored, spark.range(100).toDF("id"), [0])
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    a, b = (SnapshotStore(spark, str(tmp_path / "store")) for _ in range(2))
+    a.create("t", spark.range(3).toDF("id"), ["id"])
+    version, tables = a.current()
+    new = {s: s.write("t", spark.range(n).toDF("id"), ["id"]) for s, n in ((a, 4), (b, 5))}
+    for s in (a, b):  # both check, then both publish
+        s._expect(s.current()[0], version)
+    a._commit(version + 1, {**tables, "t": new[a]})
+    with pytest.raises(Conflict):
+        b._commit(version + 1, {**tables, "t": new[b]})
+    assert a.table("t").count() == 4 and a.versions() == [1, 2]
+    assert len(a._names("commits")) == 2
+
+
+def test_vacuum_keeps_what_the_last_commits_name(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    for n in range(1, 5):
+        store.create("t", spark.range(n).toDF("id"), ["id"])
+    store.create("u", spark.range(2).toDF("id"), ["id"])
+    store.write("t", spark.range(9).toDF("id"), ["id"])
+    assert len(store.vacuum(keep=2)) == 3 + 4
+    assert store.versions() == [4, 5] and store.table("t").count() == 4 and store.table("u").count() == 2
+    assert store.vacuum(keep=2) == []
+
+
+def test_discarded_plans_leave_nothing_in_the_shared_folder(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.create("t", spark.sql("SELECT 1 AS id, 'a' AS name"), ["id"])
+    contract = TableContract("t", (Column("id", "int"), Column("name", "text")), ("id",))
+    plans = Reconciler(store, [contract]).plan([TableSpec("t", spark.sql("SELECT 1 AS id, 'b' AS name"))])
+    folders = [f.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for f in (plans[0].declared, plans[0].feed)]
+    assert all(map(os.path.isdir, folders))
+    discard(plans)
+    assert not any(map(os.path.exists, folders))
