@@ -22,6 +22,24 @@ FLAT_VERSIONED_FILE = r"^V(\d+(?:_\d+)*)__(.+)\.sql$"
 FLAT_SCHEMA_FILE = r"^S__(.+)\.sql$"
 FLAT_REPEATABLE_FILE = r"^R__(.+)\.sql$"
 
+# Other names of types, by the name they are handled under.
+TYPE_NAMES = {
+    "int": ("integer", "int4", "serial", "serial4"),
+    "bigint": ("int8", "bigserial", "serial8", "long"),
+    "smallint": ("int2", "smallserial", "serial2", "short"),
+    "tinyint": ("byte",),
+    "float": ("real", "float4"),
+    "double": ("double precision", "float8"),
+    "decimal": ("numeric", "dec"),
+    "boolean": ("bool",),
+    "varchar": ("character varying",),
+    "char": ("character", "bpchar"),
+    "text": ("string",),
+    "json": ("jsonb",),
+    "binary": ("bytea",),
+    "timestamp": ("timestamptz", "timestamp with time zone", "timestamp without time zone"),
+}
+
 # Types compared by something other than plain equality.
 JSON_TYPE = "json"
 TEXT_COMPARED_TYPES = ("xml", "point", "line", "lseg", "box", "path", "polygon", "circle")

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
+#: The setting may lower the limit or raise it to this: as many numbers reach the driver.
+MOST_BROADCAST_ROWS = 1_000_000
 BROADCAST_ROWS_SETTING = "spark.evenkeel.broadcastRows"
 
 
@@ -34,6 +36,7 @@ def fits(df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_
     """
     if max_rows is None:
         max_rows = int(df.sparkSession.conf.get(BROADCAST_ROWS_SETTING, str(BROADCAST_ROWS)))
+    max_rows = min(max_rows, MOST_BROADCAST_ROWS)
     if max_rows <= 0:
         return False
     widths = df.select(row_bytes(df.schema).alias("b")).take(max_rows + 1)

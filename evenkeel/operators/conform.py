@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.fixed import DUPLICATE_KEY_LIMIT
 from evenkeel.functions.assign import assignment, refusal, storage_type
+from evenkeel.functions.compare import comparable
 from evenkeel.functions.text import row_text
 from evenkeel.operators.spec import Refused, TableContract, TableSpec
 
@@ -75,14 +76,22 @@ def null_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.filter(any_null(key))
 
 
-def key_counts(rows: DataFrame, key: list[str]) -> DataFrame:
+def unpadded(rows: DataFrame, columns: list[str], types: dict[str, str] | None) -> DataFrame:
+    """Only these columns, fixed-length text without its padding, so that equal values are equal text."""
+    types = types or {}
+    return rows.select(*[comparable(F.col(f"`{c}`"), types.get(c, "string")).alias(c) for c in columns])
+
+
+def key_counts(rows: DataFrame, key: list[str], types: dict[str, str] | None = None) -> DataFrame:
     """Keys held by more than one row. Counts are combined before the shuffle."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return unpadded(rows, key, types).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def duplicate_keys(rows: DataFrame, key: list[str], limit: int = DUPLICATE_KEY_LIMIT) -> DataFrame:
+def duplicate_keys(
+    rows: DataFrame, key: list[str], limit: int = DUPLICATE_KEY_LIMIT, types: dict[str, str] | None = None
+) -> DataFrame:
     """The first few keys declared more than once."""
-    return key_counts(rows, key).select(*key).orderBy(*key).limit(limit)
+    return key_counts(rows, key, types).select(*key).orderBy(*key).limit(limit)
 
 
 def check_keys(rows: DataFrame, spec: TableSpec, contract: TableContract) -> None:
@@ -92,7 +101,7 @@ def check_keys(rows: DataFrame, spec: TableSpec, contract: TableContract) -> Non
     nulls = null_keys(rows, key).select(text).take(1)
     if nulls:
         raise Refused("null_key", spec.owner, key=nulls[0].k)
-    repeated = duplicate_keys(rows, key).select(text).collect()
+    repeated = duplicate_keys(rows, key, types=contract.types).select(text).collect()
     if repeated:
         raise Refused("duplicate_key", spec.owner, key=", ".join(key), keys=", ".join(r.k for r in repeated))
 
@@ -101,7 +110,7 @@ def check_live_key(live: DataFrame, spec: TableSpec, contract: TableContract) ->
     """Refuse a key that is not unique in the live table; rows without a key do not count."""
     key = list(spec.resolved_key(contract))
     text = row_text([F.col(f"`{k}`") for k in key]).alias("k")
-    repeated = duplicate_keys(live.filter(none_null(key)), key).select(text).collect()
+    repeated = duplicate_keys(live.filter(none_null(key)), key, types=contract.types).select(text).collect()
     if repeated:
         raise Refused(
             "live_duplicates", spec.owner, table=spec.table, key=", ".join(key), keys=", ".join(r.k for r in repeated)

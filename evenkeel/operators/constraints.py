@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import fits
 from evenkeel.functions.skew import hot_keys
-from evenkeel.operators.conform import any_null, key_counts, none_null
+from evenkeel.functions.assign import split_type
+from evenkeel.functions.compare import comparable
+from evenkeel.operators.conform import any_null, key_counts, none_null, unpadded
 from evenkeel.session import new_path
 
 
@@ -21,11 +23,13 @@ def not_null_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counted.select(F.explode(per_column).alias("v")).select("v.*").filter("n > 0")
 
 
-def unique_violations(rows: DataFrame, columns: list[str], where: str | None = None) -> DataFrame:
+def unique_violations(
+    rows: DataFrame, columns: list[str], where: str | None = None, types: dict[str, str] | None = None
+) -> DataFrame:
     """Values held more than once, with how often; NULL equals nothing. ``where`` makes the rule partial."""
     if where:
         rows = rows.filter(where)
-    return key_counts(rows.filter(none_null(columns)), columns)
+    return key_counts(rows.filter(none_null(columns)), columns, types)
 
 
 def check_violations(rows: DataFrame, predicate: str) -> DataFrame:
@@ -95,10 +99,37 @@ def matching(
     return result if how == "left_semi" else result.unionByName(keyless)
 
 
-def fk_orphans(child: DataFrame, parent: DataFrame, pairs: Pairs, broadcast_rows: int | None = None) -> DataFrame:
-    """Child rows whose parent does not exist; a NULL part passes."""
-    keyed = child.filter(none_null([c for c, _ in pairs]))
-    return matching(keyed, parent, pairs, "left_anti", broadcast_rows)
+def fk_orphans(
+    child: DataFrame,
+    parent: DataFrame,
+    pairs: Pairs,
+    broadcast_rows: int | None = None,
+    types: dict[str, str] | None = None,
+) -> DataFrame:
+    """Child rows whose parent does not exist; a NULL part passes.
+
+    ``types`` are the declared types of the parent's columns: fixed-length text
+    meets its parent padded or not. Children measured to be few are not worth a
+    shuffle of the parents: those that exist are found by the children's keys.
+    """
+    fk = [c for c, _ in pairs]
+    keyed = child.filter(none_null(fk))
+    if padded := {c: t for c, p in pairs if split_type(t := (types or {}).get(p, "string"))[0] == "char"}:
+        keyed = keyed.withColumns({f"{c}__": comparable(F.col(f"`{c}`"), t) for c, t in padded.items()})
+        parent = unpadded(parent, [p for _, p in pairs], types)
+        pairs = [(f"{c}__" if c in padded else c, p) for c, p in pairs]
+        fk = [c for c, _ in pairs]
+    held = keyed.select(*fk)
+    if fits(held, broadcast_rows) and not fits(parent.select(*[p for _, p in pairs]), broadcast_rows):
+        keys = F.broadcast(held.select(*[F.col(f"`{c}`").alias(f"parent__{p}") for c, p in pairs]).distinct())
+        names = [f"parent__{p}" for _, p in pairs]
+        parents = parent.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
+        # one row a key the few children hold, so as bounded as these
+        known = parents.join(keys, names, "left_semi").distinct()
+        orphans = keyed.join(F.broadcast(known), _link(pairs), "left_anti")
+    else:
+        orphans = matching(keyed, parent, pairs, "left_anti", broadcast_rows)
+    return orphans.select(*[F.col(f"`{c}`") for c in child.columns])
 
 
 def fk_action(
@@ -142,6 +173,10 @@ def prune_reach(
     with very many children is one row by then.
     """
     fk = [c for c, _ in pairs]
+    parents = deleted.select(*[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
+    if fits(parents):
+        # few deleted parents: only their children are counted
+        child = child.join(F.broadcast(parents.distinct()), _link(pairs), "left_semi")
     per_parent = child.filter(none_null(fk)).groupBy(*fk).agg(F.count(F.lit(1)).alias("rows_reached"))
     gone = deleted.select(*by, *[F.col(f"`{p}`").alias(f"parent__{p}") for _, p in pairs])
     return (
@@ -170,7 +205,7 @@ def identity_fill(
     its own and moved on by the counts of the ranges before it.
     """
     rows = rows.drop(column)
-    if fits(rows.select(*order_by), broadcast_rows):
+    if fits(rows, broadcast_rows):
         number = F.row_number().over(Window.orderBy(*order_by))
         return rows.withColumn(column, (F.lit(start) + number).cast("long"))
     spark = rows.sparkSession

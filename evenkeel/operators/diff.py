@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +86,9 @@ def plan_lines(feed: DataFrame, key: list[str], limit: int = PLAN_ROW_LIMIT) ->
     """At most ``limit`` lines per kind of change in key order, and a line for the rest.
 
     Every task keeps its own first rows per kind before anything is shuffled,
-    so what meets in one task does not grow with the feed.
+    so what meets in one task does not grow with the feed. Spark does so for the
+    numbering up to a limit of its own; beyond it each kind is cut by an ordered
+    limit first.
     """
     values = [c.removeprefix("new_") for c in feed.columns if c.startswith("new_")]
     key_text = row_text([F.col(f"`{k}`") for k in key])
@@ -102,8 +106,12 @@ def plan_lines(feed: DataFrame, key: list[str], limit: int = PLAN_ROW_LIMIT) ->
         .otherwise(F.concat(F.lit("- "), key_text))
     )
     first = Window.partitionBy("op").orderBy(*key)
+    candidates = feed
+    if limit > int(feed.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        firsts = [feed.filter(F.col("op") == op).orderBy(*key).limit(limit) for op in OPS]
+        candidates = reduce(DataFrame.unionByName, firsts)
     shown = (
-        feed.withColumn("position", F.row_number().over(first))
+        candidates.withColumn("position", F.row_number().over(first))
         .filter(F.col("position") <= limit)
         .select("op", "position", line.alias("line"))
     )

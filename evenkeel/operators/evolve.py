@@ -10,10 +10,11 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.fixed import DEFAULT_NAMESPACE
-from evenkeel.functions.assign import assignment, refusal, storage_type
-from evenkeel.operators.constraints import matching
+from evenkeel.functions.assign import assignment, canonical_type, refusal, split_type, storage_type
+from evenkeel.operators.constraints import identity_fill, matching
 from evenkeel.operators.spec import Column, TableContract
 from evenkeel.sources.snapshots import SnapshotStore
 
@@ -38,8 +39,13 @@ def drift(
     """One row per difference: kind, the column, live_value, desired_value.
 
     Live columns are looked at only in tables the desired catalog declares, in
-    strict mode in all tables of its namespaces (or of those given).
+    strict mode in all tables of its namespaces (or of those given). A type
+    under another of its names is the same type.
     """
+
+    def meant(attribute: str, name: str):
+        return canonical_type(F.col(name)) if attribute == "type" else F.col(name)
+
     if namespaces is not None:
         live = live.filter(F.col("namespace").isin(namespaces))
         desired = desired.filter(F.col("namespace").isin(namespaces))
@@ -67,7 +73,7 @@ def drift(
         F.when(extra, difference("column_dropped", F.col("live__type"), none)),
         *[
             F.when(
-                ~absent & ~extra & ~F.col(f"live__{a}").eqNullSafe(F.col(f"desired__{a}")),
+                ~absent & ~extra & ~meant(a, f"live__{a}").eqNullSafe(meant(a, f"desired__{a}")),
                 difference(kinds[a], F.col(f"live__{a}"), F.col(f"desired__{a}")),
             )
             for a in ATTRIBUTES
@@ -76,24 +82,53 @@ def drift(
     return both.select(*COLUMN_KEY, F.explode(F.array_compact(found)).alias("d")).select(*COLUMN_KEY, "d.*")
 
 
+def catalog_of_stored(store: SnapshotStore, namespace: str = DEFAULT_NAMESPACE) -> DataFrame:
+    """The catalog of the tables of a store as they are; no rows are read. A store keeps no defaults or NOT NULL."""
+    rows = [
+        (namespace, name, f.name, f.dataType.simpleString(), True, None)
+        for name, stored in store.current()[1].items()
+        for f in T.DataType.fromDDL(stored.schema).fields
+    ]
+    return store.spark.createDataFrame(rows, CATALOG)
+
+
 def drifting_tables(differences: DataFrame, tables: list[str]) -> set[str]:
     """Which of these tables have a shape difference."""
     found = differences.filter(F.col("table_name").isin(tables)).select("table_name").distinct()
     return {r.table_name for r in found.collect()}
 
 
-def evolve(rows: DataFrame, desired: list[Column], *, strict: bool = False) -> DataFrame:
+def evolve(
+    rows: DataFrame, desired: list[Column], *, strict: bool = False, key: list[str] | None = None
+) -> DataFrame:
     """The rows in the desired shape: one projection.
 
-    Missing columns take their default, types follow the assignment rules (a
-    value that does not fit fails the job), order follows the declaration. Extra
-    columns go only in strict mode.
+    Missing columns take their default or what they are generated as; a serial
+    one numbers the rows in the order of ``key``, which is unique. Types follow
+    the assignment rules, and order the declaration. A value that does not fit
+    fails the job, as does a NULL, or a new column without a default, where NULL
+    is not allowed; without rows nothing fails. Extra columns go only in strict mode.
     """
     have = {f.name: f.dataType for f in rows.schema.fields}
+    for column in desired:
+        if column.serial and column.name not in have:
+            if not key:
+                raise ValueError(f"column {column.name} is serial: name the key whose order numbers the rows")
+            rows = identity_fill(rows, column.name, key, 0)
+            have[column.name] = T.LongType()
     out = []
     for column in desired:
+        must = F.lit(f"column {column.name} must not be NULL")
         if column.name not in have:
-            value = F.expr(column.default) if column.default is not None else F.lit(None)
+            if column.default is not None or column.generated:
+                value = F.expr(column.default if column.default is not None else column.generated)
+            else:
+                value = F.lit(None) if column.nullable else F.raise_error(must)
+        elif not column.nullable:
+            assigned, bad = assignment(F.col(f"`{column.name}`"), have[column.name], column.type)
+            text = F.lit(f"{refusal(column.type)} (column {column.name})")
+            value = F.when(F.col(f"`{column.name}`").isNull(), F.raise_error(must))
+            value = value.when(bad, F.raise_error(text)).otherwise(assigned)
         elif have[column.name].simpleString() == storage_type(column.type) == column.type:
             out.append(F.col(f"`{column.name}`"))
             continue
@@ -116,12 +151,18 @@ def missing_namespaces(declared: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def evolve_stored(store: SnapshotStore, name: str, desired: list[Column], *, strict: bool = False) -> bool:
-    """Bring a stored table to the desired shape; False if it has that shape, and then nothing is written."""
+    """Bring a stored table to the desired shape; False if it has that shape, and then nothing is written.
+
+    Values are checked in both cases: a shorter text type is stored like a longer one.
+    """
     version, tables = store.current()
     stored = tables[name]
     rows = store.read(stored)
-    shaped = evolve(rows, desired, strict=strict)
+    shaped = evolve(rows, desired, strict=strict, key=stored.key)
     if shaped.schema.simpleString() == rows.schema.simpleString():
+        narrow = [c for c in desired if not c.nullable or split_type(c.type)[1] is not None]
+        if narrow:
+            evolve(rows, narrow, strict=True).write.format("noop").mode("overwrite").save()
         return False
     new = store.write(name, shaped, stored.key, stored.buckets)
     store.publish({name: replace(new, sequences=stored.sequences)}, version)

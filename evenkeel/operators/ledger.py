@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.fixed import LEDGER_TYPES, RERUNNABLE, RUN_ONCE, TYPE_RANK
+from evenkeel.functions.bounded import fits
 from evenkeel.operators.constraints import check_violations, identity_fill, unique_violations
 
 MANIFEST = ["type", "version", "name", "namespace", "checksum"]
@@ -69,8 +70,19 @@ def latest(ledger: DataFrame) -> DataFrame:
 
 
 def _against(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Manifest items with the checksum of their last success, NULL if there is none."""
-    done = latest(ledger).select(*_ITEM, F.col("checksum").alias("applied_checksum"), F.lit(True).alias("done"))
+    """Manifest items with the checksum of their last success, NULL if there is none.
+
+    Only what is compared goes through the shuffle, and of the ledger only
+    entries of the manifest's items, if these are few.
+    """
+    entries = ledger.filter("success").select(*_identity(), "checksum", "applied_at", "id")
+    items = manifest.select(*_identity())
+    if fits(items):
+        entries = entries.join(F.broadcast(items.distinct()), _ITEM, "left_semi")
+    last = F.max_by(F.struct("checksum"), F.struct("applied_at", "id"))
+    done = entries.groupBy(*_ITEM).agg(last.alias("last")).select(
+        *_ITEM, F.col("last.checksum").alias("applied_checksum"), F.lit(True).alias("done")
+    )
     return manifest.select("*", *_identity()).join(done, _ITEM, "left").drop(*_ITEM)
 
 

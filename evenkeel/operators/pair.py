@@ -45,13 +45,7 @@ def pair(
         *[F.col(f"`{c}`").alias(DECLARED + c) for c in declared.columns], F.lit(True).alias(IN_DECLARED)
     )
     live_key, declared_key = [LIVE + k for k in key], [DECLARED + k for k in key]
-    match = reduce(
-        and_,
-        [
-            comparable(F.col(LIVE + k), types.get(k, "string")) == comparable(F.col(DECLARED + k), types.get(k, "string"))
-            for k in key
-        ],
-    )
+    match = key_match(live_key, declared_key, [types.get(k, "string") for k in key])
 
     if fits(declared, broadcast_rows):
         met = left.join(F.broadcast(right), match, "left" if keep_unlisted else "inner")
@@ -71,23 +65,40 @@ def _missing_from_small(live_keys: DataFrame, small: DataFrame, match, small_key
     return small.join(F.broadcast(listed), match, "left_anti")
 
 
+def key_match(left: list[str], right: list[str], declared: list[str]):
+    """Whether two keys are the same: fixed-length text is, padded or not."""
+    return reduce(
+        and_,
+        [comparable(F.col(f"`{a}`"), t) == comparable(F.col(f"`{b}`"), t) for a, b, t in zip(left, right, declared)],
+    )
+
+
 def missing_rows(
-    live: DataFrame, declared: DataFrame, key: list[str], broadcast_rows: int | None = None
+    live: DataFrame,
+    declared: DataFrame,
+    key: list[str],
+    broadcast_rows: int | None = None,
+    types: dict[str, str] | None = None,
 ) -> DataFrame:
     """Declared rows without a live row."""
     live_keys = live.select(*[F.col(f"`{k}`").alias(LIVE + k) for k in key])
-    match = reduce(and_, [F.col(f"`{k}`") == F.col(LIVE + k) for k in key])
+    match = key_match(key, [LIVE + k for k in key], [(types or {}).get(k, "string") for k in key])
     if fits(declared, broadcast_rows):
         return _missing_from_small(live_keys, declared, match, key)
     return declared.join(live_keys, match, "left_anti")
 
 
 def unlisted_rows(
-    live: DataFrame, declared: DataFrame, key: list[str], broadcast_rows: int | None = None
+    live: DataFrame,
+    declared: DataFrame,
+    key: list[str],
+    broadcast_rows: int | None = None,
+    types: dict[str, str] | None = None,
 ) -> DataFrame:
     """Live rows without a declared row, those without a key among them."""
-    listed = declared.select(*key)
+    listed = declared.select(*[F.col(f"`{k}`").alias(DECLARED + k) for k in key])
+    match = key_match(key, [DECLARED + k for k in key], [(types or {}).get(k, "string") for k in key])
     if fits(listed, broadcast_rows):
-        return live.join(F.broadcast(listed), key, "left_anti")
-    keyed = live.filter(none_null(key)).join(listed, key, "left_anti")
+        return live.join(F.broadcast(listed), match, "left_anti")
+    keyed = live.filter(none_null(key)).join(listed, match, "left_anti")
     return keyed.unionByName(live.filter(any_null(key)))

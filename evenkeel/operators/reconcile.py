@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from evenkeel.functions.assign import storage_type
 from evenkeel.functions.bounded import broadcast_if_fits
 from evenkeel.operators import constraints
-from evenkeel.operators.conform import check_keys, check_live_key, conform, conform_rejects
+from evenkeel.operators.conform import check_keys, check_live_key, conform, conform_rejects, unpadded
 from evenkeel.operators.converge import conformed_defaults, converge
 from evenkeel.operators.diff import change_feed, plan_lines, plan_summary
 from evenkeel.operators.evolve import drifting_tables
@@ -91,8 +91,8 @@ def table_violations(contract: TableContract, rows: DataFrame, touched: DataFram
         found.append(nulls.select(F.lit(table).alias("table_name"), rule, "n"))
     for unique in (contract.primary_key, *contract.uniques):
         if unique and set(unique) != set(key):
-            values = broadcast_if_fits(touched.select(*unique).distinct())
-            held = rows.select(*unique).join(values, list(unique), "left_semi")
+            values = broadcast_if_fits(unpadded(touched, list(unique), contract.types).distinct())
+            held = unpadded(rows, list(unique), contract.types).join(values, list(unique), "left_semi")
             broken = constraints.unique_violations(held, list(unique))
             found.append(_counted(table, f"unique ({', '.join(unique)})", broken))
     for name, predicate in contract.checks.items():
@@ -279,7 +279,9 @@ class Reconciler:
                     children = constraints.fk_action(children, gone, pairs, "RESTRICT")
                 suspects.append(children)
             for rows in suspects:
-                orphans = constraints.fk_orphans(rows, after[fk.parent], pairs)
+                known = self.contracts.get(fk.parent)
+                types = known.types if known else None
+                orphans = constraints.fk_orphans(rows, after[fk.parent], pairs, types=types)
                 found.append(_counted(child, f"foreign key {fk.name}", orphans))
         return found
 
@@ -320,10 +322,10 @@ class Reconciler:
         return max(stored.sequences.get(column, 0), highest or 0)
 
     def _sequences(self, contract: TableContract, before: Stored, after: Stored, plan: TablePlan) -> dict[str, int]:
-        """The last value of every serial column: past the rows, never back."""
+        """The last value of every serial column: past the rows, never back. Deletes alone move none."""
         moved = {
             c.name: self._last_value(replace(after, sequences=before.sequences), c.name)
             for c in contract.columns
-            if c.serial and plan.inserts
+            if c.serial and (plan.inserts or plan.updates)
         }
         return {**before.sequences, **moved}

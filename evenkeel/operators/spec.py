@@ -112,6 +112,11 @@ def check_declaration(spec: TableSpec, contract: TableContract | None, contracts
         refuse("no_table")
     if not contract.is_table:
         refuse("not_a_table")
+    for column in contract.columns:
+        try:
+            storage_type(column.type)
+        except ValueError:
+            refuse("unknown_type", column=column.name, type=column.type)
     seen = set()
     for name in spec.declared.columns:
         column = contract.column(name)

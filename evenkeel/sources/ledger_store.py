@@ -36,6 +36,10 @@ class RunReport:
     error: Exception | None = None
 
 
+class AlreadyDone(ValueError):
+    """A run-once item of that version has succeeded before; nothing was recorded."""
+
+
 class LedgerStore:
     """One writer at a time; readers see whole appends."""
 
@@ -52,6 +56,13 @@ class LedgerStore:
             return self.spark.createDataFrame([], ops.LEDGER)
 
     def append(self, outcomes: DataFrame, at: datetime | None = None, by: str | None = None) -> None:
+        """Add outcomes; a run-once item succeeds once, so a second success of its version is refused."""
+        once = outcomes.filter(ops.is_run_once() & F.col("success")).select("type", "version")
+        done = self.read().filter(ops.is_run_once() & F.col("success")).select("type", "version")
+        twice = once.groupBy("type", "version").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        clash = once.join(done, ["type", "version"], "left_semi").unionByName(twice).take(1)
+        if clash:
+            raise AlreadyDone(f"{clash[0].type} {clash[0].version} has already succeeded")
         last = self.read().agg(F.max("id")).first()[0] or 0
         at = at or datetime.now(timezone.utc).replace(tzinfo=None)
         ops.recorded(outcomes, last, at, by or getpass.getuser()).write.mode("append").parquet(self.path)
@@ -91,8 +102,9 @@ class LedgerStore:
     def run(self, items: list[Item]) -> RunReport:
         """Run what is pending or changed, in work order; stop at the first failure.
 
-        Declared rows have no ledger: they are compared on every run. Success and failure are both recorded. A failure does not count as done,
-        so the next run tries it again. The items are jobs, a handful of them.
+        Declared rows have no ledger: they are compared on every run. Success and
+        failure are both recorded. A failure does not count as done, so the next
+        run tries it again. The items are jobs, a handful of them.
         """
         state = ops.work_list(ops.status(self._manifest(items), self.read())).collect()
         return self._work([(items[r.n], r.status not in ("applied", "drift")) for r in state], RunReport())
@@ -100,9 +112,10 @@ class LedgerStore:
     def adopt(self, items: list[Item]) -> RunReport:
         """Take over a system that is as it is.
 
-        Run-once items count as done, the others run whatever their checksum.
+        Run-once items count as done, those that are recorded as such already
+        stay as they are; the others run whatever their checksum.
         """
         manifest = self._manifest(items)
-        self.append(ops.baseline(manifest.filter(ops.is_run_once())))
+        self.append(ops.baseline(ops.pending(manifest, self.read())))
         order = ops.work_list(ops.adopt_actions(manifest)).collect()
         return self._work([(items[r.n], r.action != "baseline") for r in order], RunReport())

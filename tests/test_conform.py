@@ -99,3 +99,33 @@ def test_type_names():
     assert storage_type("json[]") == "array<string>"
     assert storage_type("bigint") == "bigint"
     assert long_name("decimal(10,2)") == "numeric(10,2)"
+
+
+def test_types_by_their_other_names(spark):
+    from evenkeel.functions.assign import storage_type
+
+    names = {
+        "jsonb": "string", "timestamptz": "timestamp", "double precision": "double", "uuid": "string", "bytea": "binary",
+        "int8": "bigint", "bigserial": "bigint", "character varying(9)": "string", "numeric": "decimal(38,10)",
+        "character varying(9)[]": "array<string>", "real": "float", "int2": "smallint", "numeric(8,1)": "decimal(8,1)",
+    }
+    assert {n: storage_type(n) for n in names} == names
+    with pytest.raises(ValueError, match="hstore"):
+        storage_type("hstore")
+
+
+def test_an_unsized_numeric_cuts_no_digits(spark):
+    contract = TableContract("t", (Column("n", "numeric"),), ("n",))
+    for good in ("'1.5'", "'0.0000000001'", "CAST(2 AS DECIMAL(20,15))", "CAST(0.25 AS DOUBLE)", "'12345678901234567890.5'"):
+        assert len(conform(spark.sql(f"SELECT {good} AS n"), contract).collect()) == 1
+    for bad in ("'0.000000000001'", "'1e-12'", "CAST('0.123456789012' AS DECIMAL(20,12))", "CAST(1e-12 AS DOUBLE)", "'1.12345678901'"):
+        with pytest.raises(Exception, match="invalid input"):
+            conform(spark.sql(f"SELECT {bad} AS n"), contract).collect()
+
+
+def test_uuids_compare_by_value(spark):
+    contract = TableContract("t", (Column("u", "uuid"),), ("u",))
+    rows = spark.sql("SELECT 'A0EEBC999C0B4EF8BB6D6BB9BD380A11' AS u")
+    assert conform(rows, contract).first().u == "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"
+    with pytest.raises(Exception, match="uuid"):
+        conform(spark.sql("SELECT 'no' AS u"), contract).collect()

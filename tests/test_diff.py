@@ -220,3 +220,41 @@ def test_next_key_never_moves_back(spark):
     assert next_key(rows, "id", 0).first()[0] == 6
     assert next_key(rows, "id", 100).first()[0] == 101
     assert next_key(rows.filter("false"), "id", 0).first()[0] == 1
+
+
+def test_padded_keys_are_the_same_everywhere(spark):
+    import random
+
+    from evenkeel.operators.conform import duplicate_keys
+    from evenkeel.operators.constraints import fk_orphans, unique_violations
+    from evenkeel.operators.pair import missing_rows, unlisted_rows
+
+    rng = random.Random(1)
+    types = {"k": "char(3)"}
+
+    def some(n):
+        keys = rng.sample(["A", "AB", "ABC", "B", "C", "D", "E", "F"], n)
+        return [(k + " " * rng.randint(0, 3 - len(k)), "x") for k in keys]
+
+    for rows in (0, 100):
+        live, declared = (spark.createDataFrame(some(5), "k string, v string") for _ in range(2))
+        feed = change_feed(live, declared, ["k"], prune=True, types=types, broadcast_rows=rows).collect()
+        for op, found in (
+            ("insert", missing_rows(live, declared, ["k"], rows, types)),
+            ("delete", unlisted_rows(live, declared, ["k"], rows, types)),
+        ):
+            assert sorted(r.k.rstrip() for r in feed if r.op == op) == sorted(r.k.rstrip() for r in found.collect())
+        both = spark.createDataFrame([("K",), ("K  ",), ("L",)], "k string")
+        assert [(r.k, r.n) for r in unique_violations(both, ["k"], types=types).collect()] == [("K", 2)]
+        assert [r.k for r in duplicate_keys(both, ["k"], types=types).collect()] == ["K"]
+        child = spark.createDataFrame([("U",), ("U  ",), ("V",)], "c string")
+        parent = spark.createDataFrame([("U ",)], "k string")
+        assert [r.c for r in fk_orphans(child, parent, [("c", "k")], rows, types).collect()] == ["V"]
+
+
+def test_any_limit_of_plan_lines_is_cut_before_the_shuffle(spark):
+    live = spark.range(3000).selectExpr("id AS k", "'a' AS v")
+    feed = change_feed(live, live.limit(0), ["k"], prune=True)
+    lines = plan_lines(feed, ["k"], limit=2000)
+    assert lines.count() == 2001
+    assert "TakeOrderedAndProject" in lines._jdf.queryExecution().executedPlan().toString()

@@ -78,3 +78,39 @@ def test_missing_namespaces(spark):
     declared = spark.sql("SELECT * FROM VALUES ('public'), ('a'), ('a'), ('b'), (NULL), ('') AS t(namespace)")
     existing = spark.sql("SELECT 'b' AS namespace")
     assert [r.namespace for r in missing_namespaces(declared, existing).collect()] == ["a"]
+
+
+def test_a_type_under_another_name_is_the_same(spark):
+    from evenkeel.operators.evolve import CATALOG, drift
+
+    names = ["int", "decimal(10,2)", "text", "varchar(9)", "timestamptz", "double", "bigint[]", "json"]
+    others = ["INTEGER", "numeric(10, 2)", "string", "character varying(9)", "timestamp with time zone", "float8", "int8[]", "jsonb"]
+    live = spark.createDataFrame([("s", "t", f"c{i}", n, True, None) for i, n in enumerate(names)], CATALOG)
+    wanted = spark.createDataFrame([("s", "t", f"c{i}", n, True, None) for i, n in enumerate(others)], CATALOG)
+    assert drift(live, wanted).collect() == []
+    longer = spark.createDataFrame([("s", "t", "c3", "varchar(10)", True, None)], CATALOG)
+    assert [r.kind for r in drift(live.filter("column_name = 'c3'"), longer).collect()] == ["type_changed"]
+
+
+def test_serial_generated_and_not_null_columns_are_filled_or_refused(spark):
+    rows = spark.sql("SELECT * FROM VALUES (3, 'c'), (1, 'a'), (2, NULL) AS t(id, name)")
+    shape = [Column("id", "int"), Column("n", "serial", serial=True), Column("twice", "int", generated="id * 2")]
+    got = evolve(rows, shape, key=["id"]).orderBy("id").select("id", "n", "twice").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 2), (2, 2, 4), (3, 3, 6)]
+    with pytest.raises(ValueError, match="serial"):
+        evolve(rows, shape)
+    for bad in (Column("more", "text", nullable=False), Column("name", "text", nullable=False)):
+        with pytest.raises(Exception, match="must not be NULL"):
+            evolve(rows, [Column("id", "int"), bad]).collect()
+        assert evolve(rows.limit(0), [Column("id", "int"), bad]).collect() == []
+
+
+def test_a_shorter_text_type_is_checked_and_the_catalog_is_of_what_is_stored(spark, tmp_path):
+    from evenkeel.operators.evolve import catalog_of_stored
+
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.create("t", spark.sql("SELECT 1 AS id, 'abcdefghij' AS name"), ["id"])
+    with pytest.raises(Exception, match="too long"):
+        evolve_stored(store, "t", [Column("id", "int"), Column("name", "varchar(3)")])
+    assert evolve_stored(store, "t", [Column("id", "int"), Column("name", "varchar(10)")]) is False
+    assert [(r.column_name, r.type) for r in catalog_of_stored(store).collect()] == [("id", "int"), ("name", "string")]

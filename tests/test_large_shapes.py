@@ -10,7 +10,7 @@ from evenkeel.functions.skew import HOT_ROWS_SETTING
 from oracle import connect, spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {n: q.run for n, q in entry.REGISTERED.items()}, entry.oracle_sql()
 LARGE = {BROADCAST_ROWS_SETTING: "0", HOT_ROWS_SETTING: "20", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 # What a broadcast may hold here: hot keys, a thousand at most, and one row per sorted range.
 MAY_BROADCAST = {"c_fk_orphans", "c_fk_action", "c_fk_action_set_null", "c_fk_action_set_default"}

@@ -266,3 +266,22 @@ def test_flat_layout(spark, tmp_path):
         ("schema", None, "users", "public"),
         ("logic", None, "view_a", None),
     }
+
+
+def test_a_version_succeeds_once_whatever_is_called(spark, tmp_path):
+    from evenkeel.operators import ledger as ops
+    from evenkeel.sources.ledger_store import AlreadyDone, Item, LedgerStore
+
+    store = LedgerStore(spark, str(tmp_path / "ledger"))
+    items = [Item("ops", "first", "a", lambda: None, "1"), Item("logic", "view", "b", lambda: None)]
+    store.run(items)
+    for _ in range(2):
+        store.adopt(items)
+    assert store.read().filter("type = 'ops' AND success").count() == 1
+    manifest = store._manifest(items)
+    with pytest.raises(AlreadyDone, match="ops 1"):
+        store.append(ops.baseline(manifest))
+    twice = store._manifest([Item("data", "x", "c", lambda: None, "7"), Item("data", "y", "c", lambda: None, "7")])
+    with pytest.raises(AlreadyDone, match="data 7"):
+        store.append(ops.baseline(twice))
+    assert ops.integrity(store.read()).collect() == []
