@@ -6,6 +6,7 @@ import graphlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -158,13 +159,26 @@ def check_declaration(spec: TableSpec, contract: TableContract | None, contracts
             refuse("prune_reach", constraint=name, child=child, action=action)
 
 
+def scanned_roots(df: DataFrame) -> list[str]:
+    """The paths given to the file scans of a frame, not the files below them."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for k in range(leaves.size()):
+        try:
+            paths = leaves.apply(k).relation().location().rootPaths()
+        except Py4JError:  # a leaf that is no scan of files
+            continue
+        found += [paths.apply(i).toString() for i in range(paths.size())]
+    return found
+
+
 def check_isolation(specs: list[TableSpec], folders: dict[str, str] | None = None) -> None:
     """Refuse two declarations of one table, and one that reads a declared table.
 
     All declarations are compared with the tables as they were before any of
     them is written, so such a read would see old rows. ``sources`` is what
-    counts; where the folders of the declared tables are known, the files Spark
-    says a declaration reads are a second line.
+    counts; where the folders of the declared tables are known, the paths Spark
+    scans for a declaration are a second line.
     """
     owner_of: dict[str, str] = {}
     for spec in specs:
@@ -174,8 +188,8 @@ def check_isolation(specs: list[TableSpec], folders: dict[str, str] | None = Non
     for spec in specs:
         read = [s for s in spec.sources if s in owner_of]
         if folders and not read:
-            files = spec.declared.inputFiles()
-            read = [t for t in owner_of if t in folders and any(f"{folders[t]}/" in f for f in files)]
+            roots = scanned_roots(spec.declared)
+            read = [t for t in owner_of if t in folders and any(f"{folders[t]}/" in f"{r}/" for r in roots)]
         if read:
             raise Refused("reads_declared", spec.owner, source=read[0], other=owner_of[read[0]])
 
