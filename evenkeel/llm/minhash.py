@@ -46,8 +46,6 @@ BITS = 2
 PLANE = HASHES // 64
 #: Classes of one band key compared at once in a task.
 BLOCK = 1024
-#: Rounds of likeliest partners before all that are left are compared.
-ROUNDS = 3
 MEMORY_WORDS = 300_000
 
 _MULTIPLIERS = np.random.default_rng(20_260).integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -384,20 +382,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     if rest.take(1):
         labels = components(confirmed(rest, texts, rule), labels)
 
-    # 3. Keys whose classes are still apart: each row with its likeliest partner elsewhere, as long as that
-    # links many, and then whatever is left, in tasks that hold the sets of two blocks.
+    # 3. Keys whose classes are still apart: each row with its likeliest partner elsewhere, and then whatever
+    # is left, in tasks that hold the sets of two blocks.
     near = "key long, i int, j int, block int, node long, other long"
-    for _ in range(ROUNDS):
-        rows = _open_rows(members, facts, labels)
-        apart = written(_by_blocks(rows).mapInArrow(_nearest_apart(rule), near), "apart")
-        pairs = apart.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-        if not apart.take(1):
-            break
-        links = written(confirmed(pairs, texts, rule), "links")
-        if not links.take(1):
-            break
-        labels = components(links, labels)
+    apart = _by_blocks(_open_rows(members, facts, labels)).mapInArrow(_nearest_apart(rule), near)
+    apart = written(apart, "apart")
     if apart.take(1):
+        pairs = apart.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        labels = components(confirmed(pairs, texts, rule), labels)
         nodes = broadcast_if_fits(written(apart.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
         sets = written(full_sets(texts.join(nodes, "doc_id", "left_semi"), rule.words), "sets")
         rows = _with_parts(apart.drop("other"), labels).join(facts, "node").join(sets, "node")
