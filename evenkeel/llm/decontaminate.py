@@ -4,9 +4,9 @@ A mask fixes which of a few neighbouring words count and which are ignored. Unde
 each mask every place of a benchmark item and of a document gets a hash of the
 words that count, so two texts still meet where a word in between was replaced.
 Each hit names a document, an item and the offset between them; along that offset
-the words are compared one by one, and the best stretch (a word that agrees is +1,
-one that does not is -2) is an overlap if at least LEAST_SHARE of its words agree
-and they number at least LEAST_WORDS, or LEAST_SHARE of a shorter item.
+the words are compared one by one. It is an overlap if LEAST_SHARE of the item's
+words agree, or if in the best stretch (a word that agrees is +1, one that does
+not is -2) LEAST_SHARE of the words agree and these are LEAST_WORDS or more.
 
 Words are lower-cased (A-Z) and freed of punctuation at both ends; words of
 punctuation alone are left out, and positions count the words that remain. Items
@@ -135,11 +135,13 @@ class Index:
                 t, i, s = key
                 a, b = max(0, s), min(int(text_lens[t]), s + int(self.lens[i]))
                 x = h[text_starts[t] + a : text_starts[t] + b] == self.words[self.starts[i] + a - s : self.starts[i] + b - s]
-                found = best_stretch(x)
-                share = math.ceil(LEAST_SHARE * int(self.lens[i]))
-                if found[2] >= min(LEAST_WORDS, share) and found[2] >= LEAST_SHARE * (found[1] - found[0]):
-                    if found[2] > best.get((t, i), (0, 0, 0))[2]:
-                        best[t, i] = (a + found[0], found[1] - found[0], found[2])
+                found = (0, len(x), int(np.count_nonzero(x)))
+                if found[2] < LEAST_SHARE * int(self.lens[i]):
+                    found = best_stretch(x)
+                    if found[2] < LEAST_WORDS or found[2] < LEAST_SHARE * (found[1] - found[0]):
+                        continue
+                if found[2] > best.get((t, i), (0, 0, 0))[2]:
+                    best[t, i] = (a + found[0], found[1] - found[0], found[2])
         return [(t, i, *b) for (t, i), b in best.items()]
 
 
