@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.llm.common import bounded_batches
+
 # Fixed value: the pattern by which this family of tokenizers cuts words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -268,6 +270,7 @@ def decode_batch(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[str
 
 def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
     """Ids (array of int) of a text column, by the tokenizer file at ``path`` on the driver."""
+    bounded_batches()
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))
 
     @F.arrow_udf("array<int>")
@@ -287,6 +290,7 @@ def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
 
 def bpe_decode(spark: SparkSession, ids: Column, path: str) -> Column:
     """Text of an id column; NULL and empty arrays give an empty text, NULL ids nothing."""
+    bounded_batches()
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))
 
     @F.arrow_udf("string")

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from evenkeel.session import new_path
 
 
+#: Rows of one Arrow batch: with Spark's default of 10,000 a task would hold that many long texts several times.
+ROWS_PER_BATCH = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches() -> None:
+    """Lower the session's limit of rows in an Arrow batch to ROWS_PER_BATCH, unless it is lower."""
+    spark = SparkSession.active()
+    rows = int(spark.conf.get(_BATCH_SETTING, "0"))
+    if rows <= 0 or rows > ROWS_PER_BATCH:
+        spark.conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only ``doc_id`` and ``text`` (NULL read as empty), whatever other columns there are."""
     return docs.select(

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import id_and_text, written
+from evenkeel.llm.common import bounded_batches, id_and_text, written
 
 # Any three replaced words in fifteen leave one of these whole somewhere.
 MASKS = ("11111", "110111")
@@ -170,6 +170,7 @@ def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """doc_id, item_id, first_word, n_words, n_agree: the best overlap of each pair that has one."""
+    bounded_batches()
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     items = id_and_text(benchmark, item_col).filter(F.col("doc_id").isNotNull() & (F.col("text") != ""))

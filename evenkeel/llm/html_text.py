@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evenkeel.llm.common import bounded_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
@@ -256,6 +258,7 @@ def main_text(html: str) -> str:
 
 def article_text(html: Column) -> Column:
     """Main text of a column of pages."""
+    bounded_batches()
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

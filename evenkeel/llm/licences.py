@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evenkeel.llm.common import bounded_batches
+
 FOUND = """struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:array<string>,
 labels:array<string>,covered:long,spans:array<struct<label:string,start:int,end:int>>>"""
 
@@ -277,6 +279,7 @@ class Scanner:
 
 def licence_scan(text: Column, scanner: Scanner | None = None) -> Column:
     """A struct for each text: words, base places, labels, covered words and labelled spans (in words)."""
+    bounded_batches()
     scanner = scanner or Scanner()
     span = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     kind = pa.struct(

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import broadcast_if_fits
-from evenkeel.llm.common import attach, id_and_text, written
+from evenkeel.llm.common import attach, bounded_batches, id_and_text, written
 from evenkeel.llm.components import components
 
 HASHES = 256
@@ -343,6 +343,7 @@ def _with_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    bounded_batches()
     texts = id_and_text(docs, id_col, text_col)
     signed = written(signatures(texts, rule.words), "signatures")
     linkable = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())

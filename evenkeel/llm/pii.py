@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evenkeel.llm.common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -162,6 +164,7 @@ class Finder:
 
 def personal_spans(text: Column) -> Column:
     """Array of (kind, start, end) of a text column."""
+    bounded_batches()
 
     @F.arrow_udf(SPANS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -194,6 +197,7 @@ def redacted_text(text: str, finder: Finder) -> str:
 
 def redacted(text: Column) -> Column:
     """A text column without personal data; NULL stays NULL."""
+    bounded_batches()
 
     @F.arrow_udf("string")
     def redact(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

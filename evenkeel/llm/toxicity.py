@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.llm.common import bounded_batches
+
 FEWEST, MOST = 3, 7
 BUCKETS = 1 << 18
 DIM = 8
@@ -258,6 +260,7 @@ def toxicity(docs: DataFrame, text: Column, model: Model | None) -> Column:
     """Score between 0 and 1 of a text column."""
     if model is None:
         return F.lit(0.0)
+    bounded_batches()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import broadcast_if_fits
-from evenkeel.llm.common import written
+from evenkeel.llm.common import bounded_batches, written
 
 ROLL_BYTES = 64 << 20
 MANIFEST = "file string, records long, bytes long, sha1 string, first_id long, last_id long"
@@ -170,6 +170,7 @@ def write_warc(
     html_col: str = "html",
 ) -> DataFrame:
     """Write the archives to ``folder`` (a URI every executor can reach); the manifest."""
+    bounded_batches()
     spark = pages.sparkSession
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
     rows = pages.select(
