@@ -40,7 +40,7 @@ LEAST_WORDS = 13
 LEAST_SHARE = 0.8
 BLOCK_WORDS = 200_000
 FILTER_BITS = 22
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 #: Documents (words) and hits worked on at once.
 SLICE_WORDS = 400_000
 HITS = 1_000_000

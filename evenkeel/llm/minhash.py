@@ -46,7 +46,7 @@ BITS = 2
 PLANE = HASHES // 64
 #: Classes of one band key compared at once in a task.
 BLOCK = 1024
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 
 _MULTIPLIERS = np.random.default_rng(20_260).integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
