@@ -4,14 +4,16 @@ A word is the bag of its character n-grams (FEWEST to MOST characters, with mark
 its ends) and itself, each hashed to one of BUCKETS vectors; its vector is their
 mean. A text is read in windows of WINDOW words, each the average of its words'
 vectors (times WINDOW, which the layer would learn otherwise), and a linear layer
-gives the window's evidence for each class, as far as there is any (softplus). The
-evidence of the windows adds up, and a softmax over the two classes makes it a
-score. Vectors and layers are trained
-together by Adam. A misspelling shares most n-grams with its word, so it scores
-like it without having been seen.
+gives the window's evidence, toxic less clean. A text has the evidence of its
+strongest window, however many others stand around it, and a softmax over the two
+classes (of which only their difference counts) makes it a score. Vectors and layer
+are trained together by Adam, in the same way: through the strongest windows. A
+misspelling shares most n-grams with its word, so it scores like it without having
+been seen.
 
 Training reads at most TRAIN_ROWS labelled texts of TRAIN_BYTES together, those
-with the lowest hash of their id: a fixed sample, whatever the size of the corpus.
+with the lowest hash of their id, whatever their length: a fixed sample, whatever the
+size of the corpus. A text that no longer fits into the bytes is passed over.
 
 Words are runs of letters and digits, lower-cased. NULL and empty texts have no
 words and score what the bias says. Labels that are NULL or other than 0 and 1 are
@@ -89,20 +91,21 @@ class Model:
     vectors: np.ndarray
     layer: np.ndarray
     window_bias: np.ndarray
-    bias: np.ndarray
 
     def bucket_evidence(self) -> np.ndarray:
-        """What each bucket adds for each class: the linear layer applied to its vector."""
-        return self.vectors @ self.layer
+        """What each bucket adds: the linear layer applied to its vector."""
+        return (self.vectors @ self.layer)[:, 0].astype(np.float64)
 
 
-def softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, x)
+def softmax(x: np.ndarray) -> np.ndarray:
+    """The toxic share of a softmax over (0, x)."""
+    return np.exp(-np.logaddexp(0.0, -x))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def strongest(raw: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of every text, in order, the window with most evidence."""
+    order = np.lexsort((-raw, text))
+    return order[np.diff(text[order], prepend=-1) > 0]
 
 
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -161,8 +164,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     corpus, toxic = Corpus(texts), np.array(toxic)
     shared = len(corpus.shared)
-    vectors, layer = rng.normal(0, 0.1, (shared, DIM)), rng.normal(0, 0.3, (DIM, 2))
-    params = [vectors, layer, np.full(2, WINDOW_BIAS), np.zeros(2)]
+    vectors = rng.normal(0, 0.1, (shared, DIM)).astype(np.float32)
+    layer = rng.normal(0, 0.3, (DIM, 1)).astype(np.float32)
+    params = [vectors, layer, np.full(1, WINDOW_BIAS, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))
     cuts = np.arange(BATCH, len(texts), BATCH)
@@ -171,49 +175,43 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         for chosen in np.split(rng.permutation(len(texts)), cuts):
             step += 1
             buckets, owner, word, window, text, sizes = corpus.batch(chosen)
-            evidence = vectors @ layer
-            n_texts, n_windows, n_words = len(chosen), len(text), len(sizes)
-            raw = np.empty((n_windows, 2))
-            for c in (0, 1):
-                per_word = np.bincount(owner, evidence[buckets, c], n_words) / sizes
-                raw[:, c] = np.bincount(window, per_word[word], n_windows) + params[2][c]
-            logits = np.stack([np.bincount(text, softplus(raw[:, c]), n_texts) for c in (0, 1)], axis=1)
-            wrong = softmax(logits + params[3])
-            wrong[np.arange(n_texts), toxic[chosen]] -= 1
-            wrong /= n_texts
-            d_raw = wrong[text] / (1 + np.exp(-raw))
-            per_bucket = np.empty((shared, 2))
-            for c in (0, 1):
-                per_word = np.bincount(word, d_raw[window, c], n_words) / sizes
-                per_bucket[:, c] = np.bincount(buckets, per_word[owner], shared)
+            evidence = (vectors @ layer)[:, 0]
+            n_windows, n_words = len(text), len(sizes)
+            per_word = np.bincount(owner, evidence[buckets], n_words) / sizes
+            raw = np.bincount(window, per_word[word], n_windows) + params[2]
+            top = strongest(raw, text)
+            d_raw = np.zeros(n_windows)
+            d_raw[top] = (softmax(raw[top]) - toxic[chosen]) / len(chosen)
+            per_word = np.bincount(word, d_raw[window], n_words) / sizes
+            per_bucket = np.bincount(buckets, per_word[owner], shared).astype(np.float32)[:, None]
             grads = [
-                per_bucket @ layer.T + DECAY * BATCH / len(texts) * vectors,
+                per_bucket @ layer.T + np.float32(DECAY * BATCH / len(texts)) * vectors,
                 vectors.T @ per_bucket,
-                d_raw.sum(axis=0),
-                wrong.sum(axis=0),
+                np.array([d_raw.sum()], np.float32),
             ]
             rate = RATE * (1 - step / (steps + 1))
             for value, g, m, s in zip(params, grads, first, second):
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    full = np.zeros((BUCKETS, DIM))
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                fit = np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-8)
+                value -= np.float32(rate / (1 - 0.9**step)) * m / fit
+    full = np.zeros((BUCKETS, DIM), np.float32)
     full[corpus.shared] = vectors
-    return Model(full, layer, params[2], params[3])
+    return Model(full, layer, params[2])
 
 
 class Scorer:
     """Scores texts; remembers the evidence of words, up to MEMORY_WORDS."""
 
     def __init__(self, model: Model):
-        self.evidence, self.window_bias, self.bias = model.bucket_evidence(), model.window_bias, model.bias
+        self.evidence, self.window_bias = model.bucket_evidence(), float(model.window_bias[0])
         self.place: dict[bytes, int] = {}
-        self.known = np.zeros((0, 2))
+        self.known = np.zeros(0)
 
     def learn(self, words: list[bytes]) -> None:
         buckets, sizes = subwords(words)
         starts = np.cumsum(sizes) - sizes
-        fresh = np.stack([np.add.reduceat(self.evidence[buckets, c], starts) / sizes for c in (0, 1)], axis=1)
+        fresh = np.add.reduceat(self.evidence[buckets], starts) / sizes
         for k, w in enumerate(words, len(self.place)):
             self.place[w] = k
         self.known = np.concatenate([self.known, fresh])
@@ -222,18 +220,18 @@ class Scorer:
         words = [words_of(t) for t in texts]
         fresh = set().union(*words).difference(self.place)
         if len(self.place) + len(fresh) > MEMORY_WORDS:
-            self.place, self.known = {}, np.zeros((0, 2))
+            self.place, self.known = {}, np.zeros(0)
             fresh = set().union(*words)
         if fresh:
             self.learn(list(fresh))
         get = self.place.__getitem__
-        logits = np.empty((len(texts), 2))
+        logits = np.empty(len(texts))
         for t, ws in enumerate(words):
             seen = self.known[np.fromiter(map(get, ws), np.int64, len(ws))]
             cuts = np.arange(0, len(ws), WINDOW)
-            windows = np.add.reduceat(seen, cuts) if len(ws) else np.zeros((1, 2))
-            logits[t] = softplus(windows + self.window_bias).sum(axis=0)
-        return softmax(logits + self.bias)[:, 1]
+            windows = np.add.reduceat(seen, cuts) if len(ws) else np.zeros(1)
+            logits[t] = windows.max() + self.window_bias
+        return softmax(logits)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
@@ -242,10 +240,13 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sizes = texts.groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("bytes")).toPandas()
-    sizes = sizes.sort_values(["bytes", "doc_id"])
-    fit = sizes[sizes["bytes"].cumsum() <= TRAIN_BYTES]["doc_id"].tolist()
-    wanted = docs.sparkSession.createDataFrame([(int(i),) for i in fit], "doc_id long")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"))
+    fit, left = [], TRAIN_BYTES
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.bytes <= left:
+            fit.append((r.doc_id,))
+            left -= r.bytes
+    wanted = docs.sparkSession.createDataFrame(fit, "doc_id long")
     rows = texts.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [r.text for r in rows], [r.toxic for r in rows]
 

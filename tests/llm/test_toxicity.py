@@ -9,6 +9,7 @@ from evenkeel.llm import queries, toxicity
 from evenkeel.llm.toxicity import Scorer, subwords, toxicity_model, train
 
 SF = "/root/testdata/sf0.1"
+BAD = ["horrid", "wretched", "vileness"]
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,26 @@ def test_a_few_words_count_in_longer_texts_too(model):
     assert toxic > 0.7 > clean
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_a_few_words_count_among_hundreds_and_thousands_of_clean_ones(model, times):
+    model, vocab = model
+    long = vocab * times
+    half = len(long) // 2
+    clean, last, amid = scores(
+        model,
+        [" ".join(ws) for ws in (long, long + BAD, long[:half] + BAD + long[half:])],
+    )
+    assert last > 0.7 > 0.3 > clean and amid > 0.7
+
+
+def test_training_texts_are_taken_by_hash_whatever_their_length(spark, frame, monkeypatch):
+    docs = frame([(i, "word " * (10 + 40 * (i % 5))) for i in range(100)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 20_000)
+    lens = [len(t) for t in toxicity.training_rows(docs, labels)[0]]
+    assert 15_000 < sum(lens) <= 20_000 and len(set(lens)) == 5
+
+
 def test_order_of_scoring_does_not_matter(model, monkeypatch):
     model, vocab = model
     texts = [" ".join(vocab[i : i + 40]) for i in range(0, 400, 40)] + ["", "horrid"]
