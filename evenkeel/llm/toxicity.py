@@ -11,6 +11,11 @@ are trained together by Adam, in the same way: through the strongest windows. A
 misspelling shares most n-grams with its word, so it scores like it without having
 been seen.
 
+All vectors met in training are trained. Each is scaled by what its n-gram says about
+the class: with z its toxic texts over those expected, in standard errors, by
+z^2 / (z^2 + CHANCE). So the n-grams that a text has by chance cannot be learnt by
+heart, and a bound on how often one must be met is not needed.
+
 Training reads at most TRAIN_ROWS labelled texts of TRAIN_BYTES together, those
 with the lowest hash of their id, whatever their length: a fixed sample, whatever the
 size of the corpus. A text that no longer fits into the bytes is passed over.
@@ -42,9 +47,9 @@ TRAIN_BYTES = 32 << 20
 EPOCHS = 6
 BATCH = 40
 RATE = 0.01
-DECAY = 0.015
+DECAY = 0.003
 WINDOW_BIAS = -3.0
-LEAST_MET = 40
+CHANCE = 16.0
 LEAST_STEPS = 800
 MEMORY_WORDS = 200_000
 
@@ -119,30 +124,29 @@ class Corpus:
     def __init__(self, texts: list[str]):
         ids: dict[bytes, int] = {}
         self.texts = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
-        words = list(ids)
+        words, met = list(ids), np.zeros(BUCKETS, bool)
         del ids
-        # how often each bucket is met, a text counting once for each of its words
-        held_by = np.bincount(np.concatenate([np.zeros(0, np.int32), *map(np.unique, self.texts)]), minlength=len(words))
-        met = np.zeros(BUCKETS)
-        for at in range(0, len(words), 10_000):
-            buckets, sizes = subwords(words[at : at + 10_000])
-            met += np.bincount(buckets, np.repeat(held_by[at : at + 10_000], sizes), BUCKETS)
-        # only vectors met often enough are trained, the others stay zero
-        self.shared = np.flatnonzero(met >= LEAST_MET)
-        place = np.full(BUCKETS, -1, np.int32)
-        place[self.shared] = np.arange(len(self.shared))
-        kept, lens, whole = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        held, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 10_000):
-            buckets, sizes = subwords(words[at : at + 10_000])
-            buckets = place[buckets]
-            some = buckets >= 0
-            owner = np.repeat(np.arange(len(sizes)), sizes)[some]
-            kept.append(buckets[some])
-            lens.append(np.bincount(owner, minlength=len(sizes)))
-            whole.append(sizes)
-        self.buckets, self.sizes = np.concatenate(kept), np.concatenate(whole)
-        self.lens = np.concatenate(lens)
-        self.starts = np.cumsum(self.lens) - self.lens
+            buckets, lens = subwords(words[at : at + 10_000])
+            met[buckets] = True
+            held.append(buckets)
+            sizes.append(lens)
+        self.shared = np.flatnonzero(met)
+        place = np.cumsum(met, dtype=np.int32) - np.int32(1)
+        self.buckets, self.sizes = np.concatenate([place[b] for b in held]), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def scale(self, toxic: np.ndarray) -> np.ndarray:
+        """Between 0 and 1 for each trained bucket: how far its texts are of one class beyond chance."""
+        held = np.zeros((2, len(self.shared)))
+        for text, label in zip(self.texts, toxic):
+            words = np.unique(text)
+            held[label, np.unique(self.buckets[spread(self.starts[words], self.sizes[words])])] += 1
+        share = toxic.mean()
+        expected = held.sum(axis=0) * share
+        square = (held[1] - expected) ** 2 / (expected * (1 - share) + 1)
+        return (square / (square + CHANCE)).astype(np.float32)
 
     def batch(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """Buckets and their words, words and their windows, windows and their texts; sizes of the words."""
@@ -155,8 +159,8 @@ class Corpus:
             text.append(np.full(count, t))
             n += count
         words, word = np.unique(np.concatenate(word), return_inverse=True)
-        owner = np.repeat(np.arange(len(words)), self.lens[words])
-        buckets = self.buckets[spread(self.starts[words], self.lens[words])]
+        owner = np.repeat(np.arange(len(words)), self.sizes[words])
+        buckets = self.buckets[spread(self.starts[words], self.sizes[words])]
         return buckets, owner, word, np.concatenate(window), np.concatenate(text), self.sizes[words]
 
 
@@ -164,6 +168,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     corpus, toxic = Corpus(texts), np.array(toxic)
     shared = len(corpus.shared)
+    scale = corpus.scale(toxic)[:, None]
     vectors = rng.normal(0, 0.1, (shared, DIM)).astype(np.float32)
     layer = rng.normal(0, 0.3, (DIM, 1)).astype(np.float32)
     params = [vectors, layer, np.full(1, WINDOW_BIAS, np.float32)]
@@ -175,7 +180,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         for chosen in np.split(rng.permutation(len(texts)), cuts):
             step += 1
             buckets, owner, word, window, text, sizes = corpus.batch(chosen)
-            evidence = (vectors @ layer)[:, 0]
+            evidence = (vectors @ layer * scale)[:, 0]
             n_windows, n_words = len(text), len(sizes)
             per_word = np.bincount(owner, evidence[buckets], n_words) / sizes
             raw = np.bincount(window, per_word[word], n_windows) + params[2]
@@ -183,7 +188,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
             d_raw = np.zeros(n_windows)
             d_raw[top] = (softmax(raw[top]) - toxic[chosen]) / len(chosen)
             per_word = np.bincount(word, d_raw[window], n_words) / sizes
-            per_bucket = np.bincount(buckets, per_word[owner], shared).astype(np.float32)[:, None]
+            per_bucket = np.bincount(buckets, per_word[owner], shared).astype(np.float32)[:, None] * scale
             grads = [
                 per_bucket @ layer.T + np.float32(DECAY * BATCH / len(texts)) * vectors,
                 vectors.T @ per_bucket,
@@ -196,7 +201,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
                 fit = np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-8)
                 value -= np.float32(rate / (1 - 0.9**step)) * m / fit
     full = np.zeros((BUCKETS, DIM), np.float32)
-    full[corpus.shared] = vectors
+    full[corpus.shared] = vectors * scale
     return Model(full, layer, params[2])
 
 

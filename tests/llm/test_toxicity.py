@@ -66,6 +66,16 @@ def test_training_texts_are_taken_by_hash_whatever_their_length(spark, frame, mo
     assert 15_000 < sum(lens) <= 20_000 and len(set(lens)) == 5
 
 
+def test_words_met_in_a_few_texts_count_too():
+    rng = random.Random(2)
+    vocab = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 8))) for _ in range(800)]
+    texts = [" ".join(rng.choices(vocab, k=40) + BAD * (i % 10 == 0)) for i in range(300)]
+    few = train(texts, [int(i % 10 == 0) for i in range(300)])
+    plain = " ".join(vocab[:40])
+    clean, seen, unseen = scores(few, [plain, f"{plain} horrid wretched", f"{plain} horridd wretchedd vilenesss"])
+    assert clean < 0.3 and seen > 0.7 and unseen > 0.7
+
+
 def test_order_of_scoring_does_not_matter(model, monkeypatch):
     model, vocab = model
     texts = [" ".join(vocab[i : i + 40]) for i in range(0, 400, 40)] + ["", "horrid"]
@@ -107,4 +117,4 @@ def test_query_on_held_out_documents(spark):
     right = sum(p == t for p, t in held) / len(held)
     caught = sum(p for p, t in held if t) / max(1, sum(t for _, t in held))
     alarms = sum(p for p, t in held if not t) / sum(not t for _, t in held)
-    assert right > 0.93 and caught > 0.4 and alarms < 0.02
+    assert right > 0.93 and caught > 0.6 and alarms < 0.02
