@@ -5,8 +5,9 @@ each mask every place of a benchmark item and of a document gets a hash of the
 words that count, so two texts still meet where a word in between was replaced.
 Each hit names a document, an item and the offset between them; along that offset
 the words are compared one by one. It is an overlap if LEAST_SHARE of the item's
-words agree, or if in the best stretch (a word that agrees is +1, one that does
-not is -2) LEAST_SHARE of the words agree and these are LEAST_WORDS or more.
+words agree, or if there is any stretch in which LEAST_SHARE of the words agree and
+these are LEAST_WORDS or more. Of several stretches the one with most agreeing words
+is reported, of those the shortest, then the first.
 
 Words are lower-cased (A-Z) and freed of punctuation at both ends; words of
 punctuation alone are left out, and positions count the words that remain. Items
@@ -35,6 +36,9 @@ from evenkeel.llm.common import bounded_batches, id_and_text, written
 
 # Any three replaced words in fifteen leave one of these whole somewhere.
 MASKS = ("11111", "110111")
+# Whatever fifth is replaced in an item of fewer than FEW words, one of these is left too.
+FEW_MASKS = ("1111", "11011", "10111", "11101")
+FEW = 12
 SHORTEST = 5
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
@@ -93,9 +97,11 @@ class Index:
         self.words = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in keep)])
         self.item_of = np.repeat(np.arange(len(keep)), self.lens)
         self.tables = []
-        for mask in MASKS:
+        for mask in MASKS + FEW_MASKS:
             key = seeds(self.words, mask)
             at = np.flatnonzero(self.item_of[: len(key)] == self.item_of[len(mask) - 1 :][: len(key)])
+            if mask in FEW_MASKS:
+                at = at[self.lens[self.item_of[at]] < FEW]
             order = np.argsort(key[at], kind="stable")
             some = np.zeros(1 << FILTER_BITS, bool)
             some[(key[at] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
@@ -138,7 +144,7 @@ class Index:
                 found = (0, len(x), int(np.count_nonzero(x)))
                 if found[2] < LEAST_SHARE * int(self.lens[i]):
                     found = best_stretch(x)
-                    if found[2] < LEAST_WORDS or found[2] < LEAST_SHARE * (found[1] - found[0]):
+                    if found[2] < LEAST_WORDS:
                         continue
                 if found[2] > best.get((t, i), (0, 0, 0))[2]:
                     best[t, i] = (a + found[0], found[1] - found[0], found[2])
@@ -146,12 +152,23 @@ class Index:
 
 
 def best_stretch(agree: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and agreeing words of the stretch with the highest score."""
-    upto = np.concatenate([[0], np.cumsum(np.where(agree, 1, -2))])
-    low = np.minimum.accumulate(upto)
-    end = int(np.argmax(upto - low))
-    start = int(np.argmin(upto[: end + 1]))
-    return start, end, int(np.count_nonzero(agree[start:end]))
+    """Start, end and agreeing words of the stretch with most of these among all that have LEAST_SHARE."""
+    # a stretch has the share if its sum of +1 and -4 is not negative, or its two prefix sums do not fall
+    upto = np.concatenate([[0], np.cumsum(np.where(agree, 1, -4))])
+    count = np.concatenate([[0], np.cumsum(agree)])
+    best = (0, 0, 0)
+    # it begins and ends with a word that agrees, or a shorter one has as many of them
+    places = np.flatnonzero(agree)
+    ends = places + 1
+    for k, start in enumerate(places.tolist()):
+        if len(places) - k < max(best[2], 1):
+            break
+        fit = np.flatnonzero(upto[ends[k:]] >= upto[start])
+        end = int(ends[k + fit[-1]])
+        n = int(count[end] - count[start])
+        if (n, start - end) > (best[2], best[0] - best[1]):
+            best = (start, end, n)
+    return best
 
 
 def _slices(column: pa.Array, words: Words) -> Iterator[tuple[int, list[np.ndarray]]]:

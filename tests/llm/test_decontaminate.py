@@ -1,7 +1,10 @@
 import random
+from itertools import combinations
+
+import numpy as np
 
 from evenkeel.llm import decontaminate, queries
-from evenkeel.llm.decontaminate import find_overlaps
+from evenkeel.llm.decontaminate import best_stretch, find_overlaps
 
 SF = "/root/testdata/sf0.001"
 VOCAB = [f"word{i}" for i in range(3000)]
@@ -71,6 +74,45 @@ def test_stretches_are_those_of_all_offsets(spark, frame):
     assert got == expected
 
 
+def best_of_all(same):
+    """The stretch with 13 or more agreeing words and a share of 0.8 among all stretches, one by one."""
+    fit = [
+        (sum(same[start:end]), start - end, -start)
+        for start in range(len(same))
+        for end in range(start + 1, len(same) + 1)
+        if sum(same[start:end]) >= 13 and 10 * sum(same[start:end]) >= 8 * (end - start)
+    ]
+    return max(fit, default=None)
+
+
+def test_every_stretch_counts_not_only_the_one_of_highest_score():
+    rng = random.Random(5)
+    cases = [[True] * 13 + [False] * 6 + [True] * 13 + [False] * 6 + [True] * 13]
+    cases += [[rng.random() > 0.25 for _ in range(rng.randint(13, 59))] for _ in range(150)]
+    for same in cases:
+        start, end, n = best_stretch(np.array(same))
+        assert ((n, start - end, -start) if n >= 13 else None) == best_of_all(same)
+
+
+def test_short_items_are_found_whichever_fifth_is_replaced(frame):
+    items, docs = [], []
+    for n in range(5, 12):
+        word = [f"n{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(word)))
+        for gone in combinations(range(n), n // 5):
+            docs.append((n, " ".join("other" if k in gone else w for k, w in enumerate(word))))
+    docs = [(100 * d + n, text) for d, (n, text) in enumerate(docs)]
+    got = found(frame(docs), frame(items, "item_id long, text string"))
+    assert set(got) == {(d, d % 100) for d, _ in docs}
+
+
+def test_a_longer_overlap_is_found_where_a_shorter_one_is(frame):
+    item = VOCAB[:51]
+    doc = [f"x{k}" if 13 <= k < 19 or 32 <= k < 38 else w for k, w in enumerate(item)]
+    items = frame([(1, " ".join(item))], "item_id long, text string")
+    assert found(frame([(1, " ".join(doc)), (2, " ".join(doc[:13]))]), items) == {(1, 1): (0, 32, 26), (2, 1): (0, 13, 13)}
+
+
 def test_case_punctuation_blocks_and_repeats(spark, frame, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
     item = "One, two three -- four five (six) seven."
