@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,7 @@ from evenkeel.session import new_path
 #: Rows of one Arrow batch: with Spark's default of 10,000 a task would hold that many long texts several times.
 ROWS_PER_BATCH = 500
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_TIDY_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches() -> None:
@@ -61,3 +68,31 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str = "n") -> Da
     flagged = rows.join(F.broadcast(heavy.select(key, F.lit(True).alias("__heavy"))), key, "left")
     hot = rows.join(F.broadcast(heavy.drop(count)), key)
     return flagged.filter(F.col("__heavy").isNull()).drop("__heavy").join(light, key).unionByName(hot)
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside drop their shuffle files as each one ends, not when the driver next collects garbage.
+
+    Meant for chains of written frames: nothing inside reads the shuffles of an earlier job.
+    """
+    before = spark.conf.get(_TIDY_SETTING, "false")
+    spark.conf.set(_TIDY_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY_SETTING, before)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Batches sorted by ``key``, as one stream of slices for each of its values."""
+    slices = (piece for batch in batches if batch.num_rows for piece in _cut(batch, key))
+    for value, some in groupby(slices, key=lambda piece: piece[0]):
+        yield value, (piece for _, piece in some)
+
+
+def _cut(batch: pa.RecordBatch, key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    values = batch.column(key).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    for a, b in zip(edges, edges[1:]):
+        yield int(values[a]), batch.slice(a, b - a)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.llm import sql
 from evenkeel.llm.ann import nearest
 from evenkeel.llm.bpe import bpe_decode, bpe_encode
+from evenkeel.llm.centroids import cluster_vectors
 from evenkeel.llm.decontaminate import find_overlaps
 from evenkeel.llm.html_text import article_text
 from evenkeel.llm.licences import licence_scan
 from evenkeel.llm.minhash import Rule, near_duplicates
 from evenkeel.llm.pii import BASE, personal_spans
+from evenkeel.llm.resample import importance_resample
 from evenkeel.llm.sharding import shard_by_bytes
+from evenkeel.llm.substrings import cut_repeats
 from evenkeel.llm.toxicity import toxicity, toxicity_model
 from evenkeel.llm.warc import read_warc, write_warc
 from evenkeel.plans.base import Query, table
@@ -133,6 +136,19 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": Query(bpe),
     "op2_minhash": Query(minhash),
@@ -144,4 +160,7 @@ QUERIES = {
     "op8_warc": Query(warc),
     "op9_toxicity": Query(toxic),
     "op10_licences": Query(licences),
+    "op11_resampling": Query(resampling, sql.RESAMPLING),
+    "op12_centroids": Query(clustering, sql.CENTROIDS),
+    "op13_substrings": Query(substrings, sql.SUBSTRINGS),
 }
