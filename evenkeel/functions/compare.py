@@ -11,22 +11,57 @@ from pyspark.sql import functions as F
 from evenkeel.fixed import JSON_TYPE
 from evenkeel.functions.assign import split_type
 
+# A piece of JSON text in which no string holds an escaped quote: a string, a number, or what stands between.
+# None of it repeats a group, so long strings take no stack.
+_STRING = r'"[^"]*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_PIECE = rf'{_STRING}|{_NUMBER}|[^"0-9-]++|[\s\S]'
+_OPEN = '{"e":0,"v":'
 
-# A number Spark reads from JSON as a double, so that different ones can come out
-# the same. Text that merely looks like one is taken for one, which is safe.
-_INEXACT_NUMBER = r"(^|[:,\[])\s*-?([0-9.]+[eE]|[0-9.]{39})"
+
+def _number(text: Column) -> Column:
+    """A JSON number as its significant digits and a power of ten, exact at any length."""
+    parts = F.split(F.lower(F.ltrim(text, F.lit("-"))), "e")
+    whole_and_rest = F.split(parts[0], r"\.")
+    rest = F.coalesce(F.get(whole_and_rest, F.lit(1)), F.lit(""))
+    digits = F.concat(whole_and_rest[0], rest)
+    cut = F.rtrim(digits, F.lit("0"))
+    power = F.coalesce(F.get(parts, F.lit(1)), F.lit("0")).try_cast("decimal(20,0)")
+    power = power - F.length(rest) + F.length(digits) - F.length(cut)
+    bare = F.ltrim(cut, F.lit("0"))
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    # a power of more than twenty digits stays as it is written
+    return F.when(bare == "", "0").otherwise(F.coalesce(F.concat(sign, bare, F.lit("e"), power.cast("string")), text))
 
 
 def _canonical_json(c: Column) -> Column:
-    return F.when(c.rlike(_INEXACT_NUMBER), c).otherwise(F.coalesce(F.to_json(F.try_parse_json(c)), c))
+    """JSON by value: two texts that mean the same come out as the same text, other text as it is.
+
+    Every number becomes a string ``n`` of its exact value and every string, names
+    included, begins with ``s``, so that the parser, which would read some numbers
+    as doubles, sees strings only; what it then writes has its names in
+    order and no blanks. A member no text can contain shows that the whole text was read.
+    """
+    plain = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\\u005c")), F.lit("\\\""), F.lit("\\u0022"))
+    pieces = F.regexp_extract_all(plain, F.lit(_PIECE), F.lit(0))
+    rewritten = F.array_join(
+        F.transform(
+            pieces,
+            lambda p: F.when(p.rlike("^" + _STRING), F.concat(F.lit('"s'), F.substr(p, F.lit(2))))
+            .when(p.rlike("^-?[0-9]"), F.concat(F.lit('"n'), _number(p), F.lit('"')))
+            .otherwise(p),
+        ),
+        "",
+    )
+    read = F.to_json(F.try_parse_json(F.concat(F.lit('{"v":'), rewritten, F.lit(',"e":0}'))))
+    return F.when(read.startswith(_OPEN), read).otherwise(c)
 
 
 def comparable(c: Column, declared: str) -> Column:
     """The form of a value in which equal means the same.
 
-    JSON text compares by content: key order, blanks and zeros after the point
-    do not count. Text that is not JSON compares as it stands, and so does JSON
-    with numbers Spark cannot hold exactly, so that no change is missed.
+    JSON text compares by value, at any depth: order of names, blanks, escapes and the way a number is
+    written do not count, and numbers are exact however long. Text that is not JSON compares as it stands.
     """
     base, _, _, is_array = split_type(declared)
     if base == JSON_TYPE:

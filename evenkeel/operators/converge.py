@@ -23,6 +23,7 @@ def converge(
     defaults: dict[str, str] | None = None,
     types: dict[str, str] | None = None,
     broadcast_rows: int | None = None,
+    mark: str | None = None,
 ) -> DataFrame:
     """The next state of ``live``: missing rows added, changed rows corrected.
 
@@ -30,7 +31,8 @@ def converge(
     written differently. A changed row takes all declared values. Columns nobody
     declared stay as they are and take their default (an SQL expression) on
     added rows. ``touch`` columns are set to ``now`` on added and changed rows
-    only. Unlisted rows stay unless ``prune``.
+    only. Unlisted rows stay unless ``prune``. ``mark`` names a column that says
+    whether a row was added or changed.
     """
     if touch and now is None:
         raise ValueError("touch columns need the time to set")
@@ -55,6 +57,8 @@ def converge(
         else:
             value = old
         out.append(value.cast(field.dataType).alias(name))
+    if mark:
+        out.append(written.alias(mark))
     return paired.select(*out)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from evenkeel.fixed import DEFAULT_NAMESPACE
 from evenkeel.functions.assign import assignment, canonical_type, refusal, split_type, storage_type
 from evenkeel.operators.constraints import identity_fill, matching
 from evenkeel.operators.spec import Column, TableContract
-from evenkeel.sources.snapshots import SnapshotStore
+from evenkeel.sources.catalog import BUCKET, CatalogStore
 
 CATALOG = "namespace string, table_name string, column_name string, type string, nullable boolean, default_expr string"
 COLUMN_KEY = ["namespace", "table_name", "column_name"]
@@ -82,16 +82,27 @@ def drift(
     return both.select(*COLUMN_KEY, F.explode(F.array_compact(found)).alias("d")).select(*COLUMN_KEY, "d.*")
 
 
-def catalog_of_stored(store: SnapshotStore, namespace: str = DEFAULT_NAMESPACE) -> DataFrame:
-    """The catalog of the tables of a store as they are; no rows are read. A store keeps no defaults or NOT NULL."""
-    rows = [
-        (namespace, name, f.name, f.dataType.simpleString(), True, None)
-        for name, stored in store.current()[1].items()
-        for f in T.DataType.fromDDL(stored.schema).fields
-    ]
+def _columns_of(namespace: str, name: str, schema: T.StructType) -> list[tuple]:
+    fields = [f for f in schema.fields if f.name != BUCKET]
+    defaults = [(f.metadata or {}).get("CURRENT_DEFAULT") for f in fields]
+    return [(namespace, name, f.name, f.dataType.simpleString(), f.nullable, d) for f, d in zip(fields, defaults)]
+
+
+def catalog_of_stored(store: CatalogStore, namespace: str = DEFAULT_NAMESPACE) -> DataFrame:
+    """The catalog of the current tables of a store, as Spark's own catalog has them; no rows are read."""
+    current = store.current()[1].items()
+    rows = [r for name, stored in current for r in _columns_of(namespace, name, store.catalog_schema(stored))]
     return store.spark.createDataFrame(rows, CATALOG)
 
 
+def catalog_of_database(spark: SparkSession, database: str, namespace: str | None = None) -> DataFrame:
+    """The catalog of all tables of a database of ``spark.catalog``, views left out; no rows are read."""
+    tables = [t.name for t in spark.catalog.listTables(f"`{database}`") if t.tableType in ("MANAGED", "EXTERNAL")]
+    schemas = {t: spark.table(f"`{database}`.`{t}`").schema for t in tables}
+    rows = [r for t, schema in schemas.items() for r in _columns_of(namespace or database, t, schema)]
+    return spark.createDataFrame(rows, CATALOG)
+
+
 def drifting_tables(differences: DataFrame, tables: list[str]) -> set[str]:
     """Which of these tables have a shape difference."""
     found = differences.filter(F.col("table_name").isin(tables)).select("table_name").distinct()
@@ -150,20 +161,58 @@ def missing_namespaces(declared: DataFrame, existing: DataFrame) -> DataFrame:
     return wanted.distinct().join(existing.select("namespace").distinct(), "namespace", "left_anti")
 
 
-def evolve_stored(store: SnapshotStore, name: str, desired: list[Column], *, strict: bool = False) -> bool:
-    """Bring a stored table to the desired shape; False if it has that shape, and then nothing is written.
+#: Types a file may hold where the table has the type they lead to: Spark reads the one as the other.
+_READ_AS = {
+    "tinyint": ("smallint", "int", "bigint"),
+    "smallint": ("int", "bigint"),
+    "int": ("bigint",),
+    "float": ("double",),
+}
+
+
+def by_definition(have: T.StructType, desired: list[Column], strict: bool) -> list[tuple[str, str, str | None]] | None:
+    """The columns of a table definition over the files as they are, None if rows have to be written anew.
+
+    A new column can be read as its default, if that is a constant, or as NULL; a number as a wider one. Whatever
+    numbers or computes rows, or changes what is in them, cannot.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in have.fields}
+    out = []
+    for column in desired:
+        kind, wanted = kinds.get(column.name), storage_type(column.type)
+        if kind is None:
+            computed = column.serial or column.generated or "(" in (column.default or "")
+            if computed or (column.default is None and not column.nullable):
+                return None
+        elif kind != wanted and wanted not in _READ_AS.get(kind, ()):
+            return None
+        out.append((column.name, wanted, column.default))
+    named = {c.name for c in desired}
+    return out if strict else out + [(f.name, kinds[f.name], None) for f in have.fields if f.name not in named]
+
+
+def evolve_stored(store: CatalogStore, name: str, desired: list[Column], *, strict: bool = False) -> bool:
+    """Bring a stored table to the desired shape; False if it has that shape, and then nothing is changed.
 
-    Values are checked in both cases: a shorter text type is stored like a longer one.
+    Where a definition is enough, the next table is defined over the present files and
+    none is written. Values are checked in any case: a shorter text type is stored like a longer one.
     """
     version, tables = store.current()
     stored = tables[name]
-    rows = store.read(stored)
+    have, rows = store.schema(stored), store.read(stored)
+    kinds = {f.name: f.dataType.simpleString() for f in have.fields}
     shaped = evolve(rows, desired, strict=strict, key=stored.key)
-    if shaped.schema.simpleString() == rows.schema.simpleString():
-        narrow = [c for c in desired if not c.nullable or split_type(c.type)[1] is not None]
+    same = shaped.schema.simpleString() == rows.schema.simpleString()
+    columns = by_definition(have, desired, strict)
+    if same or columns is not None:
+        narrow = [c for c in desired if c.name in kinds and (not c.nullable or split_type(c.type)[1] is not None)]
         if narrow:
             evolve(rows, narrow, strict=True).write.format("noop").mode("overwrite").save()
+    if same:
         return False
-    new = store.write(name, shaped, stored.key, stored.buckets)
-    store.publish({name: replace(new, sequences=stored.sequences)}, version)
+    if columns is not None:
+        new = store.reshape(name, stored, columns)
+    else:
+        new = replace(stored, at=store.write(name, shaped, stored.key, stored.buckets).at, unique=[])
+    store.publish({name: new}, version)
     return True

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,20 @@ from evenkeel.operators.spec import (
     order_by_foreign_keys,
 )
 from evenkeel.session import forget, new_path
-from evenkeel.sources.snapshots import SnapshotStore, Stored
+from evenkeel.sources.catalog import CatalogStore, Stored
 
 
 class Violated(RuntimeError):
-    """The next state of a table would break one of its rules; nothing was published."""
+    """The next state of a table would break one of its rules; nothing was published.
+
+    ``broken`` lists all of them: table, rule and number of violations.
+    """
+
+    def __init__(self, broken: list[tuple[str, str, int]]):
+        self.broken = sorted(broken)
+        table, rule, n = self.broken[0]
+        rest = f" (and {len(broken) - 1} more)" if len(broken) > 1 else ""
+        super().__init__(f"{table}: {rule}: {n} violation(s){rest}")
 
 
 @dataclass(frozen=True)
@@ -75,42 +84,65 @@ def _counted(table: str, rule: str, broken: DataFrame) -> DataFrame:
     )
 
 
-def table_violations(contract: TableContract, rows: DataFrame, touched: DataFrame, key: list[str]) -> list[DataFrame]:
-    """Counts of broken rules (table_name, rule, n), one frame per rule.
+#: Marks the rows of a next state that were added or changed.
+TOUCHED = "touched__"
 
-    Only a row in ``touched``, the rows that were added or changed, can break
-    what held before: rules on single rows look at nothing else, and of a unique
-    rule only values a touched row holds are counted. The reconcile key is
-    unique by construction.
-    """
-    table, found = contract.name, []
+
+def row_rules(contract: TableContract) -> dict[str, Column]:
+    """The rules a single row can break, each with whether it does; unknown passes."""
     filled = [c.name for c in contract.columns if not c.nullable or c.name in contract.primary_key]
-    if filled:
-        nulls = constraints.not_null_violations(touched, filled)
-        rule = F.concat(F.lit("not null "), "column_name").alias("rule")
-        found.append(nulls.select(F.lit(table).alias("table_name"), rule, "n"))
+    rules = {f"not null {c}": F.col(f"`{c}`").isNull() for c in filled}
+    return rules | {f"check {name}": ~F.expr(f"({predicate})") for name, predicate in contract.checks.items()}
+
+
+def watched(rows: DataFrame, contract: TableContract) -> tuple[DataFrame, Observation | None]:
+    """The rows without their mark, counting on the way how many of the marked ones break each rule.
+
+    Only a row that was added or changed can break what held before. The counts are
+    made by whatever job reads the rows, so the write that stores them is the only scan.
+    """
+    rules = row_rules(contract)
+    if not rules:
+        return rows.drop(TOUCHED), None
+    watch = Observation()
+    counts = [F.count_if(F.col(TOUCHED) & bad).alias(f"rule_{n}") for n, bad in enumerate(rules.values())]
+    return rows.observe(watch, *counts).drop(TOUCHED), watch
+
+
+def seen(contract: TableContract, watch: Observation | None) -> list[tuple[str, str, int]]:
+    """The broken rules of a watched write that is done: table, rule, number of rows."""
+    if watch is None:
+        return []
+    counts = watch.get
+    numbered = enumerate(row_rules(contract))
+    return [(contract.name, rule, counts[f"rule_{n}"]) for n, rule in numbered if counts[f"rule_{n}"]]
+
+
+def unique_rules(contract: TableContract, rows: DataFrame, touched: DataFrame, key: list[str]) -> list[DataFrame]:
+    """Counts of values held more than once (table_name, rule, n), one frame per rule.
+
+    Only values a touched row holds are counted. The reconcile key is unique by construction.
+    """
+    found = []
     for unique in (contract.primary_key, *contract.uniques):
         if unique and set(unique) != set(key):
             values = broadcast_if_fits(unpadded(touched, list(unique), contract.types).distinct())
             held = unpadded(rows, list(unique), contract.types).join(values, list(unique), "left_semi")
             broken = constraints.unique_violations(held, list(unique))
-            found.append(_counted(table, f"unique ({', '.join(unique)})", broken))
-    for name, predicate in contract.checks.items():
-        found.append(_counted(table, f"check {name}", constraints.check_violations(touched, predicate)))
+            found.append(_counted(contract.name, f"unique ({', '.join(unique)})", broken))
     return found
 
 
-def refuse_violations(found: list[DataFrame]) -> None:
-    """One job over all rules of all tables; names the first that is broken."""
-    if not found:
-        return
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
-    broken = counts.filter("n > 0").orderBy("table_name", "rule").collect()
+def refuse_violations(found: list[DataFrame], broken: list[tuple[str, str, int]] = ()) -> None:
+    """One job over the rules that need joins, of all tables, and what the writes have seen."""
+    broken = list(broken)
+    if found:
+        counts = found[0]
+        for more in found[1:]:
+            counts = counts.unionByName(more)
+        broken += [tuple(r) for r in counts.filter("n > 0").select("table_name", "rule", "n").collect()]
     if broken:
-        rest = f" (and {len(broken) - 1} more)" if len(broken) > 1 else ""
-        raise Violated(f"{broken[0].table_name}: {broken[0].rule}: {broken[0].n} violation(s){rest}")
+        raise Violated(broken)
 
 
 def _of_the_query(e: PySparkException) -> bool:
@@ -121,13 +153,13 @@ def _of_the_query(e: PySparkException) -> bool:
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def shape_difference(contract: TableContract, stored: Stored) -> str:
+def shape_difference(contract: TableContract, schema: T.StructType) -> str:
     """How the stored table differs from its contract, empty if rows can go from one to the other.
 
     Whole numbers of another width are no difference: values that do not fit
     fail when they are written. Columns only the stored table has stay as they are.
     """
-    have = {f.name: f.dataType for f in T.DataType.fromDDL(stored.schema).fields}
+    have = {f.name: f.dataType for f in schema.fields}
     for column in contract.columns:
         kind = have.get(column.name)
         if kind is None:
@@ -147,9 +179,9 @@ def discard(plans: Iterable[TablePlan]) -> None:
 
 
 class Reconciler:
-    """Plans and applies declarations against the tables of a snapshot store."""
+    """Plans and applies declarations against the tables of a store."""
 
-    def __init__(self, store: SnapshotStore, contracts: Iterable[TableContract]):
+    def __init__(self, store: CatalogStore, contracts: Iterable[TableContract]):
         self.store, self.spark = store, store.spark
         self.contracts = {c.name: c for c in contracts}
 
@@ -181,7 +213,7 @@ class Reconciler:
             spec = by_table[table]
             if table in changing:
                 plans.append(TablePlan(spec, [], pending=f"the shape of {table} changes in this release"))
-            elif table in tables and (other := shape_difference(self.contracts[table], tables[table])):
+            elif table in tables and (other := shape_difference(self.contracts[table], self.store.schema(tables[table]))):
                 plans.append(TablePlan(spec, [], pending=f"the stored table {table} has another shape: {other}"))
             else:
                 plans.append(self._plan_table(spec, self.contracts[table], tables[table]))
@@ -215,7 +247,7 @@ class Reconciler:
         if set(stored.key) != set(key):
             return None
         # One row per bucket: the number of buckets at most.
-        bucket = self.store.bucket_of(rows, stored.key, stored.buckets, stored.schema)
+        bucket = self.store.bucket_of(rows, stored.key, stored.buckets, self.store.schema(stored))
         return [r[0] for r in rows.select(bucket).distinct().collect()]
 
     def apply(self, specs: list[TableSpec], now: datetime) -> list[TablePlan]:
@@ -234,25 +266,29 @@ class Reconciler:
         changes: dict[str, Stored] = {}
         touched: dict[str, DataFrame] = {}
         found: list[DataFrame] = []
+        broken: list[tuple[str, str, int]] = []
         for table, plan in plans.items():
             if plan.empty:
                 continue
             contract, stored = self.contracts[table], tables[table]
             hit = self._buckets(stored, plan.feed, plan.key)
-            rows = self._next(plan, contract, stored, hit, now)
-            every = [int(b) for b in stored.parts]
-            new = self.store.rewrite(table, stored, rows, every if hit is None else hit)
+            rows, watch = watched(self._next(plan, contract, stored, hit, now), contract)
+            if hit is None:
+                new = replace(stored, at=self.store.write(table, rows, stored.key, stored.buckets).at)
+            else:
+                new = self.store.rewrite(table, stored, rows, hit)
+            broken += seen(contract, watch)
             known = [*stored.unique, sorted(plan.key)]
             new = replace(new, unique=[list(k) for k in dict.fromkeys(map(tuple, known))])
-            changes[table] = replace(new, sequences=self._sequences(contract, stored, new, plan))
+            changes[table] = replace(new, sequences=self._sequences(contract, stored, new, plan, hit))
             upserted = plan.feed.filter("op <> 'delete'").select(*plan.key)
             touched[table] = self.store.read(new, hit).join(broadcast_if_fits(upserted), plan.key, "left_semi")
-            found += table_violations(contract, self.store.read(new), touched[table], plan.key)
+            found += unique_rules(contract, self.store.read(new), touched[table], plan.key)
         after = {t: self.store.read(s) for t, s in {**tables, **changes}.items()}
         for contract in self.contracts.values():
             if contract.name in after:
                 found += self._fk_violations(contract, after, touched, plans)
-        refuse_violations(found)
+        refuse_violations(found, broken)
         if changes:
             self.store.publish(changes, version)
         return list(plans.values())
@@ -291,7 +327,7 @@ class Reconciler:
         live, declared = self.store.read(stored, hit), plan.declared
         if hit is not None:
             declared = declared.filter(
-                self.store.bucket_of(declared, stored.key, stored.buckets, stored.schema).isin(hit)
+                self.store.bucket_of(declared, stored.key, stored.buckets, self.store.schema(stored)).isin(hit)
             )
         rows = converge(
             live,
@@ -302,6 +338,7 @@ class Reconciler:
             now=now,
             defaults=conformed_defaults(contract),
             types=contract.types,
+            mark=TOUCHED,
         )
         serials = [c.name for c in contract.columns if c.serial and c.name not in declared.columns]
         for name in serials if plan.inserts else ():
@@ -315,17 +352,23 @@ class Reconciler:
         generated = {
             c.name: F.expr(c.generated).cast(storage_type(c.type)) for c in contract.columns if c.generated
         }
-        return (rows.withColumns(generated) if generated else rows).select(*live.columns)
+        return (rows.withColumns(generated) if generated else rows).select(*live.columns, TOUCHED)
 
     def _last_value(self, stored: Stored, column: str) -> int:
-        highest = self.store.read(stored).agg(F.max(column)).first()[0]
-        return max(stored.sequences.get(column, 0), highest or 0)
-
-    def _sequences(self, contract: TableContract, before: Stored, after: Stored, plan: TablePlan) -> dict[str, int]:
-        """The last value of every serial column: past the rows, never back. Deletes alone move none."""
-        moved = {
-            c.name: self._last_value(replace(after, sequences=before.sequences), c.name)
-            for c in contract.columns
-            if c.serial and (plan.inserts or plan.updates)
-        }
-        return {**before.sequences, **moved}
+        """The last value of a serial column; its rows are looked at only if the store does not know it yet."""
+        if column in stored.sequences:
+            return stored.sequences[column]
+        return self.store.read(stored).agg(F.max(column)).first()[0] or 0
+
+    def _sequences(
+        self, contract: TableContract, before: Stored, after: Stored, plan: TablePlan, hit: list[int] | None
+    ) -> dict[str, int]:
+        """The last value of every serial column: past the rows, never back. Deletes alone move none.
+
+        Rows that were not rewritten are covered by the value before, so only rewritten buckets are read.
+        """
+        serials = [c.name for c in contract.columns if c.serial and (plan.inserts or plan.updates)]
+        if not serials:
+            return before.sequences
+        highest = self.store.read(after, hit).agg(*[F.max(c).alias(c) for c in serials]).first()
+        return {**before.sequences, **{c: max(self._last_value(before, c), highest[c] or 0) for c in serials}}

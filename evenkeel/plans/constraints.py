@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.operators import constraints as cs
+from evenkeel.operators.cascade import Cascade
 from evenkeel.operators.pair import missing_rows
 from evenkeel.operators.rejects import reject_summary
+from evenkeel.operators.spec import ForeignKey, TableContract
 from evenkeel.plans.base import Query, in_spark, table, with_inputs
 from evenkeel.plans.reconcile import (
     DECLARED_ROWS,
@@ -50,6 +52,42 @@ def _identity_fill(spark, d):
     return cs.identity_fill(added, "new_id", KEY, start)
 
 
+def _key(name: str, column: str, parent: str, key: str, action: str) -> ForeignKey:
+    return ForeignKey(name, (column,), parent, (key,), action)
+
+
+TREE = [
+    TableContract("region", (), ("r_regionkey",)),
+    TableContract(
+        "nation", (), ("n_nationkey",), foreign_keys=(_key("nation_region", "n_regionkey", "region", "r_regionkey", "CASCADE"),)
+    ),
+    TableContract(
+        "supplier", (), ("s_suppkey",), foreign_keys=(_key("supplier_nation", "s_nationkey", "nation", "n_nationkey", "SET NULL"),)
+    ),
+    TableContract(
+        "customer", (), ("c_custkey",), foreign_keys=(_key("customer_nation", "c_nationkey", "nation", "n_nationkey", "CASCADE"),)
+    ),
+    TableContract(
+        "orders", (), ("o_orderkey",), foreign_keys=(_key("orders_customer", "o_custkey", "customer", "c_custkey", "CASCADE"),)
+    ),
+    TableContract(
+        "lineitem",
+        (),
+        ("l_orderkey", "l_linenumber"),
+        foreign_keys=(
+            _key("lineitem_orders", "l_orderkey", "orders", "o_orderkey", "RESTRICT"),
+            _key("lineitem_supplier", "l_suppkey", "supplier", "s_suppkey", "NO ACTION"),
+        ),
+    ),
+]
+GONE = "SELECT r_regionkey FROM {region} WHERE r_name LIKE 'A%A'"
+
+
+def _cascade_reach(spark, d):
+    cascade = Cascade({c.name: table(spark, d, c.name) for c in TREE}, TREE)
+    return cascade.reach({"region": in_spark(spark, d, GONE)})
+
+
 def _rejects(spark, d):
     """What conforming the parts and checking the lines refuses, the lines met twice."""
     values = conform_rejects(spark, d).select(
@@ -108,6 +146,23 @@ AND NOT EXISTS (SELECT 1 FROM p WHERE c_custkey = o_custkey)""",
         _action("RESTRICT"),
         with_inputs("SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM g WHERE c_custkey = o_custkey)", g=DEBTORS),
     ),
+    "c_fk_cascade_reach": Query(
+        _cascade_reach,
+        with_inputs(
+            """SELECT * FROM (
+  SELECT 'nation' AS table_name, 'nation_region' AS constraint_name, 'CASCADE' AS action, count(*) AS rows_reached FROM n
+  UNION ALL SELECT 'customer', 'customer_nation', 'CASCADE', count(*) FROM c
+  UNION ALL SELECT 'supplier', 'supplier_nation', 'SET NULL', count(*) FROM supplier
+            WHERE s_nationkey IN (SELECT n_nationkey FROM n)
+  UNION ALL SELECT 'orders', 'orders_customer', 'CASCADE', count(*) FROM o
+  UNION ALL SELECT 'lineitem', 'lineitem_orders', 'RESTRICT', count(*) FROM lineitem
+            WHERE l_orderkey IN (SELECT o_orderkey FROM o)) WHERE rows_reached > 0""",
+            g=GONE,
+            n="SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM g)",
+            c="SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)",
+            o="SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)",
+        ),
+    ),
     "c_generated": Query(
         lambda s, d: cs.generated_mismatches(
             in_spark(s, d, DOCUMENTS_WITH_DRIFT), "n_chars", "CAST(length(text) AS BIGINT)", ["doc_id"]

@@ -1,26 +1,26 @@
-"""Queries that go through the snapshot store and the ledger's files.
+"""Queries that go through tables of the catalog and the ledger's files.
 
-Each run writes to a folder of its own below the shared one, which the result
-reads; ``SnapshotStore.vacuum`` and deleting ``<shared>/evenkeel`` after the run
-are the clean-up.
+Each run writes to a database and folders of its own below the shared folder, which the result
+reads; ``DROP DATABASE ... CASCADE`` and deleting ``<shared>/evenkeel`` after the run are the clean-up.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from evenkeel.operators import evolve as ev
 from evenkeel.operators import ledger as lg
-from evenkeel.operators.reconcile import Reconciler, discard
+from evenkeel.operators.reconcile import Reconciler, Violated, discard
 from evenkeel.operators.spec import Column, ForeignKey, TableContract, TableSpec
 from evenkeel.plans.base import Query, in_spark, table, with_inputs
 from evenkeel.plans.ledger import AT, BY, ITEMS
 from evenkeel.plans.reconcile import DECLARED_ROWS
 from evenkeel.session import new_path
-from evenkeel.sources.ledger_store import LedgerStore
-from evenkeel.sources.snapshots import SnapshotStore
+from evenkeel.sources.catalog import CatalogStore
+from evenkeel.sources.ledger_store import Item, LedgerStore
 
 NOW = datetime(2024, 6, 1, 12, 0, 0)
 BUCKETS = 8
@@ -46,8 +46,12 @@ CUSTOMER = TableContract(
 )
 
 
-def _store(spark, d) -> SnapshotStore:
-    store = SnapshotStore(spark, new_path(spark, "store"))
+def _new_store(spark) -> CatalogStore:
+    return CatalogStore(spark, f"evenkeel_{uuid.uuid4().hex[:12]}", new_path(spark, "store"))
+
+
+def _store(spark, d) -> CatalogStore:
+    store = _new_store(spark)
     for contract in (REGION, NATION, CUSTOMER):
         store.create(contract.name, table(spark, d, contract.name), list(contract.primary_key), BUCKETS)
     return store
@@ -74,12 +78,11 @@ def _applied_twice(spark, d):
     store = _store(spark, d)
     reconciler = Reconciler(store, [REGION, NATION, CUSTOMER])
     discard(reconciler.apply(_specs(spark, d), NOW))
-    before_version, before = store.current()
+    before = store.current()
     discard(reconciler.apply(_specs(spark, d), NOW))
-    after_version, after = store.current()
+    same = store.current() == before
     rows = None
     for name in ("customer", "nation", "region"):
-        same = before_version == after_version and before[name] == after[name]
         one = store.table(name).agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(name).alias("table_name"), "n", F.lit(same).alias("unchanged")
         )
@@ -87,38 +90,140 @@ def _applied_twice(spark, d):
     return rows
 
 
+STRICT_CUSTOMER = TableContract(
+    "customer",
+    (
+        Column("c_custkey", "bigint"),
+        Column("c_name", "text", nullable=False),
+        Column("c_nationkey", "int"),
+        Column("c_acctbal", "double precision"),
+        Column("c_mktsegment", "text"),
+    ),
+    ("c_custkey",),
+    (("c_name",),),
+    {"customer_balance": "c_acctbal >= 0", "customer_segment": "c_mktsegment <> 'NONE'"},
+    (ForeignKey("customer_nation", ("c_nationkey",), "nation", ("n_nationkey",)),),
+)
+
+# Each segment's customers break another rule; those of BUILDING stay as they are.
+BROKEN_ROWS = """
+SELECT c_custkey,
+       CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN NULL
+            WHEN c_mktsegment = 'FURNITURE' THEN concat('nation ', c_nationkey) ELSE c_name END AS c_name,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment
+FROM {customer}
+"""
+
+
+def _refused(spark, d):
+    """All rules a declaration breaks, in tables that hold what they held before it was refused."""
+    store = _new_store(spark)
+    for name, key in (("nation", "n_nationkey"), ("customer", "c_custkey")):
+        store.create(name, table(spark, d, name), [key], BUCKETS)
+    before = store.current()
+    nations = in_spark(spark, d, "SELECT n_nationkey, upper(n_name) || '!' AS n_name, n_regionkey FROM {nation}")
+    specs = [TableSpec("customer", in_spark(spark, d, BROKEN_ROWS)), TableSpec("nation", nations)]
+    try:
+        Reconciler(store, [NATION, STRICT_CUSTOMER]).apply(specs, NOW)
+        broken = []
+    except Violated as e:
+        broken = e.broken
+    found = spark.createDataFrame(broken, "table_name string, rule string, n long")
+    same = store.current() == before
+    for name in ("customer", "nation"):
+        kept = store.table(name).exceptAll(table(spark, d, name)).agg(F.count(F.lit(1)).alias("other"))
+        rows = store.table(name).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(kept.filter("other = 0")))
+        found = found.unionByName(rows.select(F.lit(name).alias("table_name"), F.lit("rows as before").alias("rule"), "n"))
+    return found.withColumn("published", F.lit(not same))
+
+
 def _appended(spark, d):
-    """A ledger written by two appends and read back, the second of which is refused for what the first did."""
+    """A ledger after two appends, and what the second was refused: run-once successes the first has made."""
     store = LedgerStore(spark, new_path(spark, "ledger"))
     items = in_spark(spark, d, ITEMS).withColumn("checksum", lg.checksum(F.col("text")))
-    manifest = items.select(*lg.MANIFEST).filter("type <> 'reference'").dropDuplicates(["type", "version", "name", "namespace"])
-    rerun = manifest.filter(~lg.is_run_once())
-    store.append(lg.results(rerun, F.lit(1), F.lit(True)), AT, BY)
-    store.append(lg.results(rerun, F.lit(2), F.lit(False)), AT, BY)
-    return store.read().groupBy("type", "success", "execution_ms", "applied_by").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
-    ).groupBy("success", "execution_ms", "applied_by").agg(
-        F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
+    manifest = items.select(*lg.MANIFEST, "lang").filter("type <> 'reference'")
+    manifest = manifest.dropDuplicates(["type", "version", "name", "namespace"])
+    # the first time items in French fail, the second time those in German; all others succeed both times
+    store.append(lg.results(manifest, F.lit(1), F.col("lang") != "fr"), AT, BY)
+    refused = store.append_new(lg.results(manifest, F.lit(2), F.col("lang") != "de"), AT, BY)
+
+    def counted(rows, what, *more):
+        groups = rows.groupBy("type", "success", "execution_ms")
+        return groups.agg(F.count(F.lit(1)).alias("n"), *more).withColumn("what", F.lit(what))
+
+    least = F.count_distinct("id").alias("ids")
+    return counted(store.read(), "added", least).unionByName(
+        counted(refused, "refused").withColumn("ids", F.lit(0).cast("long"))
     )
 
 
+EVENTS_WITH_GAPS = """
+SELECT event_id, user_id, event_type, CASE WHEN props LIKE '%7%' THEN NULL ELSE value END AS value FROM {events}
+"""
+
+
+def _backfilled(spark, d):
+    """A backfill in steps, one a type of event, that stops where its input is missing and goes on from there.
+
+    The ledger after both runs, with the rows each successful step has filled.
+    """
+    events = in_spark(spark, d, EVENTS_WITH_GAPS)
+    folder, rates = new_path(spark, "backfill"), new_path(spark, "rates")
+    kinds = sorted(r.event_type for r in events.select("event_type").distinct().collect())
+
+    def step(kind):
+        def run():
+            rows = events.filter((F.col("event_type") == kind) & F.col("value").isNull())
+            if kind == "error":  # the lowest value of the user, which the first run does not find
+                known = spark.read.parquet(rates)
+                rows = rows.drop("value").join(known, "user_id", "left")
+            lg.backfill(rows, {"value": "CAST(0 AS DOUBLE)"}).write.mode("overwrite").parquet(f"{folder}/{kind}")
+
+        return run
+
+    items = [Item("data", kind, f"v1 {kind}", step(kind), version=f"{n:03}") for n, kind in enumerate(kinds, 1)]
+    store = LedgerStore(spark, new_path(spark, "ledger"))
+    store.run(items)
+    events.groupBy("user_id").agg(F.min("value").alias("value")).write.parquet(rates)
+    store.run(items)
+    filled = None
+    for kind in kinds:
+        one = spark.read.parquet(f"{folder}/{kind}").agg(
+            F.lit(kind).alias("name"), F.count(F.lit(1)).alias("filled"), F.max("value").alias("highest")
+        )
+        filled = one if filled is None else filled.unionByName(one)
+    entries = store.read().join(F.broadcast(filled), "name")
+    done = F.col("success")
+    return entries.select(
+        "id", "version", "name", "success",
+        F.when(done, F.col("filled")).alias("filled"), F.when(done, F.col("highest")).alias("highest"),
+    )
+
+
+ORDERS_SHAPE = [
+    Column("o_orderkey", "bigint"),
+    Column("o_custkey", "bigint"),
+    Column("o_note", "text", nullable=False, default="'none'"),
+    Column("o_shippriority", "int", default="0"),
+    Column("o_lines", "bigint"),
+    Column("o_clerk", "text"),
+]
+
+
 def _evolved(spark, d):
-    """A stored table in another shape: a wider type, a serial and a generated column."""
-    store = SnapshotStore(spark, new_path(spark, "store"))
-    store.create("nation", table(spark, d, "nation"), ["n_nationkey"], BUCKETS)
-    shape = [
-        Column("n_nationkey", "int8"),
-        Column("n_name", "character varying(25)", nullable=False),
-        Column("n_regionkey", "integer"),
-        Column("n_number", "bigserial", serial=True),
-        Column("n_label", "text", generated="concat(n_name, '/', n_regionkey)"),
-    ]
-    ev.evolve_stored(store, "nation", shape)
-    return store.table("nation")
-
-
-RERUN = """SELECT DISTINCT type, version, name, namespace FROM i
-WHERE type NOT IN ('ops', 'data', 'reference')"""
+    """Stored orders with new columns and a wider one, defined over the files they were in."""
+    store = _new_store(spark)
+    rows = table(spark, d, "orders").withColumn("o_lines", F.length("o_orderpriority"))
+    store.create("orders", rows, ["o_orderkey"], BUCKETS)
+
+    def files():
+        return sorted(store.table("orders").inputFiles())
+
+    before = files()
+    ev.evolve_stored(store, "orders", ORDERS_SHAPE)
+    return store.table("orders").withColumn("same_files", F.lit(files() == before))
+
 
 QUERIES = {
     "r_apply_published": Query(
@@ -138,18 +243,60 @@ UNION ALL SELECT 'nation', count(*), TRUE FROM nation UNION ALL SELECT 'region',
             r=DECLARED_ROWS,
         ),
     ),
+    "x_refused_apply": Query(
+        _refused,
+        with_inputs(
+            """SELECT 'customer' AS table_name, 'not null c_name' AS rule, count(*) AS n, FALSE AS published
+FROM t WHERE c_name IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'customer', 'check customer_balance', count(*), FALSE FROM t WHERE c_acctbal < 0 HAVING count(*) > 0
+UNION ALL SELECT 'customer', 'check customer_segment', count(*), FALSE FROM t WHERE c_mktsegment = 'NONE' HAVING count(*) > 0
+UNION ALL SELECT 'customer', 'unique (c_name)', count(*), FALSE FROM (
+  SELECT c_name FROM b WHERE c_name IN (SELECT c_name FROM t) GROUP BY c_name HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'customer', 'foreign key customer_nation', count(*), FALSE FROM t
+WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey) HAVING count(*) > 0
+UNION ALL SELECT 'customer', 'rows as before', count(*), FALSE FROM customer
+UNION ALL SELECT 'nation', 'rows as before', count(*), FALSE FROM nation""",
+            b=BROKEN_ROWS,
+            t="""SELECT b.*, l.c_acctbal FROM b JOIN customer l ON l.c_custkey = b.c_custkey
+WHERE b.c_name IS DISTINCT FROM l.c_name OR b.c_nationkey IS DISTINCT FROM l.c_nationkey
+   OR b.c_mktsegment IS DISTINCT FROM l.c_mktsegment""",
+        ),
+    ),
     "l_append_read": Query(
         _appended,
         with_inputs(
-            f"""SELECT TRUE AS success, 1 AS execution_ms, '{BY}' AS applied_by, count(*) AS n, 1 AS first_id,
-       count(*) AS last_id FROM ({RERUN})
-UNION ALL SELECT FALSE, 2, '{BY}', count(*), count(*) + 1, 2 * count(*) FROM ({RERUN})""",
+            """SELECT type, lang <> 'fr' AS success, 1::BIGINT AS execution_ms, count(*) AS n, count(*) AS ids, 'added' AS what
+FROM m GROUP BY 1, 2
+UNION ALL
+SELECT type, lang <> 'de', 2, count(*), count(*), 'added' FROM m
+WHERE NOT (type IN ('ops', 'data') AND lang <> 'de' AND lang <> 'fr') GROUP BY 1, 2
+UNION ALL
+SELECT type, TRUE, 2, count(*), 0, 'refused' FROM m
+WHERE type IN ('ops', 'data') AND lang <> 'de' AND lang <> 'fr' GROUP BY 1""",
             i=ITEMS,
+            m="SELECT * FROM i WHERE type <> 'reference'",
+        ),
+    ),
+    "l_backfill_resume": Query(
+        _backfilled,
+        with_inputs(
+            """SELECT id, version, name, success, filled, highest FROM (
+  SELECT CAST(k + CASE WHEN k >= e THEN 1 ELSE 0 END AS BIGINT) AS id, lpad(CAST(k AS VARCHAR), 3, '0') AS version,
+         event_type AS name, TRUE AS success, filled, highest FROM s
+  UNION ALL
+  SELECT CAST(k AS BIGINT), lpad(CAST(k AS VARCHAR), 3, '0'), event_type, FALSE, NULL, NULL FROM s WHERE k = e)""",
+            g=EVENTS_WITH_GAPS,
+            r="SELECT user_id, min(value) AS low FROM g GROUP BY user_id",
+            s="""SELECT t.event_type, t.k, (SELECT count(DISTINCT event_type) FROM g WHERE event_type <= 'error') AS e,
+       count(*) AS filled, max(CASE WHEN t.event_type = 'error' THEN coalesce(r.low, 0.0::DOUBLE) ELSE 0.0::DOUBLE END) AS highest
+FROM (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM g)) t
+JOIN g ON g.event_type = t.event_type AND g.value IS NULL LEFT JOIN r ON r.user_id = g.user_id GROUP BY t.event_type, t.k""",
         ),
     ),
     "s_evolve_stored": Query(
         _evolved,
-        """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, n_regionkey,
-       row_number() OVER (ORDER BY n_nationkey) AS n_number, n_name || '/' || n_regionkey AS n_label FROM nation""",
+        """SELECT o_orderkey, o_custkey, 'none' AS o_note, 0 AS o_shippriority,
+       CAST(length(o_orderpriority) AS BIGINT) AS o_lines, CAST(NULL AS VARCHAR) AS o_clerk,
+       o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, TRUE AS same_files FROM orders""",
     ),
 }

@@ -9,11 +9,12 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.fixed import LEDGER_TYPES
 from evenkeel.operators import ledger as ops
+from evenkeel.session import forget, new_path
 
 
 @dataclass(frozen=True)
@@ -56,16 +57,43 @@ class LedgerStore:
             return self.spark.createDataFrame([], ops.LEDGER)
 
     def append(self, outcomes: DataFrame, at: datetime | None = None, by: str | None = None) -> None:
-        """Add outcomes; a run-once item succeeds once, so a second success of its version is refused."""
-        once = outcomes.filter(ops.is_run_once() & F.col("success")).select("type", "version")
-        done = self.read().filter(ops.is_run_once() & F.col("success")).select("type", "version")
-        twice = once.groupBy("type", "version").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        clash = once.join(done, ["type", "version"], "left_semi").unionByName(twice).take(1)
+        """Add outcomes; a run-once item succeeds once, so with a second success of a version none is added."""
+        judged = self._judged(outcomes)
+        clash = judged.filter("refused").take(1)
         if clash:
+            forget(judged)
             raise AlreadyDone(f"{clash[0].type} {clash[0].version} has already succeeded")
+        self._add(judged, at, by)
+        forget(judged)
+
+    def append_new(self, outcomes: DataFrame, at: datetime | None = None, by: str | None = None) -> DataFrame:
+        """Add the outcomes that may be added; those refused as second successes of a version are returned.
+
+        Of several successes of one version in ``outcomes`` the first by name, namespace and checksum counts.
+        """
+        judged = self._judged(outcomes)
+        self._add(judged, at, by)
+        return judged.filter("refused").drop("refused")
+
+    def _judged(self, outcomes: DataFrame) -> DataFrame:
+        """The outcomes and whether each is ``refused``, written before anything is added to what they are compared with."""
+        once = ops.is_run_once() & F.col("success")
+        done = self.read().filter(once).select("type", "version").distinct().withColumn("done__", F.lit(True))
+        first = Window.partitionBy("type", "version").orderBy("name", "namespace", "checksum")
+        asked = outcomes.filter(once).withColumn("nth__", F.row_number().over(first))
+        asked = asked.join(done, ["type", "version"], "left")
+        asked = asked.withColumn("refused", F.col("done__").isNotNull() | (F.col("nth__") > 1))
+        others = outcomes.filter(~F.coalesce(once, F.lit(False))).withColumn("refused", F.lit(False))
+        judged = asked.select(*outcomes.columns, "refused").unionByName(others)
+        path = new_path(self.spark, "outcomes")
+        judged.write.parquet(path)
+        return self.spark.read.schema(judged.schema).parquet(path)
+
+    def _add(self, judged: DataFrame, at: datetime | None, by: str | None) -> None:
         last = self.read().agg(F.max("id")).first()[0] or 0
         at = at or datetime.now(timezone.utc).replace(tzinfo=None)
-        ops.recorded(outcomes, last, at, by or getpass.getuser()).write.mode("append").parquet(self.path)
+        new = judged.filter("NOT refused").drop("refused")
+        ops.recorded(new, last, at, by or getpass.getuser()).write.mode("append").parquet(self.path)
 
     def _record(self, item: Item, ms: int, success: bool) -> None:
         if item.type not in LEDGER_TYPES:

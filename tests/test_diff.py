@@ -159,6 +159,23 @@ def test_json_and_char_compare_by_content(spark):
         ('{"a":1e2}', '{"a":1e2}', True),
         ('{"a":1.00000000000000000001e0}', '{"a":1e0}', False),
         ('{"a":%s0}' % ("1" * 49), '{"a":%s1}' % ("1" * 49), False),
+        ("1e2", "100", True),
+        ('{"a":[1.50,{"b":-0}]}', '{"a":[15e-1,{"b":0.0}]}', True),
+        ('{"a":1e400}', '{"a":1e401}', False),
+        ('{"a":10e399}', '{"a":1E+400}', True),
+        ("1" * 45, "1" * 45 + ".0", True),
+        ('"1e2"', '"100"', False),
+        ('"1e2"', "100", False),
+        ('"n1e0"', "1", False),
+        ('{"n1":1}', '{"n1":1.0}', True),
+        ('{"1":1}', '{"1.0":1}', False),
+        ("1 2", "1", False),
+        ("1],[2", "1", False),
+        ("01", "1", False),
+        ('{"a":"x\\\\"}', '{ "a":"x\\u005c"}', True),
+        ('{"a":"\\\\\\""}', '{"a":"\\u005c\\u0022"}', True),
+        ("[tru]", "[ tru]", False),
+        ("1e99999999999999999999999", "1e99999999999999999999998", False),
     ],
 )
 def test_json_equality(spark, a, b, equal):

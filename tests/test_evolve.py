@@ -1,8 +1,15 @@
+import uuid
+
 import pytest
 
 from evenkeel.operators.evolve import CATALOG, catalog_of, drift, drifting_tables, evolve, evolve_stored, missing_namespaces
 from evenkeel.operators.spec import Column, TableContract
-from evenkeel.sources.snapshots import SnapshotStore
+from evenkeel.sources.catalog import CatalogStore
+
+
+def store_at(spark, root):
+    return CatalogStore(spark, f"test_{uuid.uuid4().hex[:12]}", str(root / "store"))
+
 
 LIVE = [
     ("declared", "t", "id", "bigint", False, None),
@@ -54,7 +61,7 @@ def test_evolve_adds_casts_orders_and_is_idempotent(spark):
 
 
 def test_evolve_stored_writes_once(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     store.create("items", spark.range(5).selectExpr("CAST(id AS INT) AS id"), ["id"], 4)
     shape = [Column("id", "bigint"), Column("name", "text", False, "''")]
     assert evolve_stored(store, "items", shape)
@@ -108,9 +115,65 @@ def test_serial_generated_and_not_null_columns_are_filled_or_refused(spark):
 def test_a_shorter_text_type_is_checked_and_the_catalog_is_of_what_is_stored(spark, tmp_path):
     from evenkeel.operators.evolve import catalog_of_stored
 
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     store.create("t", spark.sql("SELECT 1 AS id, 'abcdefghij' AS name"), ["id"])
     with pytest.raises(Exception, match="too long"):
         evolve_stored(store, "t", [Column("id", "int"), Column("name", "varchar(3)")])
     assert evolve_stored(store, "t", [Column("id", "int"), Column("name", "varchar(10)")]) is False
     assert [(r.column_name, r.type) for r in catalog_of_stored(store).collect()] == [("id", "int"), ("name", "string")]
+
+
+def files(store, name):
+    return sorted(store.table(name).inputFiles())
+
+
+def test_columns_that_need_no_writing_write_no_file(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    rows = spark.range(50).selectExpr("CAST(id AS INT) AS id", "CAST(id AS FLOAT) AS f", "string(id) AS gone")
+    store.create("t", rows, ["id"], 4)
+    before = files(store, "t")
+    shape = [Column("note", "text", False, "'it''s'"), Column("id", "bigint"), Column("f", "double"), Column("more", "int")]
+    assert evolve_stored(store, "t", shape, strict=True)
+    assert files(store, "t") == before
+    got = sorted(tuple(r) for r in store.table("t").collect())
+    assert got == [("it's", i, float(i), None) for i in range(50)] and store.table("t").columns == ["note", "id", "f", "more"]
+    # a row is found in its bucket by the wider key
+    bucket = store.bucket_of(spark.sql("SELECT 7L AS id"), ["id"], 4, store.schema(store.current()[1]["t"]))
+    [b] = spark.sql("SELECT 7L AS id").select(bucket).first()
+    assert store.read(store.current()[1]["t"], [b]).filter("id = 7").count() == 1
+
+
+@pytest.mark.parametrize(
+    "column",
+    [
+        Column("n", "serial", serial=True),
+        Column("twice", "bigint", generated="id * 2"),
+        Column("id", "text"),
+        Column("made", "text", default="concat('a', 'b')"),
+    ],
+)
+def test_what_changes_rows_is_written(spark, tmp_path, column):
+    store = store_at(spark, tmp_path)
+    store.create("t", spark.range(5).toDF("id"), ["id"], 2)
+    before = files(store, "t")
+    shape = [column] if column.name == "id" else [Column("id", "bigint"), column]
+    assert evolve_stored(store, "t", shape)
+    assert not set(files(store, "t")) & set(before) and store.table("t").count() == 5
+
+
+def test_the_catalog_of_real_tables(spark, tmp_path):
+    from evenkeel.operators.evolve import catalog_of_database, catalog_of_stored
+
+    store = store_at(spark, tmp_path)
+    spark.sql(f"CREATE TABLE {store.database}.items (id INT, name STRING DEFAULT 'x', n DECIMAL(9,2)) USING parquet")
+    spark.sql(f"CREATE VIEW {store.database}.seen AS SELECT 1 AS one")
+    live = catalog_of_database(spark, store.database, "shop")
+    assert sorted((r.column_name, r.type, r.default_expr) for r in live.collect()) == [
+        ("id", "int", None), ("n", "decimal(9,2)", None), ("name", "string", "'x'")
+    ]
+    wanted = TableContract("items", (Column("id", "bigint"), Column("name", "text", default="'x'"), Column("more", "text")))
+    kinds = {(r.column_name, r.kind) for r in drift(live, catalog_of(spark, [wanted], "shop")).collect()}
+    assert kinds == {("id", "type_changed"), ("more", "column_added"), ("n", "column_dropped")}
+    store.create("t", spark.range(1).toDF("id"), ["id"])
+    evolve_stored(store, "t", [Column("id", "bigint"), Column("note", "text", default="'-'")])
+    assert [(r.column_name, r.default_expr) for r in catalog_of_stored(store).collect()] == [("id", None), ("note", "'-'")]

@@ -14,6 +14,7 @@ QUERIES, SQL = {n: q.run for n, q in entry.REGISTERED.items()}, entry.oracle_sql
 LARGE = {BROADCAST_ROWS_SETTING: "0", HOT_ROWS_SETTING: "20", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 # What a broadcast may hold here: hot keys, a thousand at most, and one row per sorted range.
 MAY_BROADCAST = {"c_fk_orphans", "c_fk_action", "c_fk_action_set_null", "c_fk_action_set_default"}
+MAY_BROADCAST |= {"c_fk_cascade_reach", "x_refused_apply", "l_backfill_resume"}  # and a handful of counts
 MAY_BROADCAST |= {"c_fk_action_restrict", "c_identity_fill", "l_record", "s_drift", "s_drift_strict", "r_pending_gate"}
 
 

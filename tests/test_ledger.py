@@ -285,3 +285,21 @@ def test_a_version_succeeds_once_whatever_is_called(spark, tmp_path):
     with pytest.raises(AlreadyDone, match="data 7"):
         store.append(ops.baseline(twice))
     assert ops.integrity(store.read()).collect() == []
+
+
+def test_what_an_append_refuses_is_returned(spark, store):
+    first = outcomes(spark, ("ops", "1", "a", None, "c", True), ("data", "1", "b", None, "c", False), ("logic", None, "v", None, "c", True))
+    assert store.append_new(first, AT, "me").collect() == []
+    second = outcomes(
+        spark,
+        ("ops", "1", "again", None, "c", True),
+        ("ops", "1", "failed", None, "c", False),
+        ("data", "1", "b", None, "c", True),
+        ("data", "1", "z", None, "c", True),
+        ("logic", None, "v", None, "c", True),
+    )
+    refused = store.append_new(second, AT, "me")
+    assert names(refused) == ["again", "z"]
+    assert sorted(r.id for r in store.read().collect()) == [1, 2, 3, 4, 5, 6]
+    assert names(refused) == ["again", "z"]  # what was added since does not change it
+    assert lg.integrity(store.read()).isEmpty()

@@ -1,8 +1,10 @@
 import os
+import uuid
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from evenkeel.operators.reconcile import Reconciler, Violated, discard, has_pending
 from evenkeel.operators.spec import (
@@ -16,18 +18,22 @@ from evenkeel.operators.spec import (
     declared_rows,
     order_by_foreign_keys,
 )
-from evenkeel.sources.snapshots import Conflict, SnapshotStore
+from evenkeel.sources.catalog import CatalogStore, Conflict
 
 OLD, NOW = datetime(2000, 1, 1), datetime(2024, 5, 1, 10, 0)
 
 
+def store_at(spark, root):
+    return CatalogStore(spark, f"test_{uuid.uuid4().hex[:12]}", str(root / "store"))
+
+
 def text_table(name, *columns, **rest):
     return TableContract(name, tuple(Column(c, "text") for c in columns), (columns[0],), **rest)
 
 
 class World:
     def __init__(self, spark, root, *contracts, buckets=1):
-        self.spark, self.store = spark, SnapshotStore(spark, str(root / "store"))
+        self.spark, self.store = spark, store_at(spark, root)
         self.contracts = {c.name: c for c in contracts}
         for c in contracts:
             if c.is_table:
@@ -114,7 +120,7 @@ def test_converges_on_every_apply(spark, tmp_path, buckets=8):
         "TIMESTAMP '2000-01-01 00:00:00' AS created_at", "TIMESTAMP '2000-01-01 00:00:00' AS updated_at",
     )
     w.store.create("vendor_mapping", edited, list(key), buckets)
-    parts_before = w.store.current()[1]["vendor_mapping"].parts
+    parts_before = w.store.partitions(w.store.current()[1]["vendor_mapping"])
     [plan] = w.plan(spec())
     assert (plan.inserts, plan.updates, plan.deletes) == (0, 1, 0)
     assert plan.lines() == ["~ ('VENDOR_CONTAINS', 'funko') carrier: 'HAND_EDIT' → 'DHL_ECOM', fee: '9.00' → NULL"]
@@ -125,7 +131,7 @@ def test_converges_on_every_apply(spark, tmp_path, buckets=8):
         ("vm_2", "DHL_ECOM", OLD, NOW),
         ("vm_3", "SEKO_US", OLD, OLD),
     ]
-    parts = w.store.current()[1]["vendor_mapping"].parts
+    parts = w.store.partitions(w.store.current()[1]["vendor_mapping"])
     assert sum(parts[b] != parts_before[b] for b in parts) == 1
 
     # Prune, and one more row.
@@ -373,7 +379,7 @@ def test_keyless_live_rows_stay_or_are_pruned(spark, tmp_path):
 
 
 def test_stale_writers_are_refused(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     store.create("t", spark.range(3).toDF("id"), ["id"])
     version, tables = store.current()
     store.create("u", spark.range(2).toDF("id"), ["id"])
@@ -395,7 +401,7 @@ KEYED = (
 @pytest.mark.parametrize("buckets", [1, 8])
 @pytest.mark.parametrize("stored, declared, live_key, declared_key", KEYED)
 def test_no_row_is_lost_whatever_types_keys_have(spark, tmp_path, stored, declared, live_key, declared_key, buckets):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     live = spark.sql(f"SELECT {live_key.format(n='CAST(id AS INT)')} AS id, 'old' AS name FROM range(200)")
     store.create("t", live, ["id"], buckets)
     contract = TableContract("t", (Column("id", declared), Column("name", "text")), ("id",))
@@ -408,7 +414,7 @@ def test_no_row_is_lost_whatever_types_keys_have(spark, tmp_path, stored, declar
 
 
 def test_a_table_of_another_shape_is_pending_and_refused(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     store.create("t", spark.sql("SELECT 1 AS id, 'a' AS name"), ["id"], 4)
     declared = spark.sql("SELECT 1 AS id, 'b' AS name")
     for columns in (
@@ -424,40 +430,82 @@ def test_a_table_of_another_shape_is_pending_and_refused(spark, tmp_path):
 
 
 def test_rows_in_a_bucket_that_was_not_read_are_an_error(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     store.create("t", spark.range(100).toDF("id"), ["id"], 8)
     stored = store.current()[1]["t"]
-    with pytest.raises(RuntimeError, match="not read"):
+    with pytest.raises(AnalysisException, match="PARTITIONS_ALREADY_EXIST|already exist"):
         store.rewrite("t", stored, spark.range(100).toDF("id"), [0])
+    assert store.table("t").count() == 100
 
 
 def test_of_two_writers_one_publishes(spark, tmp_path):
-    a, b = (SnapshotStore(spark, str(tmp_path / "store")) for _ in range(2))
+    a = store_at(spark, tmp_path)
+    b = CatalogStore(spark, a.database)
     a.create("t", spark.range(3).toDF("id"), ["id"])
-    version, tables = a.current()
+    version, _ = a.current()
     new = {s: s.write("t", spark.range(n).toDF("id"), ["id"]) for s, n in ((a, 4), (b, 5))}
-    for s in (a, b):  # both check, then both publish
-        s._expect(s.current()[0], version)
-    a._commit(version + 1, {**tables, "t": new[a]})
+    a.publish({"t": new[a]}, version)
     with pytest.raises(Conflict):
-        b._commit(version + 1, {**tables, "t": new[b]})
-    assert a.table("t").count() == 4 and a.versions() == [1, 2]
-    assert len(a._names("commits")) == 2
-
-
-def test_vacuum_keeps_what_the_last_commits_name(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
-    for n in range(1, 5):
-        store.create("t", spark.range(n).toDF("id"), ["id"])
-    store.create("u", spark.range(2).toDF("id"), ["id"])
-    store.write("t", spark.range(9).toDF("id"), ["id"])
-    assert len(store.vacuum(keep=2)) == 3 + 4
-    assert store.versions() == [4, 5] and store.table("t").count() == 4 and store.table("u").count() == 2
-    assert store.vacuum(keep=2) == []
+        b.publish({"t": new[b]}, version)
+    assert b.table("t").count() == 4
+
+
+def test_names_of_superseded_tables_go_and_shared_files_stay(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    store.create("t", spark.range(100).selectExpr("id", "'it''s \\\\ old' AS name"), ["id"], 8)
+    first = store.current()[1]["t"]
+    bucket = store.table("t").filter("id = 7").select(store.bucket_of(store.table("t"), ["id"], 8)).first()[0]
+    rows = store.read(first, [bucket]).selectExpr("id", "if(id = 7, 'new', name) AS name")
+    second = store.rewrite("t", first, rows, [bucket])
+    store.publish({"t": second}, 1)
+    assert store.drop_superseded() == [first.at] and store.drop_superseded() == []
+    assert store.table("t").count() == 100 and store.table("t").filter("name = 'new'").count() == 1
+    old, new = store.partitions(second), str(tmp_path / "store" / "t" / second.at)
+    assert [b for b, f in old.items() if new in f] == [bucket]
+
+
+def test_only_the_buckets_asked_for_are_read(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    store.create("t", spark.range(1000).toDF("id"), ["id"], 16)
+    stored = store.current()[1]["t"]
+    plan = store.read(stored, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket__" in plan and "bucket__" in plan
+    everything = sum(store.read(stored, [b]).count() for b in range(16))
+    assert everything == 1000 and store.read(stored, []).count() == 0
+
+
+def test_rules_are_counted_by_the_write_itself(spark, tmp_path):
+    contract = TableContract(
+        "t",
+        (Column("id", "bigint"), Column("a", "text", nullable=False), Column("b", "int")),
+        ("id",),
+        (("a",),),
+        {"positive": "b > 0", "small": "b < 50"},
+    )
+    w = World(spark, tmp_path, contract)
+    # rows that break rules already are not the declaration's fault
+    w.store.create("t", spark.sql("SELECT id, IF(id = 3, NULL, concat('a', id)) AS a, CAST(-id AS INT) AS b FROM range(9)"), ["id"], 4)
+    with pytest.raises(Violated) as e:
+        w.apply(w.spec("t", "(1L, NULL, 5), (2L, 'x', -1), (20L, 'x', 60), (21L, 'y', NULL)", "id, a, b"))
+    assert e.value.broken == [
+        ("t", "check positive", 1), ("t", "check small", 1), ("t", "not null a", 1), ("t", "unique (a)", 1)
+    ]
+    w.apply(w.spec("t", "(1L, 'z', 5)", "id, a, b"))
+    assert w.store.table("t").filter("id = 1").first().a == "z"
+
+
+def test_a_serial_is_looked_up_once_and_then_remembered(spark, tmp_path):
+    t = TableContract("t", (Column("id", "bigint", serial=True), Column("code", "text")), ("id",), (("code",),))
+    w = World(spark, tmp_path, t)
+    w.store.create("t", spark.sql("SELECT id, concat('c', id) AS code FROM range(10, 20)"), ["code"], 4)
+    w.apply(w.spec("t", "('new')", "code", key=("code",)))
+    assert w.store.current()[1]["t"].sequences == {"id": 20}
+    w.apply(w.spec("t", "('newer')", "code", key=("code",)))
+    assert w.store.table("t").filter("code = 'newer'").first().id == 21
 
 
 def test_discarded_plans_leave_nothing_in_the_shared_folder(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store = store_at(spark, tmp_path)
     store.create("t", spark.sql("SELECT 1 AS id, 'a' AS name"), ["id"])
     contract = TableContract("t", (Column("id", "int"), Column("name", "text")), ("id",))
     plans = Reconciler(store, [contract]).plan([TableSpec("t", spark.sql("SELECT 1 AS id, 'b' AS name"))])
