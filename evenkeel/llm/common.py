@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import groupby
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.session import new_path
+from evenkeel.session import forget, new_path
 
 
 #: Rows of one Arrow batch: with Spark's default of 10,000 a task would hold that many long texts several times.
@@ -36,12 +37,38 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again, so that its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    if _scratch.get() is not None:
+        _scratch.get().append(found)
+    return found
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Frames ``written`` inside are deleted when it ends, but for those passed through the function it gives."""
+    frames: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = _scratch.set(frames)
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.append(frame)
+        return frame
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for frame in frames:
+            if not any(frame is k for k in kept):
+                forget(frame)
 
 
 def heavy_bound(spark: SparkSession) -> int:

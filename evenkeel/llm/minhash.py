@@ -5,15 +5,18 @@ minima under HASHES functions. Runs of ROWS minima are band keys: texts that sha
 one are candidates. Of each minimum the BITS low bits are kept, packed in bit
 planes of 64-bit words; counting equal ones and correcting for chance
 (p = J + (1 - J) / 2^BITS) estimates the similarity J of a candidate pair, and only
-pairs that come within five standard errors of the threshold are compared on
-their full sets.
+pairs that come within five standard errors of the threshold, or of sets of at most
+SMALL_SET shingles, are compared on their full sets. A minimum is mixed with a constant of its
+function before its low bits are taken, so that the bits agree by chance under each function anew.
 
 Texts of equal sets are one class from the start. A band key shared by many
 classes does not make pairs of all of them: each is first compared with the
 smallest one. What that links is one component, and only keys whose classes are
-still apart are looked at again, in blocks: first each class with its likeliest
+still apart are looked at again: first each class with its likeliest
 partner in another component, and in the end all likely pairs of different
-components, inside the task that holds both. Links decide components exactly; none
+components, inside the task that holds both. Large keys that hold much the same classes
+are looked at as one group, in which a class stands once and not once a key. A group is dealt
+to tasks by pairs of blocks. Links decide components exactly; none
 within a component is needed, and no task writes more pairs than it has rows.
 
 With 42 bands of 6 rows a pair at similarity 0.8 shares no band with probability
@@ -37,18 +40,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import broadcast_if_fits
-from evenkeel.llm.common import attach, bounded_batches, id_and_text, written
+from evenkeel.llm.common import attach, bounded_batches, id_and_text, scratch, written
 from evenkeel.llm.components import components
 
 HASHES = 256
 BANDS, ROWS = 42, 6
 BITS = 2
 PLANE = HASHES // 64
-#: Classes of one band key compared at once in a task.
-BLOCK = 1024
+#: Classes, and shingles of their full sets, of a group that a task compares at once with as many others.
+BLOCK = 8192
+BLOCK_SHINGLES = 4_000_000
+#: Sets up to this size are compared whatever their estimate says.
+SMALL_SET = 32
+#: Keys of up to so many classes are always groups of their own.
+SMALL_KEY = 256
 MEMORY_WORDS = 150_000
 
 _MULTIPLIERS = np.random.default_rng(20_260).integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_SALTS = np.random.default_rng(20_262).integers(0, 2**32, HASHES, dtype=np.uint32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -117,7 +126,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The low bits of each row of minima: BITS planes of PLANE words."""
+    """Low bits of each row of minima, each mixed by its own function: BITS planes of PLANE words."""
+    least = least ^ _SALTS
+    least = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    least = (least ^ (least >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    least = least ^ (least >> np.uint32(16))
     planes = [np.packbits(((least >> b) & 1).astype(np.uint8), axis=1, bitorder="little") for b in range(BITS)]
     return np.concatenate(planes, axis=1).view(np.int64)
 
@@ -215,7 +228,7 @@ def _hopeful(n_u: Column, n_v: Column, sig_u: str, sig_v: str, rule: Rule) -> tu
         different = different + F.bit_count(word)
     estimate = estimated(different)
     sizes = 100 * F.least(n_u, n_v) >= rule.percent * F.greatest(n_u, n_v)
-    return estimate, (estimate >= rule.least_estimate) & sizes
+    return estimate, ((estimate >= rule.least_estimate) | (F.greatest(n_u, n_v) <= SMALL_SET)) & sizes
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -252,10 +265,19 @@ def _likely(a: int, b: np.ndarray, part, n, sig, rule: Rule) -> tuple[np.ndarray
     b = b[part[b] != part[a]]
     b = b[100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])]
     estimate = estimated(differing(sig[a], sig[b]))
-    some = estimate >= rule.least_estimate
+    some = (estimate >= rule.least_estimate) | (np.maximum(n[a], n[b]) <= SMALL_SET)
     return b[some], estimate[some]
 
 
+def _similar(a: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which of the sets that lie end to end in ``flat`` are similar enough to ``a``; all are ascending."""
+    which = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    others = flat[which]
+    at = np.minimum(np.searchsorted(a, others), len(a) - 1)
+    both = np.add.reduceat((a[at] == others).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= rule.percent * (len(a) + sizes - both)
+
+
 def _sides(run: pa.Table, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the two blocks of a task, one and the same for a block with itself."""
     i, j = run["i"][0].as_py(), run["j"][0].as_py()
@@ -264,14 +286,14 @@ def _sides(run: pa.Table, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nearest_apart(rule: Rule):
-    """For each row of two blocks of a key the likeliest partner in another component, if it has one."""
+    """For each row of two blocks of a group the likeliest partner in another component, if it has one."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, ["key", "i", "j"]):
             node, part, block, n = _columns(run, "node part block n_shingles")
             sig = np.stack(run["signature"].to_numpy())
             left, right = _sides(run, block)
-            best, found = np.zeros(len(node)), np.full(len(node), -1)
+            best, found = np.full(len(node), -np.inf), np.full(len(node), -1)
             for a in left:
                 b, estimate = _likely(a, right[right > a] if left is right else right, part, n, sig, rule)
                 if len(b):
@@ -281,55 +303,91 @@ def _nearest_apart(rule: Rule):
                     better = estimate > best[b]
                     best[b[better]], found[b[better]] = estimate[better], a
             rows = np.flatnonzero(found >= 0)
-            some = run.take(pa.array(rows)).select(["key", "i", "j", "block", "node"]).combine_chunks()
+            some = run.take(pa.array(rows)).select(["key", "node"]).combine_chunks()
             yield from some.append_column("other", pa.array(node[found[rows]], pa.int64())).to_batches()
 
     return find
 
 
 def _links_apart(rule: Rule):
-    """Confirmed links between components in two blocks of a key; none between what they already join."""
+    """Confirmed links between components in two blocks of a group; none between what they already join."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, ["key", "i", "j"]):
             node, part, block, n = _columns(run, "node part block n_shingles")
             sig = np.stack(run["signature"].to_numpy())
-            sets = run["shingles"].to_numpy()
+            sets = [np.sort(s) for s in run["shingles"].to_numpy()]
+            flat, starts = np.concatenate(sets), np.cumsum(n) - n
             left, right = _sides(run, block)
             part = part.copy()
             links = []
             for a in left:
                 b, estimate = _likely(a, right[right > a] if left is right else right, part, n, sig, rule)
-                for k in b[np.argsort(-estimate, kind="stable")]:
-                    if part[k] == part[a]:
-                        continue
-                    both = len(np.intersect1d(sets[a], sets[k], assume_unique=True))
-                    if 100 * both >= rule.percent * (len(sets[a]) + len(sets[k]) - both):
-                        links.append((max(node[a], node[k]), min(node[a], node[k])))
-                        part[part == part[k]] = part[a]
+                b = b[np.argsort(-estimate, kind="stable")]
+                while len(b):
+                    few = b[: max(1, int(np.searchsorted(np.cumsum(n[b]), BLOCK_SHINGLES)))]
+                    for k in few[_similar(sets[a], flat, starts[few], n[few], rule)]:
+                        if part[k] != part[a]:
+                            links.append((max(node[a], node[k]), min(node[a], node[k])))
+                            part[part == part[k]] = part[a]
+                    b = b[len(few) :]
+                    b = b[part[b] != part[a]]
             u, v = ([x[c] for x in links] for c in (0, 1))
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return find
 
 
-def _open_rows(members: DataFrame, facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of keys whose classes are in several components, for every pair of blocks they take part in."""
+def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, part: groups of classes in several components, one for each key or for a cluster of large keys.
+
+    Keys over SMALL_KEY classes that share classes are a cluster. Where comparing all pairs of the cluster is
+    less work than those of all its keys, which much the same classes in many keys make it, the cluster is
+    the group, and its classes stand in it once. It holds every pair of the keys it holds.
+    """
     parted = _with_parts(members.select("key", "node"), labels)
     keys = written(
         parted.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("first"))
         .filter("n > 2 AND low <> high")
-        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        .select("key", "n", "first"),
         "open-keys",
     )
-    rows = attach(parted, keys, "key").join(facts, "node")
+    large = keys.filter(F.col("n") > SMALL_KEY)
+    if not large.take(1):
+        return attach(parted, keys.select("key", "n"), "key").select("key", "node", "part")
+
+    rows = written(attach(parted, large, "key"), "open-rows")
+    links = rows.select(F.col("node").alias("u"), F.col("first").alias("v")).filter("u <> v")
+    clusters = components(links)
+    nodes = rows.select("node", F.col("part").alias("component")).distinct()
+    nodes = written(_with_parts(nodes, clusters).withColumnRenamed("part", "cluster"), "cluster-nodes")
+    firsts = _with_parts(large.withColumnRenamed("first", "node"), clusters).withColumnRenamed("part", "cluster")
+    firsts = written(firsts, "cluster-keys")
+    pairs = firsts.groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    sizes = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    dense = sizes.join(pairs, "cluster").filter(F.col("n").cast("double") * F.col("n") <= F.col("pairs"))
+    dense = written(dense.select("cluster", "n"), "dense-clusters")
+    once = attach(nodes, dense, "cluster").select(
+        F.xxhash64(F.lit("cluster"), "cluster").alias("key"), "node", F.col("component").alias("part")
+    )
+    # A key is left out if one such cluster holds all its classes, whatever its size.
+    homes = written(attach(nodes, dense, "cluster").select("node", F.col("cluster").alias("home")), "homes")
+    held = attach(parted, keys.select("key", "n"), "key").join(homes, "node", "left")
+    held = held.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count("home").alias("at_home"), F.min("home").alias("a"), F.max("home").alias("b")
+    )
+    single = written(held.filter("at_home < n OR a <> b").select("key", "n"), "single-keys")
+    return attach(parted, single, "key").select("key", "node", "part").unionByName(once)
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of every group for each pair of blocks they take part in; ``sizes`` has key, n and blocks."""
+    rows = attach(rows, sizes, "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "part", "n_shingles", "signature",
-    )
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")})
+    return _by_blocks(rows.drop("__other", "blocks"))
 
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
@@ -344,7 +402,20 @@ def _with_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     bounded_batches()
-    texts = id_and_text(docs, id_col, text_col)
+    with scratch() as keep:
+        signed, named = _grouped(id_and_text(docs, id_col, text_col), rule)
+        keep(signed), keep(named)
+    linkable = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    mine = attach(linkable.select("doc_id", "n_shingles", "set_key"), named, "set_key").drop("set_key")
+    alone = signed.filter(F.col("set_key").isNull() | F.col("doc_id").isNull())
+    alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return mine.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    )
+
+
+def _grouped(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The signature of every document, and the component of every set; both written."""
     signed = written(signatures(texts, rule.words), "signatures")
     linkable = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(
@@ -383,25 +454,27 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     if rest.take(1):
         labels = components(confirmed(rest, texts, rule), labels)
 
-    # 3. Keys whose classes are still apart: each row with its likeliest partner elsewhere, and then whatever
+    # 3. Groups whose classes are still apart: each row with its likeliest partner elsewhere, and then whatever
     # is left, in tasks that hold the sets of two blocks.
-    near = "key long, i int, j int, block int, node long, other long"
-    apart = _by_blocks(_open_rows(members, facts, labels)).mapInArrow(_nearest_apart(rule), near)
+    groups = written(_open_groups(members, labels).join(facts, "node"), "open-groups")
+    count = F.count(F.lit(1)).alias("n")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    sizes = written(groups.groupBy("key").agg(count).select("key", "n", blocks), "group-sizes")
+    apart = _in_blocks(groups, sizes).mapInArrow(_nearest_apart(rule), "key long, node long, other long")
     apart = written(apart, "apart")
     if apart.take(1):
         pairs = apart.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         labels = components(confirmed(pairs, texts, rule), labels)
-        nodes = broadcast_if_fits(written(apart.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
-        sets = written(full_sets(texts.join(nodes, "doc_id", "left_semi"), rule.words), "sets")
-        rows = _with_parts(apart.drop("other"), labels).join(facts, "node").join(sets, "node")
-        links = written(_by_blocks(rows).mapInArrow(_links_apart(rule), "u long, v long").distinct(), "links")
+        rows = apart.select("key", "node").distinct()
+        nodes = broadcast_if_fits(written(rows.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
+        sets = written(full_sets(texts.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), rule.words), "sets")
+        rows = written(_with_parts(rows, labels).join(facts, "node"), "apart-rows")
+        weight = F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
+        sizes = rows.groupBy("key").agg(count, F.sum("n_shingles").alias("shingles"))
+        sizes = written(sizes.select("key", "n", F.ceil(weight).cast("int").alias("blocks")), "apart-sizes")
+        links = _in_blocks(rows.join(sets, "node"), sizes)
+        links = written(links.mapInArrow(_links_apart(rule), "u long, v long").distinct(), "links")
         labels = components(links, labels)
 
     named = _with_parts(classes.select("set_key", "n", "node"), labels)
-    named = written(named.select("set_key", "n", F.col("part").alias("component_id")), "named")
-    mine = attach(linkable.select("doc_id", "n_shingles", "set_key"), named, "set_key").drop("set_key")
-    alone = signed.filter(F.col("set_key").isNull() | F.col("doc_id").isNull())
-    alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return mine.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    return signed, written(named.select("set_key", "n", F.col("part").alias("component_id")), "named")

@@ -64,6 +64,77 @@ def test_blocks_of_one_key(spark, frame, monkeypatch):
     assert judged(frame(docs), Rule(2, 80)) == brute(docs, 2)
 
 
+@pytest.mark.parametrize("small_key", [2, 6])
+def test_large_keys_that_share_their_classes_are_one_group(spark, frame, monkeypatch, small_key):
+    monkeypatch.setattr(minhash, "SMALL_KEY", small_key)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    docs = planted(6)
+    assert judged(frame(docs), Rule(2, 80)) == brute(docs, 2)
+    docs = near_group(7, 80, 40)
+    assert judged(frame(docs), Rule(2, 80)) == brute(docs, 2)
+
+
+def near_group(seed, copies, words):
+    """Copies of one text with up to a twelfth of the words replaced."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    docs = []
+    for i in range(copies):
+        copy = list(base)
+        for _ in range(rng.randint(0, words // 12)):
+            copy[rng.randrange(words)] = f"r{rng.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_a_group_of_near_copies_makes_a_few_rows_a_class(spark, frame, monkeypatch):
+    seen = []
+    make = minhash._open_groups
+
+    def counted(members, labels):
+        rows = make(members, labels)
+        seen.append((rows.count(), rows.select("node").distinct().count()))
+        return rows
+
+    monkeypatch.setattr(minhash, "_open_groups", counted)
+    got = judged(frame(near_group(8, 1200, 120)), Rule(2, 80))
+    assert len(got) == 1200
+    [(rows, classes)] = seen
+    assert classes > 500 and rows <= 3 * classes
+
+
+@pytest.mark.parametrize("shared, size", [(4, 5), (8, 10), (16, 20), (40, 50), (160, 200)])
+def test_no_pair_at_the_threshold_is_passed_over(shared, size):
+    """Sets of ``size`` and of ``shared`` shingles, all of the second in the first: similarity 0.8 exactly."""
+    rng = np.random.default_rng(size)
+    n = 20_000 if size <= 20 else 4_000
+    x = rng.integers(0, 2**63, (n, size), dtype=np.uint64)
+    signed = [minhash.packed(np.stack([minhash.minima(np.sort(s[:k])) for s in x])) for k in (size, shared)]
+    estimate = minhash.estimated(minhash.differing(*signed))
+    lost = (estimate < Rule(2, 80).least_estimate) & (size > minhash.SMALL_SET)
+    assert not lost.any()
+    # the chance correction holds by itself, too
+    assert abs(np.mean(estimate) - 0.8) < 0.01
+
+
+def test_texts_of_five_and_six_words_meet(spark, frame):
+    text = "q6883 q656537 q474956 q269064 q718164 q610768"
+    got = judged(frame([(1, text), (2, text.rsplit(" ", 1)[0])]), Rule(2, 80))
+    assert {r[1] for r in got.values()} == {1}
+
+
+def test_what_is_written_on_the_way_is_deleted(spark, frame):
+    import os
+
+    def folders():
+        top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/evenkeel"
+        return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+    before = folders()
+    near_duplicates(frame(near_group(9, 60, 60)), Rule(2, 80)).collect()
+    assert {f.split("-")[0] for f in folders() - before} == {"signatures", "named"}
+
+
 def test_nulls_empties_ties_and_repeats(spark, frame):
     docs = [(5, None), (6, ""), (7, " \t\n"), (4, "One"), (3, "one"), (2, "a b c d e f"), (9, "A B c d e f"), (None, "one")]
     rows = near_duplicates(frame([*docs, (9, "A B c d e f")]), Rule(2, 80)).collect()
