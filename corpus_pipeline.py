@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a frame; each is written and
 read again before the next. All but the last return the columns they were given,
-whatever these are called. Empty tables pass through. NULL texts read as empty:
+whatever these are called and of whatever type. Empty tables pass through. NULL texts read as empty:
 they are not toxic, copies of nothing, clean of passages, and become no ids. Rows
 with a NULL doc_id cannot be named in a decision on copies or passages, so those two
 stages keep them.
@@ -24,17 +24,26 @@ from evenkeel.llm.toxicity import toxicity, toxicity_model
 from evenkeel.plans.base import table
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that none of the documents' columns has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is not among ``ids``."""
-    ids = broadcast_if_fits(written(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
-    return docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti")
+    gone = fresh("gone", docs)
+    ids = broadcast_if_fits(written(ids.select(F.col("doc_id").alias(gone)).distinct(), "gone"))
+    return docs.join(ids, docs["doc_id"] == ids[gone], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM, by a model of the learnable labels."""
     model = toxicity_model(docs.filter(learnable("doc_id")), table(spark, sf_dir, "labels"))
-    kept = docs.select("*", toxicity(docs, F.col("text"), model).alias("__toxicity"))
-    return kept.filter(F.col("__toxicity") < TOXIC_FROM).drop("__toxicity")
+    score = fresh("toxicity", docs)
+    return docs.withColumn(score, toxicity(docs, F.col("text"), model)).filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +55,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = judged.filter("kept")
     if not again.take(1):
         return left
-    repeated = broadcast_if_fits(again.select(F.col("doc_id").alias("__again")))
-    rows = left.join(repeated, left["doc_id"] == repeated["__again"], "left_semi")
-    first = rows.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
-    return without(left, again).unionByName(first)
+    # the rows of repeated ids are numbered as they are written, so that one of them can be named
+    again_id, row = fresh("again", docs), fresh("row", docs)
+    ids = broadcast_if_fits(again.select(F.col("doc_id").alias(again_id)))
+    rows = left.join(ids, left["doc_id"] == ids[again_id], "left_semi")
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "repeated")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("text", F.col(row).alias("row"))).alias("first"))
+    first = first.select(F.col("first.row").alias(row))
+    return without(left, again).unionByName(rows.join(first, row, "left_semi").drop(row))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

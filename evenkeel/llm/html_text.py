@@ -72,7 +72,7 @@ IMPLIED = {
 _P_SCOPE = frozenset("td th table button html body article section div main aside nav footer header".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 _MARKED = re.compile(r"<!\[[^>]*>?")
-_CUT_OFF = re.compile(r"<[A-Za-z/!?][^>]*\Z")
+_OPENS = re.compile(r"<[A-Za-z/!?]").search
 
 
 class Tree(HTMLParser):
@@ -148,7 +148,9 @@ class Tree(HTMLParser):
 
 
 def read_page(html: str) -> Tree:
-    html = _CUT_OFF.sub("", html)
+    # a tag that is cut off at the end of the page
+    if cut := _OPENS(html, html.rfind(">") + 1):
+        html = html[: cut.start()]
     tree = Tree()
     try:
         tree.feed(html)

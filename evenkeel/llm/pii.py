@@ -102,7 +102,7 @@ def _iban(text: str, end: int) -> tuple[int, int] | None:
 
 def _url(text: str, colon: int, after: int) -> tuple[int, int] | None:
     start = colon
-    while start and text[start - 1] in _SCHEME and colon - start < 32:
+    while start and text[start - 1] in _SCHEME:
         start -= 1
     while start < colon and not text[start].isalpha():
         start += 1
@@ -127,7 +127,8 @@ class Finder:
             if what == "digit":
                 if last >= ip_end:
                     m = _IP(text, last)
-                    if m and all(len(p) < 20 and int(p) <= 255 for p in m.group().split(".")):
+                    parts = (p.lstrip("0") for p in m.group().split(".")) if m else ()
+                    if m and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
                         found.add((last, 1, m.end()))
                     ip_end = m.end() if m else _DIGITS(text, last).end()
                 if last >= card_end:

@@ -2,8 +2,9 @@
 
 A word is the bag of its character n-grams (FEWEST to MOST characters, with marks at
 its ends) and itself, each hashed to one of BUCKETS vectors; its vector is their
-mean. A text is read in windows of WINDOW words, each the average of its words'
-vectors (times WINDOW, which the layer would learn otherwise), and a linear layer
+mean. A text is read in windows of WINDOW words. A window is the sum of its words'
+vectors, for whole windows WINDOW times their average; the shorter one at a text's end has as much less
+weight as it has fewer words. A linear layer
 gives the window's evidence, toxic less clean. A text has the evidence of its
 strongest window, however many others stand around it, and a softmax over the two
 classes (of which only their difference counts) makes it a score. Vectors and layer

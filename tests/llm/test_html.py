@@ -77,3 +77,13 @@ def test_query_returns_the_article_of_every_page(spark):
         blocks = [" ".join(html_lib.unescape(b).split()) for b in article.split("\0")]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
         assert r.url == pages[r.page_id].url
+
+
+def test_a_page_of_open_tags_takes_no_time():
+    import time
+
+    started = time.perf_counter()
+    for page in ("<a" * 500_000 + ">", "<a" * 500_000, "x < y " * 100_000):
+        main_text(page)
+    assert time.perf_counter() - started < 20
+    assert main_text("<p>one two three</p><p>four <b").strip() == main_text("<p>one two three</p><p>four ").strip()

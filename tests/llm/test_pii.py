@@ -106,3 +106,14 @@ def test_query_on_all_documents(spark):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in spans) for n in range(4)]
         assert not listed or set(listed.split(",")) <= set(r.spans.split(","))
+
+
+def test_leading_zeros_and_long_schemes():
+    def found(text):
+        return [(KINDS[k], text[a:b]) for a, k, b in Finder().spans(text)]
+
+    zeros = "0" * 40 + "1.2.3.4"
+    assert ("ip", zeros) in found(f"at {zeros} now") and ("ip", "0000.00000.1.255") in found("0000.00000.1.255")
+    assert not [f for f in found("256.1.1.1 and 1.1.1.0000256") if f[0] == "ip"]
+    scheme = "a" * 100
+    assert any(text.startswith(scheme) for _, text in found(f"see {scheme}://example.org/x"))

@@ -71,3 +71,20 @@ def test_odd_rows_pass_every_stage(spark, frame):
             assert name == "bpe" or docs.columns == columns
         left = sorted((str(r.doc_id), r.n_tokens) for r in docs.collect())
         assert [i for i, _ in left] == (["1", "2", "3", "4", "None"] if some else [])
+
+
+def test_columns_of_any_name_and_type_pass(spark):
+    schema = (
+        "doc_id long, text string, `a.b` string, m map<string, string>, __toxicity double, toxicity double, "
+        "gone string, again string, row long, n_chars long"
+    )
+    text = "a b c d e f g"
+    rows = [(i, t, "x", {"k": "v"}, 0.5, 0.5, "g", "a", 7, 3) for i, t in ((1, text), (1, text), (1, "z"), (2, text), (3, "q"), (None, text))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES:
+        columns = docs.columns
+        docs = pipeline.written(stage(spark, docs, SF), name)
+        assert name == "bpe" or docs.columns == columns
+        if name != "bpe":
+            assert {(r["a.b"], tuple(r["m"].items()), r["row"]) for r in docs.collect()} == {("x", (("k", "v"),), 7)}
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "3", "None"]
