@@ -19,19 +19,28 @@ _PIECE = rf'{_STRING}|{_NUMBER}|[^"0-9-]++|[\s\S]'
 _OPEN = '{"e":0,"v":'
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(text: Column) -> Column:
     """A JSON number as its significant digits and a power of ten, exact at any length."""
-    parts = F.split(F.lower(F.ltrim(text, F.lit("-"))), "e")
-    whole_and_rest = F.split(parts[0], r"\.")
-    rest = F.coalesce(F.get(whole_and_rest, F.lit(1)), F.lit(""))
-    digits = F.concat(whole_and_rest[0], rest)
-    cut = F.rtrim(digits, F.lit("0"))
-    power = F.coalesce(F.get(parts, F.lit(1)), F.lit("0")).try_cast("decimal(20,0)")
-    power = power - F.length(rest) + F.length(digits) - F.length(cut)
-    bare = F.ltrim(cut, F.lit("0"))
     sign = F.when(text.startswith("-"), "-").otherwise("")
-    # a power of more than twenty digits stays as it is written
-    return F.when(bare == "", "0").otherwise(F.coalesce(F.concat(sign, bare, F.lit("e"), power.cast("string")), text))
+
+    def scaled(parts: Column, rest: Column, digits: Column, cut: Column) -> Column:
+        power = F.coalesce(F.get(parts, F.lit(1)), F.lit("0")).try_cast("decimal(20,0)")
+        power = power - F.length(rest) + F.length(digits) - F.length(cut)
+        # a power of more than twenty digits stays as it is written
+        whole = F.concat(sign, F.ltrim(cut, F.lit("0")), F.lit("e"), power.cast("string"))
+        return F.when(F.ltrim(cut, F.lit("0")) == "", "0").otherwise(F.coalesce(whole, text))
+
+    def of_parts(parts: Column) -> Column:
+        rest = F.substring_index(F.concat(parts[0], F.lit(".")), ".", 2)
+        rest = F.replace(F.substr(rest, F.length(F.substring_index(parts[0], ".", 1)) + 2), F.lit("."), F.lit(""))
+        return _once(rest, lambda r: _once(F.replace(parts[0], F.lit("."), F.lit("")), lambda d: scaled(parts, r, d, F.rtrim(d, F.lit("0")))))
+
+    return _once(F.split(F.lower(F.ltrim(text, F.lit("-"))), "e"), of_parts)
 
 
 def _canonical_json(c: Column) -> Column:
@@ -54,7 +63,7 @@ def _canonical_json(c: Column) -> Column:
         "",
     )
     read = F.to_json(F.try_parse_json(F.concat(F.lit('{"v":'), rewritten, F.lit(',"e":0}'))))
-    return F.when(read.startswith(_OPEN), read).otherwise(c)
+    return F.coalesce(_once(read, lambda r: F.when(r.startswith(_OPEN), r)), c)
 
 
 def comparable(c: Column, declared: str) -> Column:
