@@ -4,9 +4,13 @@ The automaton is built over the words of all templates. A document's words are
 streamed through it; after every word the automaton knows the longest run of
 words ending there that stands in some template (the matching statistics). Runs
 that cannot be extended and have LEAST_RUN words or more, or make up half of a
-template, are long matches; those of one template that follow each other with at
-most GAP words between them are chained, and a chain that covers LEAST_COVER of a
-template's words gives the document its label.
+template, are long matches. Those of one template that follow each other in the text
+as they do in the template are chained; between two of them GAP other words may stand,
+and one more for every GAP_SHARE words of the template the chain has covered. A chain
+that covers LEAST_COVER of a template's words, each counted once, gives the document
+its label. Every paragraph of a licence is a template of its own, so that any of
+them is found without the others; short licences are there in full. Where chains of
+several licences share half of a stretch, the one that covers most is kept.
 
 Base phrases are part of the automaton: their places are where its state ends in
 them. Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z read as a-z.
@@ -17,6 +21,7 @@ chains that gave a label, or by base phrases.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ labels:array<string>,covered:long,spans:array<struct<label:string,start:int,end:
 # Phrases that count wherever they stand, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Openings and notices of public licences, by label.
+# Paragraphs and notices of public licences, by label.
 TEMPLATES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -43,6 +48,13 @@ TEMPLATES = {
         "Licensed under the MIT License",
         "This project is licensed under the terms of the MIT license",
         "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -51,6 +63,16 @@ TEMPLATES = {
         "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "Licensed under the Apache License, Version 2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+        "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+        "Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such "
+        "Derivative Works in Source or Object form.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+        "worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) "
+        "patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work",
+        "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or "
+        "without modifications, and in Source or Object form, provided that You meet the following conditions",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -60,6 +82,16 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
@@ -68,24 +100,49 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3",
         "under the terms of the GNU General Public License version 2",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
         "General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General "
+        "Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
     ],
     "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at",
         "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public "
+        "License, v. 2.0.",
+        "All distribution of Covered Software in Source Code Form, including any Modifications that You create "
+        "or to which You contribute, must be under the terms of this License. You must inform recipients that "
+        "the Source Code Form of the Covered Software is governed by the terms of this License, and how they can "
+        "obtain a copy of this License.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE.",
     ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -106,11 +163,20 @@ TEMPLATES = {
     ],
     "unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and "
+        "all copyright interest in the software to the public domain. We make this dedication for the benefit of "
+        "the public at large and to the detriment of our heirs and successors. We intend this dedication to be "
+        "an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+        "copyright law.",
     ],
 }
 
 LEAST_RUN = 4
 GAP = 3
+GAP_SHARE = 4
 LEAST_COVER = 0.8
 
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -157,6 +223,41 @@ class Automaton:
         return new
 
 
+def chained(parts: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Stretches of a text, and how many words of a template they cover, of LEAST_COVER of its ``size`` or more.
+    None overlaps another.
+
+    Parts are (start, end, end in the template), starts and ends growing. Each follows the part before it that
+    gives the most covered words, of those near enough; as a part reaches back no further than the gap of a whole
+    template, this is linear in the parts.
+    """
+    far = max(GAP, size // GAP_SHARE)
+    best, before, first = [], [], 0
+    for j, (start, end, at) in enumerate(parts):
+        covered, previous = end - start, -1
+        while parts[first][1] + far < start:
+            first += 1
+        for i in range(first, j):
+            _, i_end, i_at = parts[i]
+            if start - i_end <= max(GAP, best[i] // GAP_SHARE):
+                fresh = end - start - max(0, i_end - start, i_at - (at - (end - start)))
+                if fresh > 0 and best[i] + fresh > covered:
+                    covered, previous = best[i] + fresh, i
+        best.append(covered)
+        before.append(previous)
+    found: list[tuple[int, int, int]] = []
+    enough = [j for j in range(len(parts)) if best[j] >= LEAST_COVER * size]
+    for j in sorted(enough, key=lambda j: (-best[j], parts[j][1])):
+        i = j
+        while before[i] >= 0:
+            i = before[i]
+        a, b = parts[i][0], parts[j][1]
+        k = bisect_left(found, (b,))
+        if k == 0 or found[k - 1][1] <= a:
+            insort(found, (a, b, best[j]))
+    return found
+
+
 class Scanner:
     """Templates and phrases in one automaton; small, so it is sent to every task."""
 
@@ -177,15 +278,15 @@ class Scanner:
             for w in seq:
                 last = sam.extend(last, self.ids[w])
         n = len(sam.next)
-        # templates that hold the words of a state, and the phrases it ends in
-        self.holds: list[set[int]] = [set() for _ in range(n)]
+        # where the words of a state end in the templates that hold them, and the phrases it ends in
+        self.holds: list[dict[int, list[int]]] = [{} for _ in range(n)]
         for k, (_, seq) in enumerate(texts):
             state = 0
-            for w in seq:
+            for i, w in enumerate(seq, 1):
                 state = sam.next[state][self.ids[w]]
                 up = state
-                while up > 0 and k not in self.holds[up]:
-                    self.holds[up].add(k)
+                while up > 0:
+                    self.holds[up].setdefault(k, []).append(i)
                     up = sam.link[up]
         self.ends: list[tuple[int, ...]] = [()] * n
         goal = {}
@@ -237,24 +338,32 @@ class Scanner:
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         runs, places = self.matches(ids)
-        of: dict[int, list[tuple[int, int]]] = {}
+        of: dict[int, list[tuple[int, int, int]]] = {}
         for start, end, state in runs:
-            for k in self.holds[state]:
+            for k, ends in self.holds[state].items():
                 if end - start >= min(LEAST_RUN, (self.sizes[k] + 1) // 2):
-                    of.setdefault(k, []).append((start, end))
-        chains = []
-        for k, parts in of.items():
-            parts.sort()
-            start, end, covered = *parts[0], parts[0][1] - parts[0][0]
-            for a, b in [*parts[1:], (len(words) + GAP + 1, len(words) + GAP + 2)]:
-                if a > end + GAP:
-                    if covered >= LEAST_COVER * self.sizes[k]:
-                        chains.append((start, end, k))
-                    start, end, covered = a, b, b - a
-                else:
-                    covered += max(0, b - max(a, end))
-                    end = max(end, b)
-        return len(words), sorted(set(places)), sorted(chains)
+                    of.setdefault(k, []).extend((start, end, at) for at in ends)
+        chains = [(covered, a, b, k) for k, parts in of.items() for a, b, covered in chained(parts, self.sizes[k])]
+        return len(words), sorted(set(places)), self.strongest(chains)
+
+    def strongest(self, chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+        """Chains without those half of which a stronger chain of another licence has.
+
+        Stronger is what covers more words, then more of its template: licences quote each other's paragraphs
+        with a word changed.
+        """
+        if not chains:
+            return []
+        base = min(a for _, a, _, _ in chains)
+        owner = np.zeros(max(b for _, _, b, _ in chains) - base, np.int16)
+        numbers = {label: i for i, label in enumerate(dict.fromkeys(self.labels), 1)}
+        kept = []
+        for covered, a, b, k in sorted(chains, key=lambda c: (-c[0], self.sizes[c[3]], c[1], c[3])):
+            mine, held = numbers[self.labels[k]], owner[a - base : b - base]
+            if 2 * np.count_nonzero((held != 0) & (held != mine)) < b - a:
+                held[held == 0] = mine
+                kept.append((a, b, k))
+        return sorted(kept)
 
     def row(self, text: str) -> dict:
         n, places, chains = self.scan(text)

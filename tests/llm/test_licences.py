@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.llm import queries
-from evenkeel.llm.licences import PHRASES, TEMPLATES, Scanner, licence_scan, words_of
+from evenkeel.llm.licences import GAP, GAP_SHARE, LEAST_COVER, PHRASES, TEMPLATES, Scanner, chained, licence_scan, words_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,6 +80,74 @@ def test_a_template_with_other_words_in_it_is_chained():
     assert SCANNER.row(" ".join(words[:8]))["labels"] == []
 
 
+MIT = TEMPLATES["mit"]
+WARRANTY = [t for t in MIT if "AS IS" in t or "NO EVENT" in t]
+
+
+def test_a_paragraph_without_its_licence_gives_the_label():
+    assert SCANNER.row("\n".join(WARRANTY))["labels"] == ["mit"]
+    for paragraph in WARRANTY:
+        assert SCANNER.row(f"x y z {paragraph} x y z")["labels"] == ["mit"]
+
+
+@pytest.mark.parametrize("foreign", [1, 3, 4, 5, 7])
+def test_words_put_into_a_long_paragraph_do_not_hide_it(foreign):
+    words = MIT[0].split()
+    r = SCANNER.row(" ".join([*words[:32], *["foreign"] * foreign, *words[32:]]))
+    assert r["labels"] == ["mit"] and r["spans"] == [{"label": "mit", "start": 0, "end": len(words_of(MIT[0])) + foreign}]
+
+
+def test_far_parts_and_parts_in_another_order_are_no_paragraph():
+    words = MIT[0].split()
+    assert SCANNER.row(" ".join([*words[:32], *["foreign"] * 60, *words[32:]]))["labels"] == []
+    assert SCANNER.row(" ".join([*words[32:], *words[:32]]))["labels"] == []
+    assert SCANNER.row(" ".join(words[:20] * 4))["labels"] == []
+
+
+def test_licences_with_one_other_word_are_told_apart():
+    for label, name in (("gpl", "gnu"), ("lgpl", "gnu lesser"), ("agpl", "gnu affero")):
+        mine = [t for t in TEMPLATES[label] if len(words_of(t)) > 12]
+        for template in mine:
+            assert {s["label"] for s in SCANNER.row(template)["spans"]} == {label}, (name, template)
+
+
+def test_repeated_licences_have_a_span_each():
+    r = SCANNER.row(" and then ".join([MIT[0]] * 300))
+    assert len(r["spans"]) == 300 and r["labels"] == ["mit"]
+
+
+def longest_chain(parts, size):
+    """Most words of a template any chain of parts covers, by trying all of them."""
+
+    def follow(i, covered):
+        start, end, at = parts[i]
+        most = covered
+        for j in range(i + 1, len(parts)):
+            a, b, t = parts[j]
+            fresh = b - a - max(0, end - a, at - (t - (b - a)))
+            if fresh > 0 and a - end <= max(GAP, covered // GAP_SHARE):
+                most = max(most, follow(j, covered + fresh))
+        return most
+
+    return max((follow(i, p[1] - p[0]) for i, p in enumerate(parts)), default=0)
+
+
+def test_chains_are_the_longest_there_are():
+    rng = random.Random(11)
+    found = 0
+    for _ in range(3000):
+        size, parts, a, b = rng.randint(8, 28), [], 0, 0
+        for _ in range(rng.randint(1, 8)):
+            a, b = a + rng.randint(1, 9), max(b + 1, a + rng.randint(4, 12))
+            if b - a <= size and b > a:
+                parts += [(a, b, rng.randint(b - a, size)) for _ in range(rng.randint(1, 2))]
+        got = chained(parts, size)
+        assert bool(got) == (longest_chain(parts, size) >= LEAST_COVER * size)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        found += bool(got)
+    assert found > 300
+
+
 def test_clean_long_and_empty_texts():
     assert SCANNER.row("of the and the terms of a license to the " * 5000)["labels"] == []
     assert SCANNER.row("all rights reserved " * 50_000)["n_base"] == 50_000
