@@ -7,19 +7,28 @@ subtree and the LC characters and LT tags of its links give its density
 
 (b: the body; 0 is read as 1; e^2 keeps the base at 2 or more). The node whose
 children's densities have the largest sum is the heart of the article; the least
-density on its path to the body is the threshold. The article is the closest
-``article`` or ``main`` around the heart; on a page without one it is the heart and
-every other subtree whose density reaches the threshold.
+density on its path to the body is the threshold. The article is the heart and every
+other subtree beside the path whose density reaches the threshold.
+
+Tags and names raise or lower what a subtree needs. Where ``article`` or ``main`` stands
+around the heart, the outermost ``article`` (without one, ``main``) belongs to it as a whole, but for
+blocks below the threshold that are links by more than half; an ``article`` beside it needs
+a third of the threshold, other blocks beside it the threshold and a common ``main``.
 
 Elements that are never article text (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) are left out before anything is
-counted, by their tag, role or the words of their class and id. An element around
-an article keeps its place whatever its class.
+counted: by their tag or role, or by a class or id of nothing but words for such
+things and for places ("cookie-bar"). A word of several senses ("discussion", "notice"), or one
+among other words ("cookie-recipes"), only lowers the block's standing: it does not count
+for the blocks around it, and stays if it has half the threshold and a tenth of the heart's
+characters. Words of several senses among other words ("social-history") mean nothing. An element
+around an article keeps its place whatever its class.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks stand in page order with an empty line between them. NULL and empty pages,
 and pages of nothing but such elements, have an empty text. Broken markup never
-fails: unclosed elements end with their parents, stray end tags are ignored.
+fails: unclosed elements end with their parents, stray end tags are ignored. Time and
+memory grow with the length of a page, whatever its depth; a page has to fit in a task.
 """
 
 from __future__ import annotations
@@ -46,14 +55,24 @@ NEVER = frozenset(
     button select option textarea input label dialog menu search""".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words of class and id that name what is not the article.
+# Words of class and id that name what is not the article, ...
 NAMES = frozenset(
-    """nav navbar navigation menu menubar submenu breadcrumb breadcrumbs header masthead topbar banner footer
-    bottombar colophon sidebar sidebars aside rail widget widgets ad ads adv advert adverts advertisement
-    advertising adsense adslot sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice
-    notices notification alert disclaimer popup modal overlay lightbox comment comments commentlist disqus replies
-    reply respond discussion social share sharing follow related recommended recommendations newsletter subscribe
-    subscription signup login register searchbox pagination pager toolbar skip hidden""".split()
+    """nav navbar navigation menu menubar submenu breadcrumb breadcrumbs masthead topbar banner footer
+    bottombar colophon sidebar sidebars widget widgets ad ads adv advert adverts advertisement
+    advertising adsense adslot sponsor sponsored promo promoted cookie cookies consent gdpr
+    popup modal overlay lightbox comment comments commentlist disqus newsletter subscribe
+    subscription signup login searchbox pagination pager toolbar hidden""".split()
+)
+# ... that may also name a part of it, ...
+UNSURE = frozenset(
+    """header aside rail promotion notice notices notification alert disclaimer replies reply respond discussion
+    social share sharing follow related recommended recommendations register skip""".split()
+)
+# ... and that say nothing of what stands there.
+PLACES = frozenset(
+    """area article articles bar block box buttons button container content first fixed form global group header icons
+    inner item items large last left link links list main outer page panel post posts primary reader right row
+    secondary section site slot small sticky story stories thread top bottom unit us user wrap wrapper""".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion ad ads advert".split())
 # A class that starts so says what stands beside the element.
@@ -75,13 +94,26 @@ _MARKED = re.compile(r"<!\[[^>]*>?")
 _OPENS = re.compile(r"<[A-Za-z/!?]").search
 
 
+def standing(token: str, about: frozenset) -> int:
+    """What a class or id says of an element: 2 not the article, 1 perhaps not, 0 nothing."""
+    words = [w.lower() for w in _NAME(token)]
+    if not words or words[0] in BESIDE:
+        return 0
+    sure, unsure = not (about & NAMES).isdisjoint(words), not (about & UNSURE).isdisjoint(words)
+    alone = all(w in NAMES or w in UNSURE or w in PLACES for w in words)
+    return (2 if alone else 1) if sure else int(unsure and alone)
+
+
+_ANY = NAMES | UNSURE
+
+
 class Tree(HTMLParser):
     """Nodes in page order with their parents, and the page as a run of texts and block breaks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents = ["#page"], [0]
-        self.never, self.named = [False], [False]
+        self.never, self.named = [False], [0]
         self.open = [0]
         self.run: list[tuple[int, str | None]] = []
 
@@ -108,20 +140,18 @@ class Tree(HTMLParser):
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(self.open[-1])
-        never, named = tag in NEVER, False
+        never, named = tag in NEVER, 0
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                wrong = COMMENTS if tag == "article" else NAMES
                 for token in value.split() if tag not in ("html", "body", "main") else ():
-                    words = [w.lower() for w in _NAME(token)]
-                    named |= not (words and words[0] in BESIDE) and not wrong.isdisjoint(words)
+                    named = max(named, standing(token, COMMENTS if tag == "article" else _ANY))
             elif name == "role":
-                named |= value.strip().lower() in ROLES
+                named = 2 if value.strip().lower() in ROLES else named
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                named = True
+                named = 2
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                named = True
+                named = 2
         self.never.append(never)
         self.named.append(named)
         if tag in BLOCKS:
@@ -170,81 +200,123 @@ def density(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> floa
     return c / max(t, 1) * math.log(max(ratio, 1.0)) / math.log(inner) if ratio > 1 else 0.0
 
 
+class Page:
+    """A tree with what is left out, and the characters, tags and densities of every node.
+
+    ``low`` nodes have numbers of their own, but do not count for their parents.
+    """
+
+    def __init__(self, tree: Tree, unsure: bool = True):
+        self.tree = tree
+        tags, parents = tree.tags, tree.parents
+        n = len(tags)
+        # what holds a container that is not itself left out is not left out by name
+        holds = self.holds = [t in CONTAINERS and not named for t, named in zip(tags, tree.named)]
+        for i in range(n - 1, 0, -1):
+            if holds[i] and not tree.never[i]:
+                holds[parents[i]] = True
+        out, low, beneath = [False] * n, [False] * n, [False] * n
+        in_container = [t in CONTAINERS for t in tags]
+        for i in range(1, n):
+            p = parents[i]
+            in_container[i] |= in_container[p]
+            page_header = tags[i] == "header" and not in_container[p] and not holds[i]
+            named = 0 if holds[i] and tags[i] != "article" else tree.named[i]
+            out[i] = out[p] or tree.never[i] or page_header or named == 2
+            low[i] = unsure and named == 1 and not out[i]
+            beneath[i] = beneath[p] or low[i]
+        c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
+        in_link = [tag == "a" for tag in tags]
+        for i in range(1, n):
+            in_link[i] |= in_link[parents[i]]
+        for i, data in tree.run:
+            if data and not out[i]:
+                size = len(data) - data.count(" ")
+                c[i] += size
+                if in_link[i]:
+                    lc[i] += size
+        for i in range(n - 1, 0, -1):
+            p = parents[i]
+            if not out[i] and not low[i]:
+                c[p] += c[i]
+                t[p] += t[i] + 1
+                lc[p] += lc[i]
+                lt[p] += lt[i] + (tags[i] == "a")
+        self.out, self.low, self.c, self.t, self.lc, self.lt = out, low, c, t, lc, lt
+        body = next((i for i in range(n) if tags[i] == "body"), 0)
+        self.body = body = body if c[body] else 0
+        d = self.d = [0.0 if out[i] else density(c[i], t[i], lc[i], lt[i], c[body], lc[body]) for i in range(n)]
+        sums = self.sums = [0.0] * n
+        for i in range(1, n):
+            if not low[i]:
+                sums[parents[i]] += d[i]
+        fit = [c[i] > 0 and not out[i] and not beneath[i] for i in range(n)]
+        self.heart = max(range(body, n), key=lambda i: (fit[i], sums[i], -i))
+        self.empty = not fit[self.heart]
+        self.path = [self.heart]
+        while self.path[-1] not in (body, 0):
+            self.path.append(parents[self.path[-1]])
+        self.threshold = min((d[i] for i in self.path if c[i]), default=0.0)
+
+    def article(self) -> list[bool]:
+        """Whether a node is of the article."""
+        tags, parents, c, d, threshold = self.tree.tags, self.tree.parents, self.c, self.d, self.threshold
+        n = len(tags)
+        inside, path = [False] * n, set(self.path)
+        around = [i for i in self.path if tags[i] in CONTAINERS]
+        base = next((i for i in reversed(around) if tags[i] == "article"), around[0] if around else None)
+        if base is None and not self.holds[self.heart]:
+            inside[self.heart] = True
+            for i in range(self.body + 1, n):
+                if parents[i] in path and i not in path and not self.low[i] and c[i] and d[i] >= threshold:
+                    inside[i] = True
+            # bare text beside the heart belongs to no child
+            for i, data in self.tree.run:
+                if data and i in path and i != self.heart and tags[i] not in ("body", "html", "#page") and data.strip():
+                    inside[i] = True
+        else:
+            if base is not None:
+                inside[base] = True
+            # containers beside the heart's, or those it holds, and dense blocks in a common main
+            above = set(self.path[self.path.index(base) + 1 :]) if base is not None else {self.heart}
+            in_main, free = [False] * n, [False] * n
+            for i in range(n):
+                p = parents[i]
+                in_main[i] = tags[i] == "main" or (i > 0 and in_main[p])
+                free[i] = i in above or (i > 0 and free[p] and self.holds[i] and tags[i] not in CONTAINERS)
+                if i == 0 or i in path or not free[p] or self.low[i] or not c[i]:
+                    continue
+                if tags[i] in CONTAINERS:
+                    inside[i] = 3 * d[i] >= threshold
+                elif not self.holds[i]:
+                    inside[i] = in_main[p] and base is not None and d[i] >= threshold
+            if not any(inside):
+                tops = [i for i in range(n) if tags[i] in CONTAINERS and not self.out[i]]
+                inside[max(tops, key=lambda i: (c[i], -i))] = True
+        for i in range(1, n):
+            if inside[parents[i]] and not inside[i] and (i in path or not self._apart(i)):
+                inside[i] = True
+        return inside
+
+    def _apart(self, i: int) -> bool:
+        """Whether a node inside the article is none of it."""
+        if self.low[i]:
+            return 2 * self.d[i] < self.threshold or 10 * self.c[i] < self.c[self.heart]
+        links = self.tree.tags[i] in BLOCKS and self.lt[i] > 2 and 2 * self.lc[i] > self.c[i]
+        return links and self.d[i] < self.threshold
+
+
 def main_text(html: str) -> str:
     """The article of a page, its blocks parted by empty lines."""
     if not html:
         return ""
     tree = read_page(html)
-    tags, parents = tree.tags, tree.parents
-    n = len(tags)
-    # what holds a container that is not itself left out is not left out by name
-    holds = [t in CONTAINERS and not named for t, named in zip(tags, tree.named)]
-    for i in range(n - 1, 0, -1):
-        if holds[i] and not tree.never[i]:
-            holds[parents[i]] = True
-    out = [False] * n
-    in_container = [t in CONTAINERS for t in tags]
-    for i in range(1, n):
-        p = parents[i]
-        in_container[i] |= in_container[p]
-        page_header = tags[i] == "header" and not in_container[p] and not holds[i]
-        out[i] = out[p] or tree.never[i] or page_header or (tree.named[i] and not (holds[i] and tags[i] != "article"))
-    c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [tag == "a" for tag in tags]
-    for i in range(1, n):
-        in_link[i] |= in_link[parents[i]]
-    for i, data in tree.run:
-        if data and not out[i]:
-            size = len(data) - data.count(" ")
-            c[i] += size
-            if in_link[i]:
-                lc[i] += size
-    for i in range(n - 1, 0, -1):
-        p = parents[i]
-        if not out[i]:
-            c[p] += c[i]
-            t[p] += t[i] + 1
-            lc[p] += lc[i]
-            lt[p] += lt[i] + (tags[i] == "a")
-    body = next((i for i in range(n) if tags[i] == "body"), 0)
-    if not c[body]:
-        body = 0
-    d = [0.0 if out[i] else density(c[i], t[i], lc[i], lt[i], c[body], lc[body]) for i in range(n)]
-    sums = [0.0] * n
-    for i in range(1, n):
-        sums[parents[i]] += d[i]
-    heart = max(range(body, n), key=lambda i: (not out[i] and c[i] > 0, sums[i], -i))
-    if out[heart] or not c[heart]:
+    page = Page(tree)
+    if page.empty and any(page.low):
+        page = Page(tree, unsure=False)
+    if page.empty:
         return ""
-    threshold, around, i = d[heart], None, heart
-    while True:
-        threshold = min(threshold, d[i]) if c[i] else threshold
-        if tags[i] in CONTAINERS:
-            around = i if around is None or tags[i] == "article" else around
-        if i in (body, 0):
-            break
-        i = parents[i]
-    if around is None and holds[heart]:
-        around = max((i for i in range(n) if tags[i] in CONTAINERS and not out[i]), key=lambda i: (c[i], -i), default=None)
-    inside = [False] * n
-    if around is not None:
-        inside[around] = True
-    else:
-        inside[heart] = True
-        path = {heart}
-        i = heart
-        while i not in (body, 0):
-            i = parents[i]
-            path.add(i)
-        for i in range(body + 1, n):
-            if parents[i] in path and i not in path and not out[i] and c[i] and d[i] >= threshold:
-                inside[i] = True
-        # bare text beside the heart belongs to no child
-        for i, data in tree.run:
-            if data and i in path and i != heart and tags[i] not in ("body", "html", "#page") and data.strip():
-                inside[i] = True
-    for i in range(1, n):
-        inside[i] |= inside[parents[i]]
+    inside, out = page.article(), page.out
     blocks, block = [], []
     for i, data in [*tree.run, (0, None)]:
         if data is None:

@@ -1,10 +1,12 @@
 import html as html_lib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.llm import queries
-from evenkeel.llm.html_text import article_text, main_text
+from evenkeel.llm.html_text import Page, article_text, main_text, read_page
 
 SF = "/root/testdata/sf0.001"
 TEXT = "A sentence of the article that is long enough to matter, with words and more words. "
@@ -87,3 +89,113 @@ def test_a_page_of_open_tags_takes_no_time():
         main_text(page)
     assert time.perf_counter() - started < 20
     assert main_text("<p>one two three</p><p>four <b").strip() == main_text("<p>one two three</p><p>four ").strip()
+
+
+SIXTY = " ".join(f"word{k}" for k in range(60))
+
+
+def paragraphs(mark, k):
+    return [f"{mark}{j} {SIXTY}." for j in range(k)]
+
+
+def markup(blocks):
+    return "".join(f"<p>{b}</p>" for b in blocks)
+
+
+@pytest.mark.parametrize("sizes", [(6, 2, 2), (8, 5, 5), (3, 12, 3), (2, 2, 2), (1, 30, 1)])
+@pytest.mark.parametrize("around", ["<main>{}</main>", "{}", "<div><div>{}</div></div>"])
+def test_text_in_several_articles_is_kept(sizes, around):
+    parts = [paragraphs(f"a{k}p", n) for k, n in enumerate(sizes)]
+    html = around.format("".join(f"<article>{markup(p)}</article>" for p in parts))
+    assert main_text(page(f"<nav>menu</nav>{html}<footer>foot</footer>")) == "\n\n".join(b for p in parts for b in p)
+
+
+def test_teasers_beside_the_article_are_left_out():
+    teaser = "<article><h3><a href=/x>Another story of the day</a></h3><p><a href=/x>Read</a> it</p></article>"
+    html = f"<main><article><h1>Head</h1>{markup(paragraphs('p', 5))}</article>{teaser * 6}</main>"
+    assert main_text(page(html)) == "\n\n".join(["Head", *paragraphs("p", 5)])
+
+
+@pytest.mark.parametrize("shape", ["<div>{}</div>", "<div><ul>{}</ul></div>"])
+def test_lists_of_links_in_an_article_are_left_out(shape):
+    item = "<a href=/l>some link text</a> " if "ul" not in shape else "<li><a href=/l>some link text</a></li>"
+    html = f"<article>{markup(paragraphs('p', 3))}{shape.format(item * 60)}{markup(paragraphs('q', 3))}</article>"
+    assert main_text(page(html)) == "\n\n".join([*paragraphs("p", 3), *paragraphs("q", 3)])
+
+
+def test_links_in_the_sentences_of_an_article_stay():
+    linked = f"<p>{SIXTY} <a href=/a>one</a> and <a href=/b>two</a> and <a href=/c>three</a> {SIXTY}</p>"
+    text = f"{SIXTY} one and two and three {SIXTY}"
+    assert main_text(page(f"<article>{linked * 4}<p><a href=/s>Source</a></p></article>")) == "\n\n".join([text] * 4 + ["Source"])
+
+
+@pytest.mark.parametrize("name", ['class="social-history"', 'id="discussion"', 'class="notice-period"', 'id="relatedWork"'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_a_name_alone_does_not_part_text_from_its_article(name, tag):
+    parts = [paragraphs("a", 4), paragraphs("b", 3), paragraphs("c", 2)]
+    html = f"<{tag}>{markup(parts[0])}<div {name}>{markup(parts[1])}</div>{markup(parts[2])}</{tag}>"
+    assert main_text(page(html)) == "\n\n".join(b for p in parts for b in p)
+
+
+@pytest.mark.parametrize(
+    "name", ["notice", "cookie-notice", "share-buttons", "comments", "relatedPosts", "ad", "ad-slot-3", "sidebar left", "cookie-law-info"]
+)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_short_named_blocks_are_left_out(name, tag):
+    html = f"<{tag}>{markup(paragraphs('a', 4))}<div class='{name}'><p>{TEXT}</p></div>{markup(paragraphs('b', 2))}</{tag}>"
+    assert main_text(page(html)) == "\n\n".join([*paragraphs("a", 4), *paragraphs("b", 2)])
+
+
+def test_a_page_of_nothing_but_unsure_names_has_a_text():
+    assert main_text(page(f"<div id=discussion>{markup(paragraphs('p', 3))}</div>")) == "\n\n".join(paragraphs("p", 3))
+    assert main_text(page(f"<div class=comments>{markup(paragraphs('p', 3))}</div>")) == ""
+
+
+def plain(node, body_c, body_lc, linked=False):
+    """(C, T, LC, LT, densities below and here) of a (tag, children) tree, from the formula."""
+    tag, children = node
+    linked |= tag == "a"
+    c = t = lc = lt = 0
+    found, total = [], 0.0
+    for child in children:
+        if isinstance(child, str):
+            c, lc = c + len(child), lc + (len(child) if linked else 0)
+            continue
+        (c1, t1, lc1, lt1, d1), below = plain(child, body_c, body_lc, linked)
+        c, t, lc, lt, total = c + c1, t + t1 + 1, lc + lc1, lt + lt1 + (child[0] == "a"), total + d1
+        found += below
+    d = 0.0
+    if c:
+        one = lambda x: max(x, 1)
+        ratio = c / one(lc) * (one(t) / one(lt))
+        d = max(0.0, c / one(t) * math.log(ratio, c / one(c - lc) * lc + body_lc / one(body_c) * c + math.e**2))
+    return (c, t, lc, lt, d), [(d, total), *found]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_densities_are_those_of_the_formula(seed):
+    rng = random.Random(seed)
+
+    def grow(depth, linked):
+        children = []
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.3:
+                children.append("x" * rng.randint(1, 200))
+            else:
+                tag = rng.choice(["div", "div", "section", "span", "span" if linked else "a"])
+                children.append((tag, grow(depth - 1, linked or tag == "a")))
+        return children
+
+    def written(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(written, node[1]))}</{node[0]}>"
+
+    # links hold no blocks, so that the parser leaves the tree as it is
+    tree = ("body", grow(4, False))
+    got = Page(read_page(written(tree)))
+    (c, _, lc, _, _), _ = plain(tree, 1, 0)
+    _, nodes = plain(tree, c, lc)
+    # breadth of both: page order
+    assert got.d[1:] == pytest.approx([d for d, _ in nodes])
+    assert got.sums[1:] == pytest.approx([total for _, total in nodes])
+    fit = [k for k in range(len(nodes)) if got.c[k + 1]]
+    assert got.heart - 1 == max(fit, key=lambda k: (got.sums[k + 1], -k))
