@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.bounded import broadcast_if_fits
 from evenkeel.llm.bpe import bpe_decode, bpe_encode
 from evenkeel.llm.common import written
-from evenkeel.llm.decontaminate import find_overlaps
+from evenkeel.llm.decontaminate import SHORTEST, find_overlaps
 from evenkeel.llm.minhash import Rule, near_duplicates
 from evenkeel.llm.pii import redacted
 from evenkeel.llm.queries import TOXIC_FROM, learnable, tokenizer_path
@@ -66,8 +66,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
-    return without(docs, find_overlaps(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that overlap with no benchmark item of SHORTEST words or more; fewer words stand in clean texts too."""
+    overlaps = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, overlaps.filter(F.col("item_words") >= SHORTEST))
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

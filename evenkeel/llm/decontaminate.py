@@ -11,10 +11,11 @@ is reported, of those the shortest, then the first.
 
 Words are lower-cased (A-Z) and freed of punctuation at both ends; words of
 punctuation alone are left out, and positions count the words that remain. Items
-of the same words are one item, reported under its smallest id. NULL and empty
-texts overlap with nothing, nor do items of fewer than SHORTEST words, which would
-say nothing about a document. Repeated rows are reported once. Rows with a NULL id
-are left out.
+of fewer than SHORTEST words are found where all their words stand in a row, and reported at
+the first such place; whether they say anything about a document is for the caller to decide
+(``n_words`` tells). Items of equal text are one item, reported under its smallest
+id; ``item_classes`` has the others. NULL and empty texts, and texts of punctuation,
+overlap with nothing. Repeated rows are reported once. Rows with a NULL id are left out.
 
 The benchmark goes to the tasks in blocks of about BLOCK_WORDS words, each with a
 pass over the documents; the documents are never shuffled.
@@ -32,22 +33,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import bounded_batches, id_and_text, written
+from evenkeel.llm.common import attach, bounded_batches, id_and_text, written
 
 # Any three replaced words in fifteen leave one of these whole somewhere.
 MASKS = ("11111", "110111")
 # Whatever fifth is replaced in an item of fewer than FEW words, one of these is left too.
 FEW_MASKS = ("1111", "11011", "10111", "11101")
 FEW = 12
+# Items of fewer words have to stand as a whole.
 SHORTEST = 5
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
 BLOCK_WORDS = 200_000
 FILTER_BITS = 22
 MEMORY_WORDS = 150_000
-#: Documents (words) and hits worked on at once.
+#: Documents (words), hits and compared places worked on at once.
 SLICE_WORDS = 400_000
 HITS = 1_000_000
+PLACES = 4_000_000
+
+OVERLAP = ["doc_id", "item_id", "first_word", "n_words", "n_agree", "item_words"]
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = (string.punctuation).encode()
@@ -90,18 +95,21 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str]):
         words = Words()
         sets = [words.hashes(t) for t in texts]
-        keep = [i for i, s in enumerate(sets) if len(s) >= SHORTEST]
+        keep = [i for i, s in enumerate(sets) if len(s)]
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.lens = np.array([len(sets[i]) for i in keep], np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
         self.words = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in keep)])
         self.item_of = np.repeat(np.arange(len(keep)), self.lens)
         self.tables = []
-        for mask in MASKS + FEW_MASKS:
+        # which lengths a mask is for
+        uses = [(m, SHORTEST, None) for m in MASKS] + [(m, SHORTEST, FEW) for m in FEW_MASKS]
+        uses += [("1" * n, n, n + 1) for n in range(1, SHORTEST)]
+        for mask, least, below in uses:
             key = seeds(self.words, mask)
             at = np.flatnonzero(self.item_of[: len(key)] == self.item_of[len(mask) - 1 :][: len(key)])
-            if mask in FEW_MASKS:
-                at = at[self.lens[self.item_of[at]] < FEW]
+            size = self.lens[self.item_of[at]]
+            at = at[(size >= least) & (size < below if below else True)]
             order = np.argsort(key[at], kind="stable")
             some = np.zeros(1 << FILTER_BITS, bool)
             some[(key[at] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
@@ -126,28 +134,58 @@ class Index:
                 yield np.repeat(at[first:last], n), places[which]
                 first = last
 
+    def _agreeing(self, h: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """How many of ``size`` words from places of h and of the items agree."""
+        agree = np.zeros(len(at), np.int64)
+        upto = np.cumsum(size)
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PLACES)))
+            n = size[first:last]
+            starts = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(starts, n)
+            same = h[np.repeat(at[first:last], n) + step] == self.words[np.repeat(place[first:last], n) + step]
+            agree[first:last] = np.add.reduceat(same.astype(np.int64), starts)
+            first = last
+        return agree
+
     def overlaps(self, h: np.ndarray, text_of: np.ndarray, text_starts: np.ndarray, text_lens: np.ndarray):
         """(text, item, first word in the text, words of the stretch, words that agree) for each overlap."""
-        seen: set[tuple[int, int, int]] = set()
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+        def offer(key, first, size, agree):
+            old = best.get(key, (0, 0, 0))
+            if (agree, -size, -first) > (old[2], -old[1], -old[0]):
+                best[key] = (first, size, agree)
+
         for at, place in self.hits(h):
             text, item = text_of[at], self.item_of[place]
             shift = (at - text_starts[text]) - (place - self.starts[item])
             some = np.unique(np.stack([text, item, shift], axis=1), axis=0)
-            for key in map(tuple, some.tolist()):
-                if key in seen:
+            text, item, shift = some.T
+            a = np.maximum(0, shift)
+            size = np.minimum(text_lens[text], shift + self.lens[item]) - a
+            from_text, from_item = text_starts[text] + a, self.starts[item] + a - shift
+            agree = self._agreeing(h, from_text, from_item, size)
+            few = self.lens[item] < SHORTEST
+            whole = np.where(few, agree == self.lens[item], agree >= LEAST_SHARE * self.lens[item])
+            # of those that have the share the best of each pair
+            order = np.flatnonzero(whole)
+            order = order[np.lexsort((a[order], size[order], -agree[order], item[order], text[order]))]
+            pair = np.stack([text[order], item[order]], axis=1)
+            order = order[np.concatenate([np.ones(min(len(order), 1), bool), (pair[1:] != pair[:-1]).any(axis=1)])]
+            for k in order.tolist():
+                offer((int(text[k]), int(item[k])), int(a[k]), int(size[k]), int(agree[k]))
+            # a stretch of the others has no more agreeing words than all of it
+            part = np.flatnonzero(~whole & ~few & (agree >= LEAST_WORDS))
+            for k in part[np.argsort(-agree[part], kind="stable")].tolist():
+                key = (int(text[k]), int(item[k]))
+                if agree[k] < best.get(key, (0, 0, 0))[2]:
                     continue
-                seen.add(key)
-                t, i, s = key
-                a, b = max(0, s), min(int(text_lens[t]), s + int(self.lens[i]))
-                x = h[text_starts[t] + a : text_starts[t] + b] == self.words[self.starts[i] + a - s : self.starts[i] + b - s]
-                found = (0, len(x), int(np.count_nonzero(x)))
-                if found[2] < LEAST_SHARE * int(self.lens[i]):
-                    found = best_stretch(x)
-                    if found[2] < LEAST_WORDS:
-                        continue
-                if found[2] > best.get((t, i), (0, 0, 0))[2]:
-                    best[t, i] = (a + found[0], found[1] - found[0], found[2])
+                x = h[from_text[k] : from_text[k] + size[k]] == self.words[from_item[k] : from_item[k] + size[k]]
+                start, end, n = best_stretch(x)
+                if n >= LEAST_WORDS:
+                    offer(key, int(a[k]) + start, end - start, n)
         return [(t, i, *b) for (t, i), b in best.items()]
 
 
@@ -183,10 +221,22 @@ def _slices(column: pa.Array, words: Words) -> Iterator[tuple[int, list[np.ndarr
         yield first, run
 
 
+def item_classes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, class_id: the id under which ``find_overlaps`` reports each item, one row an id and text.
+
+    Items without a text, which overlap with nothing, are left out. Smallest ids combine before they shuffle, and a
+    text that many items have is broadcast to these.
+    """
+    items = id_and_text(benchmark, item_col, text_col).filter(F.col("doc_id").isNotNull() & (F.col("text") != ""))
+    keyed = items.select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("key")).distinct()
+    least = written(keyed.groupBy("key").agg(F.min("item_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    return attach(keyed, least, "key").select("item_id", "class_id")
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, n_agree: the best overlap of each pair that has one."""
+    """doc_id, item_id, first_word, n_words, n_agree, item_words: the best overlap of each pair that has one."""
     bounded_batches()
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
@@ -211,11 +261,18 @@ def find_overlaps(
                         pa.array([batch.column(0)[first + r[0]].as_py() for r in rows], pa.int64()),
                         pa.array([int(index.value.ids[r[1]]) for r in rows], pa.int64()),
                         *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)),
+                        pa.array([int(index.value.lens[r[1]]) for r in rows], pa.int64()),
                     ]
-                    yield pa.record_batch(columns, names=["doc_id", "item_id", "first_word", "n_words", "n_agree"])
+                    yield pa.record_batch(columns, names=OVERLAP)
 
-        part = texts.mapInArrow(scan, "doc_id long, item_id long, first_word long, n_words long, n_agree long")
+        part = texts.mapInArrow(scan, ", ".join(f"{c} long" for c in OVERLAP))
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n_agree", "n_words", (-F.col("first_word")).alias("first_word"))).alias("b")
-    ).select("doc_id", "item_id", (-F.col("b.first_word")).alias("first_word"), "b.n_words", "b.n_agree")
+    best = F.max(F.struct("n_agree", (-F.col("n_words")).alias("n_words"), (-F.col("first_word")).alias("first_word")))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b"), F.max("item_words").alias("item_words")).select(
+        "doc_id",
+        "item_id",
+        (-F.col("b.first_word")).alias("first_word"),
+        (-F.col("b.n_words")).alias("n_words"),
+        "b.n_agree",
+        "item_words",
+    )

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 
 from evenkeel.llm import decontaminate, queries
-from evenkeel.llm.decontaminate import best_stretch, find_overlaps
+from evenkeel.llm.decontaminate import best_stretch, find_overlaps, item_classes
 
 SF = "/root/testdata/sf0.001"
 VOCAB = [f"word{i}" for i in range(3000)]
@@ -23,17 +23,11 @@ def best(doc, item):
         if sum(same) >= 0.8 * len(item):
             found = (sum(same), a, b - a)
         else:
-            score = {
-                (start, end): sum(1 if x else -2 for x in same[start:end])
-                for start in range(len(same))
-                for end in range(start + 1, len(same) + 1)
-            }
-            start, end = max(score, key=lambda k: (score[k], -k[1]))
-            agree = sum(same[start:end])
-            if agree < 13 or agree < 0.8 * (end - start):
+            fit = best_of_all(same)
+            if fit is None:
                 continue
-            found = (agree, a + start, end - start)
-        if result is None or found[0] > result[0]:
+            found = (fit[0], a - fit[2], -fit[1])
+        if result is None or (found[0], -found[2], -found[1]) > (result[0], -result[2], -result[1]):
             result = found
     return result
 
@@ -121,6 +115,66 @@ def test_case_punctuation_blocks_and_repeats(spark, frame, monkeypatch):
     assert found(docs, items) == {(1, 5): (1, 7, 7)}
 
 
+def test_items_of_one_to_four_words_are_found_as_a_whole(frame):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 5)]
+    docs = [(10 * n, f"a b {text.upper()}, c {text} d") for n, text in items]
+    docs += [(10 * n + 1, f"a b {text.rsplit(' ', 1)[0]} c {text.split(' ', 1)[-1]} d") for n, text in items if n > 1]
+    got = found(frame(docs), frame([*items, (9, "...")], "item_id long, text string"))
+    assert got == {(10 * n, n): (2, n, n) for n, _ in items}
+
+
+def test_short_and_long_items_of_the_same_word(frame):
+    docs = frame([(1, "spam " * 50_000), (2, "ham")])
+    got = found(docs, frame([(n, "spam " * n) for n in (1, 2, 4, 5, 30)], "item_id long, text string"))
+    # of five words four agree anywhere at the edges, but all five are more
+    assert got == {(1, n): (0, n, n) for n in (1, 2, 4, 5, 30)}
+
+
+def test_words_that_recur_everywhere_are_compared_at_once(frame):
+    import time
+
+    rng = random.Random(2)
+    common = ["of", "the", "of", "the", "of"]
+    items = [(i, " ".join([*common, *rng.choices(VOCAB, k=20), *common])) for i in range(100)]
+    docs = [(d, " ".join(common * 600)) for d in range(4)]
+    started = time.perf_counter()
+    assert found(frame(docs), frame(items, "item_id long, text string")) == {}
+    assert time.perf_counter() - started < 30
+
+
+def test_random_texts_against_all_offsets(frame):
+    rng = random.Random(21)
+    few = VOCAB[:6]
+    items = [(i, rng.choices(VOCAB[:40], k=rng.randint(1, 4)) if i % 3 else rng.choices(few, k=rng.randint(13, 20))) for i in range(30)]
+    docs = [(d, rng.choices(few if d % 2 else VOCAB[:40], k=rng.randint(0, 60))) for d in range(40)]
+    planted = set()
+    for d, text in docs[::2]:
+        i, item = items[3 * rng.randrange(10)]
+        text[3:3] = [w if rng.random() > 0.15 else "zz" for w in item]
+        planted.add((d, i))
+    got = found(
+        frame([(d, " ".join(t)) for d, t in docs]), frame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    )
+    for d, text in docs:
+        for i, item in items:
+            n = len(item)
+            if n < 5:
+                at = next((k for k in range(len(text) - n + 1) if text[k : k + n] == item), None)
+                assert got.get((d, i)) == (None if at is None else (at, n, n))
+            else:
+                expected = best(text, item)
+                assert (d, i) not in got if expected is None else (d, i) not in planted or (d, i) in got
+                # other offsets with as many words may share no seed
+                assert (d, i) not in got or got[d, i][2] <= expected[0]
+    assert len(planted & set(got)) > 10
+
+
+def test_classes_of_equal_items(frame):
+    items = frame([(5, "a b"), (3, "a b"), (3, "a b"), (9, "c"), (None, "c"), (7, None), (8, "")], "item_id long, text string")
+    assert sorted(map(tuple, item_classes(items).collect())) == [(3, 3), (5, 3), (9, 9)]
+    assert item_classes(items.limit(0)).collect() == []
+
+
 def test_nulls_and_empty_tables(spark, frame):
     docs = frame([(1, None), (2, ""), (None, "a b c d e f g")])
     items = frame([(1, "a b c d e f g")], "item_id long, text string")
