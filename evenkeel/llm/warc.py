@@ -2,9 +2,11 @@
 
 Pages are range-sorted by id; every task writes the records of its range to files
 that roll when their compressed size reaches a limit. A file is written under a
-temporary name and renamed when it is whole, and the manifest, written by Spark,
+temporary name and renamed when it is whole; where an earlier attempt has left the same bytes under
+the final name, that file stays as it is. The manifest, written by Spark,
 names every file with its records, bytes and SHA-1. Only files in a finished
-manifest count. Dates, ids and order depend on the pages alone, so a task that runs
+manifest count. Payloads are shuffled once: what makes a page a revisit travels in a row of
+its own that sorts before the page. Dates, ids and order depend on the pages alone, so a task that runs
 again writes the same bytes under the same names.
 
 Of pages with equal payloads of ``at_least`` bytes or more the one with the largest
@@ -31,8 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions.bounded import broadcast_if_fits
-from evenkeel.llm.common import bounded_batches, written
+from evenkeel.llm.common import attach, bounded_batches, scratch, written
 
 ROLL_BYTES = 64 << 20
 MANIFEST = "file string, records long, bytes long, sha1 string, first_id long, last_id long"
@@ -132,15 +133,28 @@ class Roll:
         self.sha1.update(data)
         self.bytes += len(data)
 
+    def _sha1_of(self, path: str) -> str | None:
+        if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        sha1 = hashlib.sha1()
+        with self.fs.open_input_stream(path, compression=None) as stream:
+            while data := stream.read(1 << 20):
+                sha1.update(data)
+        return sha1.hexdigest()
+
     def close(self) -> dict | None:
         if self.out is None:
             return None
         self.out.close()
         self.out, self.seq = None, self.seq + 1
         final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
-            self.fs.delete_file(final)  # of an earlier attempt, the same bytes
-        self.fs.move(self.temporary, final)
+        there = self._sha1_of(final)
+        if there == self.sha1.hexdigest():
+            self.fs.delete_file(self.temporary)
+        else:
+            if there:
+                self.fs.delete_file(final)  # cut off, or of another run
+            self.fs.move(self.temporary, final)
         return {
             "file": self.name,
             "records": self.records,
@@ -154,10 +168,13 @@ class Roll:
 def revisits(pages: DataFrame, at_least: int) -> DataFrame:
     """page_id and payload_sha1 of the pages that are no responses, with the page they refer to."""
     facts = pages.select("page_id", "payload_sha1", F.octet_length("payload").alias("size"))
-    facts = facts.filter((F.col("size") >= at_least) & F.col("page_id").isNotNull())
-    groups = facts.groupBy("payload_sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"))
-    shared = broadcast_if_fits(written(groups.filter("low <> refers_to").drop("low"), "payloads"))
-    return facts.join(shared, "payload_sha1").filter("page_id <> refers_to").drop("size").distinct()
+    facts = facts.filter((F.col("size") >= at_least) & F.col("page_id").isNotNull()).drop("size")
+    groups = facts.groupBy("payload_sha1").agg(
+        F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"), F.count("*").alias("n")
+    )
+    shared = written(groups.filter("low <> refers_to").drop("low"), "payloads")
+    # a payload that many pages have is not left to one task
+    return attach(facts, shared, "payload_sha1").filter("page_id <> refers_to").distinct()
 
 
 def write_warc(
@@ -176,21 +193,22 @@ def write_warc(
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")
     ).withColumn("payload_sha1", F.sha1("payload"))
-    again = broadcast_if_fits(written(revisits(rows, at_least), "revisits"))
-    rows = rows.join(again, ["page_id", "payload_sha1"], "left")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ("page_id", "payload_sha1", "url")
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = rows.select("page_id", "url", "payload", "refers_to", F.spark_partition_id().alias("part"))
+    manifest = f"{folder.rstrip('/')}/_manifest"
+    key = ("page_id", "payload_sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, done = None, []
+        roll, done, about, refers_to = None, [], None, None
         for batch in batches:
-            for page_id, url, data, refers_to, part in zip(*batch.columns):
+            for page_id, sha1, url, data, target, part in zip(*batch.columns):
+                page_id, sha1, data = page_id.as_py(), sha1.as_py(), data.as_py()
+                if data is None:
+                    about, refers_to = (page_id, sha1), target.as_py()
+                    continue
                 if roll is None:
                     roll = Roll(folder, part.as_py(), roll_bytes)
-                page_id = page_id.as_py()
-                entry = roll.add(page_id, page_record(page_id, url.as_py(), data.as_py(), refers_to.as_py()))
+                other = refers_to if about == (page_id, sha1) else None
+                entry = roll.add(page_id, page_record(page_id, url.as_py(), data, other))
                 done += [entry] if entry else []
         if roll and (entry := roll.close()):
             done.append(entry)
@@ -206,8 +224,16 @@ def write_warc(
         )
         yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    manifest = f"{folder.rstrip('/')}/_manifest"
-    rows.mapInArrow(write, MANIFEST).write.parquet(manifest)
+    with scratch():
+        facts = revisits(rows, at_least)
+        both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(facts, allowMissingColumns=True)
+        # rows of one key are in one range, its fact before its pages
+        both = both.repartitionByRange(parts, *key).sortWithinPartitions(*key, F.col("payload").isNotNull(), "url")
+        both = both.select(*key, "url", "payload", "refers_to", F.spark_partition_id().alias("part"))
+        both.mapInArrow(write, MANIFEST).write.parquet(manifest)
+    fs, root = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
+        fs.delete_dir(f"{root}/_temporary")  # of attempts that were lost
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
