@@ -4,7 +4,8 @@ A word is the bag of its character n-grams (FEWEST to MOST characters, with mark
 its ends) and itself, each hashed to one of BUCKETS vectors; its vector is their
 mean. A text is read in windows of WINDOW words. A window is the sum of its words'
 vectors, for whole windows WINDOW times their average; the shorter one at a text's end has as much less
-weight as it has fewer words. A linear layer
+weight as it has fewer words. Windows stand end to end in training; in scoring they overlap by half,
+so that words that stand together are together in one of them. A linear layer
 gives the window's evidence, toxic less clean. A text has the evidence of its
 strongest window, however many others stand around it, and a softmax over the two
 classes (of which only their difference counts) makes it a score. Vectors and layer
@@ -234,8 +235,8 @@ class Scorer:
         logits = np.empty(len(texts))
         for t, ws in enumerate(words):
             seen = self.known[np.fromiter(map(get, ws), np.int64, len(ws))]
-            cuts = np.arange(0, len(ws), WINDOW)
-            windows = np.add.reduceat(seen, cuts) if len(ws) else np.zeros(1)
+            halves = np.add.reduceat(seen, np.arange(0, len(ws), WINDOW // 2)) if len(ws) else np.zeros(1)
+            windows = halves[:-1] + halves[1:] if len(halves) > 1 else halves
             logits[t] = windows.max() + self.window_bias
         return softmax(logits)
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -76,6 +77,34 @@ def test_words_met_in_a_few_texts_count_too():
     assert clean < 0.3 and seen > 0.7 and unseen > 0.7
 
 
+def plain_score(model, text):
+    """The forward pass, one n-gram, word and window at a time."""
+    evidence = []
+    for word in toxicity.words_of(text):
+        buckets, _ = subwords([word])
+        per_gram = [sum(float(v) * float(w) for v, w in zip(model.vectors[b], model.layer[:, 0])) for b in buckets.tolist()]
+        evidence.append(sum(per_gram) / len(per_gram))
+    half = toxicity.WINDOW // 2
+    starts = range(0, max(1, len(evidence) - half), half)
+    strongest = max(sum(evidence[a : a + toxicity.WINDOW]) for a in starts)
+    return 1 / (1 + math.exp(-strongest - float(model.window_bias[0])))
+
+
+def test_scores_are_those_of_a_plain_forward_pass(model):
+    model, vocab = model
+    rng = random.Random(7)
+    sizes = [0, 1, 10, 24, 25, 26, 49, 50, 51, 74, 75, 76, 100, 333]
+    texts = [" ".join(rng.choices(vocab + BAD * 10, k=n)) for n in sizes] + ["Horrid, WRETCHED é中!", "..."]
+    assert scores(model, texts) == pytest.approx([plain_score(model, t) for t in texts], abs=1e-5)
+
+
+@pytest.mark.parametrize("before", [0, 24, 49, 74, 98])
+def test_words_that_stand_together_count_wherever_they_stand(model, before):
+    model, vocab = model
+    alone, torn = scores(model, [" ".join(BAD), " ".join([*vocab[:before], *BAD[:2], "horrid", *vocab[before : before + 100]])])
+    assert alone > 0.7 and torn > 0.7
+
+
 def test_order_of_scoring_does_not_matter(model, monkeypatch):
     model, vocab = model
     texts = [" ".join(vocab[i : i + 40]) for i in range(0, 400, 40)] + ["", "horrid"]
