@@ -2,11 +2,10 @@
 
 A word is the bag of its character n-grams (FEWEST to MOST characters, with marks at
 its ends) and itself, each hashed to one of BUCKETS vectors; its vector is their
-mean. A text is read in windows of WINDOW words. A window is the sum of its words'
-vectors, for whole windows WINDOW times their average; the shorter one at a text's end has as much less
-weight as it has fewer words. Windows stand end to end in training; in scoring they overlap by half,
-so that words that stand together are together in one of them. A linear layer
-gives the window's evidence, toxic less clean. A text has the evidence of its
+mean. A text is read in windows of WINDOW words, the last of which ends where the text does; a shorter text is
+one window. A window is the average of its words' vectors. Windows stand end to end in training; in scoring they
+overlap by half, so that words that stand together are together in one of them. A linear layer
+gives the window's evidence, toxic less clean, on the average times WINDOW, a fixed scale. A text has the evidence of its
 strongest window, however many others stand around it, and a softmax over the two
 classes (of which only their difference counts) makes it a score. Vectors and layer
 are trained together by Adam, in the same way: through the strongest windows. A
@@ -120,6 +119,11 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(lens.sum()) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
 
 
+def window_starts(n: int, step: int) -> np.ndarray:
+    """Where the windows of a text of ``n`` words start, every ``step`` words; the last one ends with the text."""
+    return np.append(np.arange(0, n - WINDOW, step), max(0, n - WINDOW))
+
+
 class Corpus:
     """Training texts as numbers of words, and the trained buckets of every word."""
 
@@ -151,19 +155,22 @@ class Corpus:
         return (square / (square + CHANCE)).astype(np.float32)
 
     def batch(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Buckets and their words, words and their windows, windows and their texts; sizes of the words."""
-        word, window, text, n = [], [], [], 0
+        """Buckets and their words, words and their windows, windows and their texts; sizes of words and windows."""
+        word, window, text, sizes, n = [], [], [], [], 0
         for t, i in enumerate(chosen):
             k = self.texts[i]
-            word.append(k)
-            window.append(n + np.arange(len(k)) // WINDOW)
-            count = max(1, -(-len(k) // WINDOW))
-            text.append(np.full(count, t))
-            n += count
+            starts = window_starts(len(k), WINDOW)
+            lens = np.full(len(starts), min(WINDOW, len(k)))
+            word.append(k[spread(starts, lens)])
+            window.append(n + np.repeat(np.arange(len(starts)), lens))
+            text.append(np.full(len(starts), t))
+            sizes.append(lens)
+            n += len(starts)
         words, word = np.unique(np.concatenate(word), return_inverse=True)
         owner = np.repeat(np.arange(len(words)), self.sizes[words])
         buckets = self.buckets[spread(self.starts[words], self.sizes[words])]
-        return buckets, owner, word, np.concatenate(window), np.concatenate(text), self.sizes[words]
+        window, text, lens = np.concatenate(window), np.concatenate(text), np.concatenate(sizes)
+        return buckets, owner, word, window, text, self.sizes[words], lens
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
@@ -181,15 +188,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     for _ in range(epochs):
         for chosen in np.split(rng.permutation(len(texts)), cuts):
             step += 1
-            buckets, owner, word, window, text, sizes = corpus.batch(chosen)
+            buckets, owner, word, window, text, sizes, lens = corpus.batch(chosen)
             evidence = (vectors @ layer * scale)[:, 0]
             n_windows, n_words = len(text), len(sizes)
             per_word = np.bincount(owner, evidence[buckets], n_words) / sizes
-            raw = np.bincount(window, per_word[word], n_windows) + params[2]
+            average = WINDOW / np.maximum(1, lens)
+            raw = np.bincount(window, per_word[word], n_windows) * average + params[2]
             top = strongest(raw, text)
             d_raw = np.zeros(n_windows)
             d_raw[top] = (softmax(raw[top]) - toxic[chosen]) / len(chosen)
-            per_word = np.bincount(word, d_raw[window], n_words) / sizes
+            per_word = np.bincount(word, (d_raw * average)[window], n_words) / sizes
             per_bucket = np.bincount(buckets, per_word[owner], shared).astype(np.float32)[:, None] * scale
             grads = [
                 per_bucket @ layer.T + np.float32(DECAY * BATCH / len(texts)) * vectors,
@@ -235,9 +243,11 @@ class Scorer:
         logits = np.empty(len(texts))
         for t, ws in enumerate(words):
             seen = self.known[np.fromiter(map(get, ws), np.int64, len(ws))]
-            halves = np.add.reduceat(seen, np.arange(0, len(ws), WINDOW // 2)) if len(ws) else np.zeros(1)
-            windows = halves[:-1] + halves[1:] if len(halves) > 1 else halves
-            logits[t] = windows.max() + self.window_bias
+            upto = np.concatenate([[0.0], np.cumsum(seen)])
+            starts = window_starts(len(ws), WINDOW // 2)
+            size = min(WINDOW, len(ws))
+            strongest_sum = (upto[starts + size] - upto[starts]).max()
+            logits[t] = strongest_sum * (WINDOW / max(1, size)) + self.window_bias
         return softmax(logits)
 
 

@@ -84,9 +84,10 @@ def plain_score(model, text):
         buckets, _ = subwords([word])
         per_gram = [sum(float(v) * float(w) for v, w in zip(model.vectors[b], model.layer[:, 0])) for b in buckets.tolist()]
         evidence.append(sum(per_gram) / len(per_gram))
-    half = toxicity.WINDOW // 2
-    starts = range(0, max(1, len(evidence) - half), half)
-    strongest = max(sum(evidence[a : a + toxicity.WINDOW]) for a in starts)
+    size = toxicity.WINDOW
+    starts = [*range(0, len(evidence) - size, size // 2), max(0, len(evidence) - size)]
+    windows = [evidence[a : a + size] for a in starts]
+    strongest = max(size * sum(w) / max(1, len(w)) for w in windows)
     return 1 / (1 + math.exp(-strongest - float(model.window_bias[0])))
 
 
@@ -105,6 +106,23 @@ def test_words_that_stand_together_count_wherever_they_stand(model, before):
     assert alone > 0.7 and torn > 0.7
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 10])
+def test_a_short_text_has_the_average_of_its_words(model, n):
+    model, vocab = model
+    words = [*vocab[:9], "horrid"]
+    once, often = scores(model, [" ".join(words[:n]), " ".join(words[:n] * 4)])
+    assert once == pytest.approx(often, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 49, 50, 51, 74, 75, 76, 100, 101, 333])
+def test_windows_are_whole_and_hold_every_word(n):
+    for step in (25, 50):
+        starts = toxicity.window_starts(n, step)
+        held = {w for a in starts for w in range(a, min(n, a + toxicity.WINDOW))}
+        assert held == set(range(n)) and starts[-1] == max(0, n - toxicity.WINDOW)
+        assert np.all(np.diff(starts) > 0) and np.all(np.diff(starts) <= step)
+
+
 def test_order_of_scoring_does_not_matter(model, monkeypatch):
     model, vocab = model
     texts = [" ".join(vocab[i : i + 40]) for i in range(0, 400, 40)] + ["", "horrid"]
