@@ -11,9 +11,10 @@ exactly, and the best are kept.
 The share is calibrated, not fixed: on the sample, where the exact neighbours of
 some vectors are known, it is the smallest that finds GOAL of them.
 
-Leaves are read in blocks of BLOCK rows (a hot leaf is many blocks), and the
-queries of a block in runs of QUERIES. A task holds one block and one run, and hands on
-only the k best of each.
+Rows are routed once and stay where they were written: no vector is shuffled. The queries go to them by
+broadcast, about QUERIES at a time with the leaves each takes, in one pass over the rows for each such chunk.
+A task compares BLOCK rows at once with the queries that took one of their leaves, whatever the size of a leaf,
+and hands on only the k best of each query. Queries that repeat an id and its vector are asked once.
 
 Vectors that are NULL, empty, zero or hold NULL, NaN or infinite components take no
 part, nor do vectors of another dimension than the most frequent one (the smallest
@@ -27,9 +28,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +45,9 @@ LEAF = 64
 TREES = 4
 GOAL = 0.97
 PROBES = 100
-BLOCK = 4096
-QUERIES = 1024
+BLOCK = 2048
+ASKED_AT_ONCE = 512
+QUERIES = 8192
 
 
 @dataclass
@@ -171,58 +176,96 @@ def _list_column(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x).ravel()))
 
 
-def _best(qv: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
-    """Of each query the k nearest rows (query's place, row's place, distance); itself left out."""
-    rough = (x * x).sum(axis=1)[None, :] - 2.0 * (qv @ x.T)
-    rough[qid[:, None] == ids[None, :]] = np.inf
-    # rounding may order near ties wrongly: everything within its reach is measured exactly
-    reach = 1e-9 * (1.0 + (x * x).sum(axis=1).max() + (qv * qv).sum(axis=1))
-    for i in range(len(qv)):
-        row = rough[i]
-        if len(ids) > k:
-            bound = np.partition(row, k - 1)[k - 1] + reach[i]
-            some = np.flatnonzero((row <= bound) & np.isfinite(row))
-        else:
-            some = np.flatnonzero(np.isfinite(row))
-        score = np.sqrt(((x[some] - qv[i]) ** 2).sum(axis=1))
-        for j in np.lexsort((ids[some], score))[:k]:
-            yield i, some[j], score[j]
-
-
-def _once(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without rows that repeat an id and its vector; rows of one id are in one block."""
+def _once(x: np.ndarray, ids: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without rows that repeat an id and its vector."""
     if len(np.unique(ids)) == len(ids):
-        return x, ids
+        return x, ids, leaves
     keep = list({(i, v.tobytes()): k for k, (i, v) in enumerate(zip(ids.tolist(), x))}.values())
-    return x[keep], ids[keep]
+    return x[keep], ids[keep], leaves[keep]
 
 
-def _search_blocks(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from evenkeel.llm.minhash import _runs
-
-        for run in _runs(batches, ["leaf", "block", "queries"]):
-            asks = run["asks"].to_numpy()
-            ids = run["vec_id"].to_numpy()
-            x = _matrix(run["v"])
-            q = asks.astype(bool)
-            if q.all() or not q.any():
+@dataclass
+class Asked:
+    """Queries of one pass: ids, vectors, and which leaves (rows) each query (column) takes."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    taken: np.ndarray
+
+
+class Best:
+    """The k nearest rows met so far of every query of a pass, each pair of id and distance once."""
+
+    def __init__(self, asked: Asked, k: int):
+        self.asked, self.k = asked, k
+        self.norm = (asked.x * asked.x).sum(axis=1)
+        self.kth = np.full(len(asked.ids), np.inf)
+        self.query, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+
+    def add(self, x: np.ndarray, ids: np.ndarray, leaves: np.ndarray) -> None:
+        x, ids, leaves = _once(x, ids, leaves)
+        norm = (x * x).sum(axis=1)
+        # an id with several vectors may hold several places at one distance, of which one counts
+        places = self.k + len(ids) - len(np.unique(ids))
+        found = [(self.query, self.row, self.score)]
+        for at in range(0, len(self.asked.ids), ASKED_AT_ONCE):
+            some = slice(at, at + ASKED_AT_ONCE)
+            seen = self.asked.taken[leaves[:, 0], some]
+            for t in range(1, leaves.shape[1]):
+                seen |= self.asked.taken[leaves[:, t], some]
+            seen = seen.T & (self.asked.ids[some, None] != ids[None, :])
+            if not seen.any():
                 continue
-            qx, qids, x, ids = x[q], ids[q], *_once(x[~q], ids[~q])
-            found = list(_best(qx, qids, x, ids, k))
-            names = ["query_id", "vec_id", "score"]
-            yield pa.record_batch(
-                [
-                    pa.array(qids[[f[0] for f in found]] if found else [], pa.int64()),
-                    pa.array(ids[[f[1] for f in found]] if found else [], pa.int64()),
-                    pa.array([f[2] for f in found], pa.float64()),
-                ],
-                names=names,
-            )
+            rough = norm[None, :] - 2.0 * (self.asked.x[some] @ x.T)
+            rough[~seen] = np.inf
+            bound = self.kth[some] ** 2 - self.norm[some]
+            if len(ids) > places and not np.isfinite(bound).all():
+                bound = np.minimum(bound, np.partition(rough, places - 1, axis=1)[:, places - 1])
+            # rounding may order near ties wrongly: everything within its reach is measured exactly
+            reach = 1e-9 * (1.0 + norm.max() + self.norm[some])
+            i, j = np.nonzero((rough <= (bound + reach)[:, None]) & np.isfinite(rough))
+            score = np.sqrt(((x[j] - self.asked.x[some][i]) ** 2).sum(axis=1))
+            found.append((i + at, ids[j], score))
+        if len(found) > 1:
+            self._keep(*(np.concatenate(c) for c in zip(*found)))
+
+    def _keep(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        order = np.lexsort((row, score, query))
+        query, row, score = query[order], row[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (np.diff(query) != 0) | (np.diff(row) != 0) | (score[1:] != score[:-1])
+        query, row, score = query[new], row[new], score[new]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        few = rank < self.k
+        self.query, self.row, self.score = query[few], row[few], score[few]
+        last = rank == self.k - 1
+        self.kth[query[last]] = score[last]
+
+
+def _search(sent, k: int, block: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        best = Best(asked, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                best.add(_matrix(part.column(1)), part.column(0).to_numpy(), _matrix(part.column(2)))
+        for at in range(0, len(best.query), 10_000):
+            some = slice(at, at + 10_000)
+            columns = [asked.ids[best.query[some]], best.row[some], best.score[some]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     return search
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of what was found for each query, by any of its vectors; the same row counts once."""
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = found.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score").distinct()
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -257,45 +300,38 @@ def nearest(
     for r in held.collect():
         counts[r.leaf] = r.n
     budget = share * n_rows
-    blocks = np.maximum(1, -(-counts // BLOCK))
-    sent_counts = spark.sparkContext.broadcast((counts, blocks))
+    sent_counts = spark.sparkContext.broadcast(counts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, _ = sent_counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                taken = [sent.value.search(q, counts, budget) for q in _matrix(part.column(1))]
+                taken = [sent.value.search(q, sent_counts.value, budget) for q in _matrix(part.column(1))]
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in taken])]).astype(np.int32)
                 flat = pa.array(np.concatenate([np.zeros(0, np.int64), *taken]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
                 yield pa.record_batch([*part.columns, lists], names=["vec_id", "v", "leaves"])
 
-    asking = routed.filter(is_query).select("vec_id", "v")
+    asking = routed.filter(is_query).select("vec_id", "v").distinct()
     asked = written(asking.mapInArrow(ask, "vec_id long, v array<double>, leaves array<int>"), "asked")
-    n_asked = asked.agg(F.count(F.lit(1)).alias("n")).head().n
-    runs = max(1, -(-n_asked // QUERIES))
-    sizes = F.broadcast(
-        spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "leaf int, blocks int")
-    )  # one row a leaf
-
-    # every block of a leaf meets every run of the queries that took it
-    spread = asked.select(F.explode("leaves").alias("leaf"), "vec_id", "v").join(sizes, "leaf")
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("queries", F.pmod(F.xxhash64("vec_id"), F.lit(runs)).cast("int"))
-    wanted = spread.select("leaf", "queries").distinct()
-    stored = routed.select(F.explode("leaves").alias("leaf"), "vec_id", "v").join(sizes, "leaf")
-    stored = stored.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    stored = stored.join(wanted.groupBy("leaf").agg(F.collect_set("queries").alias("runs")), "leaf")
-    stored = stored.withColumn("queries", F.explode("runs"))
-    columns = ("leaf", "block", "queries", "asks", "vec_id", "v")
-    both = spread.withColumn("asks", F.lit(1)).select(*columns)
-    both = both.unionByName(stored.withColumn("asks", F.lit(0)).select(*columns))
-    both = both.repartition("leaf", "block", "queries").sortWithinPartitions("leaf", "block", "queries")
-    found = both.mapInArrow(_search_blocks(k), "query_id long, vec_id long, score double")
-
-    # a row may stand in leaves of several trees: its copies have one rank
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    ).distinct()
+    passes = max(1, -(-asked.count() // QUERIES))
+    of_pass = F.pmod(F.xxhash64("vec_id", "v"), F.lit(passes))
+
+    def found_in(number: int) -> tuple[DataFrame, Broadcast]:
+        # QUERIES rows or about as many, whatever the size of the table
+        some = asked.filter(of_pass == number).toArrow()
+        taken = np.zeros((forest.leaves, len(some)), bool)
+        lens = pc.list_value_length(some["leaves"]).to_numpy()
+        taken[pc.list_flatten(some["leaves"]).to_numpy(), np.repeat(np.arange(len(some)), lens)] = True
+        chunk = spark.sparkContext.broadcast(Asked(some["vec_id"].to_numpy(), _matrix(some["v"]), taken))
+        found = routed.mapInArrow(_search(chunk, k, BLOCK), "query_id long, vec_id long, score double")
+        return _ranked(found, k), chunk
+
+    if passes == 1:
+        return found_in(0)[0]
+    kept = []
+    for number in range(passes):
+        found, chunk = found_in(number)
+        kept.append(written(found.drop("rank"), "found"))
+        chunk.destroy()
+    return _ranked(reduce(DataFrame.unionByName, kept), k)
