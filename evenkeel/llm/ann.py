@@ -312,7 +312,9 @@ def nearest(
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
                 yield pa.record_batch([*part.columns, lists], names=["vec_id", "v", "leaves"])
 
-    asking = routed.filter(is_query).select("vec_id", "v").distinct()
+    # the search of the trees is work, however few bytes the queries have: they are dealt to all tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asking = routed.filter(is_query).select("vec_id", "v").distinct().repartition(tasks)
     asked = written(asking.mapInArrow(ask, "vec_id long, v array<double>, leaves array<int>"), "asked")
     passes = max(1, -(-asked.count() // QUERIES))
     of_pass = F.pmod(F.xxhash64("vec_id", "v"), F.lit(passes))
