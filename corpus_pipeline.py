@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.bounded import broadcast_if_fits
-from evenkeel.llm.bpe import bpe_decode, bpe_encode
+from evenkeel.llm.bpe import bpe_round_trip
 from evenkeel.llm.common import written
 from evenkeel.llm.decontaminate import SHORTEST, find_overlaps
 from evenkeel.llm.minhash import Rule, near_duplicates
@@ -79,14 +79,13 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text."""
-    path = tokenizer_path()
     text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", text.alias("text"), bpe_encode(spark, F.col("text"), path).alias("ids"))
+    coded = docs.select("doc_id", text.alias("text"), bpe_round_trip(spark, F.col("text"), tokenizer_path()).alias("coded"))
     return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (bpe_decode(spark, F.col("ids"), path) == F.col("text")).alias("exact"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.col("coded.ids").alias("ids"),
+        (F.col("coded.decoded") == F.col("text")).alias("exact"),
     )
 
 

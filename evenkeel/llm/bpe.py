@@ -268,6 +268,33 @@ def decode_batch(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[str
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
 
 
+def encoded_lists(batch: pa.Array, encoder: Encoder) -> pa.ListArray:
+    """The ids of each text of a batch."""
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for run in slices(batch):
+        some, n = encoder.encode(run)
+        ids.append(some.astype(np.int32))
+        counts.append(n)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
+def decoded_lists(batch: pa.ListArray, v: Vocabulary) -> pa.Array:
+    """The text of each list of ids of a batch."""
+    counts = np.asarray(batch.value_lengths().fill_null(0)).astype(np.int64)
+    ids = batch.flatten()
+    upto = np.cumsum(counts)
+    texts, row = [], 0
+    while row < len(counts):
+        first = int(upto[row] - counts[row])
+        last = max(row + 1, int(np.searchsorted(upto, first + SLICE_CHARS // 4)))
+        some = ids.slice(first, int(upto[last - 1]) - first).fill_null(-1)
+        run = decode_batch(np.asarray(some).astype(np.int64), counts[row:last], v)
+        texts.append(pa.array(run, pa.string()))
+        row = last
+    return pa.concat_arrays([pa.array([], pa.string()), *texts])
+
+
 def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
     """Ids (array of int) of a text column, by the tokenizer file at ``path`` on the driver."""
     bounded_batches()
@@ -277,13 +304,7 @@ def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for run in slices(batch):
-                some, n = encoder.encode(run)
-                ids.append(some.astype(np.int32))
-                counts.append(n)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            yield encoded_lists(batch, encoder)
 
     return encode(text)
 
@@ -296,17 +317,24 @@ def bpe_decode(spark: SparkSession, ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            counts = np.asarray(batch.value_lengths().fill_null(0)).astype(np.int64)
-            ids = batch.flatten()
-            upto = np.cumsum(counts)
-            texts, row = [], 0
-            while row < len(counts):
-                first = int(upto[row] - counts[row])
-                last = max(row + 1, int(np.searchsorted(upto, first + SLICE_CHARS // 4)))
-                some = ids.slice(first, int(upto[last - 1]) - first).fill_null(-1)
-                run = decode_batch(np.asarray(some).astype(np.int64), counts[row:last], vocabulary.value)
-                texts.append(pa.array(run, pa.string()))
-                row = last
-            yield pa.concat_arrays([pa.array([], pa.string()), *texts])
+            yield decoded_lists(batch, vocabulary.value)
 
     return decode(ids)
+
+
+def bpe_round_trip(spark: SparkSession, text: Column, path: str) -> Column:
+    """A struct of ``ids`` and their text ``decoded``, as ``bpe_encode`` and ``bpe_decode`` give them.
+
+    A task encodes and decodes in one Python worker, where the two columns take a worker each.
+    """
+    bounded_batches()
+    vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(vocabulary.value)
+        for batch in batches:
+            ids = encoded_lists(batch, encoder)
+            yield pa.StructArray.from_arrays([ids, decoded_lists(ids, vocabulary.value)], names=["ids", "decoded"])
+
+    return both(text)

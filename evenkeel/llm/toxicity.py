@@ -261,9 +261,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
     fit, left = [], TRAIN_BYTES
     for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
         if r.bytes <= left:
-            fit.append((r.doc_id,))
+            fit.append(r.doc_id)
             left -= r.bytes
-    wanted = docs.sparkSession.createDataFrame(fit, "doc_id long")
+    # as an Arrow table, which the executors read without Python workers
+    wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(fit, pa.int64())}))
     rows = texts.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [r.text for r in rows], [r.toxic for r in rows]
 

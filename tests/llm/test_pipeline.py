@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from evenkeel.llm.bpe import bpe_decode, bpe_encode
 from evenkeel.llm.decontaminate import find_overlaps
 from evenkeel.llm.pii import Finder
 from test_minhash import brute
@@ -88,3 +90,15 @@ def test_columns_of_any_name_and_type_pass(spark):
         if name != "bpe":
             assert {(r["a.b"], tuple(r["m"].items()), r["row"]) for r in docs.collect()} == {("x", (("k", "v"),), 7)}
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "3", "None"]
+
+
+def test_ids_and_their_text_come_from_one_python_worker_a_task(spark, frame):
+    docs = frame([(1, None), (2, ""), (3, "some words, twice <|endoftext|> ünï"), (4, "x" * 3000)])
+    coded = pipeline.to_ids(spark, docs, SF)
+    assert coded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    path = pipeline.tokenizer_path()
+    apart = docs.select("doc_id", bpe_encode(spark, F.col("text"), path).alias("ids"))
+    apart = apart.select("doc_id", "ids", bpe_decode(spark, F.col("ids"), path).alias("decoded"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    expected = [(r.doc_id, len(r.ids), r.ids, r.decoded == texts[r.doc_id]) for r in apart.collect()]
+    assert [tuple(r) for r in coded.collect()] == expected and all(e[3] for e in expected)

@@ -67,6 +67,18 @@ def test_training_texts_are_taken_by_hash_whatever_their_length(spark, frame, mo
     assert 15_000 < sum(lens) <= 20_000 and len(set(lens)) == 5
 
 
+@pytest.mark.parametrize("ids", [[], [1, 2, 2, 3]])
+def test_training_rows_start_no_python_workers(spark, monkeypatch, ids):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 4)], "doc_id long, toxic int")
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows went through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert toxicity.training_rows(docs, labels) == ((["text 1", "text 2"], [1, 0]) if ids else ([], []))
+
+
 def test_words_met_in_a_few_texts_count_too():
     rng = random.Random(2)
     vocab = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 8))) for _ in range(800)]
